@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryloom.llm import decontam, substring
+from quarryloom.llm import decontam, packing, shared, substring, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     n_hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.last - s.first + 1)")
@@ -28,8 +32,14 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared.scratch(spark, "ids")
+    files = token_store.write_ids(table(spark, sf_dir, "documents"), folder)
+    return token_store.read_ids(spark, folder, files, digest=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontamination, op6_substring_dedup)}
+    return {f.__name__: f for f in (op1_packing, op3_decontamination, op6_substring_dedup, op10_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
