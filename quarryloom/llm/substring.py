@@ -3,8 +3,10 @@
 A map pass hashes every window. Within a block of some thousand documents only the
 smallest document of a window is left open; the other documents of the block are decided
 there and then, so a window of a third of all documents reaches the shuffle once a block.
-Open windows go as packed arrays to the shard of their hash, where the smallest document
-of each is found. Decided windows return to their documents, which a last pass cuts.
+Open windows go as packed arrays to a shard, where the smallest document of each is found.
+The shard is that of the least hash of three words in the window: equal windows meet, and
+neighbouring windows mostly share it, so a repeated passage comes back in a few rows.
+Decided windows return to their documents, which a last pass cuts.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from quarryloom.llm import shared, words
 WINDOW = 13
 #: Windows of a map task that are held, made unique and sent on at once.
 BLOCK_WINDOWS = 1_000_000
-SHARDS_PER_PARTITION = 2
+SHARDS_PER_PARTITION = 16
+#: Words of the runs whose least hash in a window names the window's shard.
+ANCHOR = 3
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -50,14 +54,26 @@ def unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-def later(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """h, d sorted by (hash, document), and which of them have the hash of a smaller document."""
+def shard_of(hashes: np.ndarray, first: np.ndarray, width: int, shards: int) -> np.ndarray:
+    """The shard of each window, from hashes of words and the windows' first words."""
+    size = min(ANCHOR, width)
+    n = len(hashes) - size + 1
+    runs = hashes[:n].copy()
+    for j in range(1, size):
+        runs *= words.SHINGLE_BASE
+        runs += hashes[j : j + n]
+    least = words.sliding_min(words.mixed(runs), width - size + 1)[first]
+    return ((words.mixed(least) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+
+
+def later(h: np.ndarray, d: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """h, d (and more) sorted by (hash, document), and which of them have the hash of a smaller document."""
     order = np.lexsort((d, h))
-    h, d = h[order], d[order]
+    h, d, *more = (x[order] for x in (h, d, *more))
     head = np.ones(len(h), bool)
     head[1:] = h[1:] != h[:-1]
     least = d[np.flatnonzero(head)][np.cumsum(head) - 1]
-    return h, d, d > least
+    return h, d, *more, d > least
 
 
 def hit_rows(h: np.ndarray, d: np.ndarray) -> tuple[list[int], list[bytes]]:
@@ -71,18 +87,15 @@ def hit_rows(h: np.ndarray, d: np.ndarray) -> tuple[list[int], list[bytes]]:
 
 
 def _blocks(width: int, shards: int):
-    top = np.uint64(64 - (shards - 1).bit_length()) if shards > 1 else None
-
-    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        h, d = (np.concatenate(x) for x in zip(*held, strict=True))
-        h, d, known = later(h, d)
+    def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        h, d, shard, known = later(*(np.concatenate(x) for x in zip(*held, strict=True)))
         docs, found = hit_rows(h[known], d[known])
         same = np.zeros(len(h), bool)
         same[1:] = (h[1:] == h[:-1]) & (d[1:] == d[:-1])
         keep = ~known & ~same
-        h, d = h[keep], d[keep]
+        order = np.argsort(shard[keep], kind="stable")
+        h, d, shard = (x[keep][order] for x in (h, d, shard))
         ids, index = np.unique(d, return_inverse=True)
-        shard = (h >> top).astype(np.int64) if top is not None else np.zeros(len(h), np.int64)
         cuts = np.searchsorted(shard, np.arange(shards + 1))
         keys, loads = [], []
         for s in range(shards):
@@ -101,10 +114,11 @@ def _blocks(width: int, shards: int):
         for piece in shared.text_pieces(batches):
             ids = piece.column("id").to_numpy(zero_copy_only=False)
             w = words.split(piece.column("text"))
-            first, h = words.windows(w.hashes(), w.at, width)
+            hashes = w.hashes()
+            first, h = words.windows(hashes, w.at, width)
             if not len(h):
                 continue
-            held.append((h, ids[np.searchsorted(w.at, first, side="right") - 1]))
+            held.append((h, ids[np.searchsorted(w.at, first, side="right") - 1], shard_of(hashes, first, width, shards)))
             size += len(h)
             if size >= BLOCK_WINDOWS:
                 yield from flush(held)
@@ -137,7 +151,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows with a null id or text take no part. Rows of one id count as one document.
     """
-    shards = 1 << (shared.partitions(docs.sparkSession) * SHARDS_PER_PARTITION - 1).bit_length()
+    shards = shared.partitions(docs.sparkSession) * SHARDS_PER_PARTITION
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     blocks = shared.map_arrow(rows, _blocks(width, shards), "shard int, doc long, load binary")
     hits = blocks.groupBy("shard").applyInArrow(_decide, "doc long, load binary")

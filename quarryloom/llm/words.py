@@ -117,6 +117,16 @@ def windows(hashes: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray,
     return first, mixed(w[first])
 
 
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of every width consecutive numbers."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        x = np.minimum(x[:-step], x[step:])
+        done += step
+    return x
+
+
 def covered(n: int, first: np.ndarray, width: int | np.ndarray) -> np.ndarray:
     """Which of n words some window covers."""
     steps = np.zeros(n + 1, np.int64)
