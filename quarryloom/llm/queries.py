@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryloom.llm import decontam, packing, shared, substring, token_store
+from quarryloom.llm import decontam, langid, lm, packing, shared, substring, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,11 +27,26 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identified(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select(F.col("row.doc_id").alias("doc_id"), langid.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring.with_removals(table(spark, sf_dir, "documents"), digest=True)
     return done.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lm.learn(docs.where(~lm.held_out(F.col("doc_id"))))
+    found = lm.scored(docs, model, keep=["doc_id"])
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), lm.held_out(F.col("row.doc_id")).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score",
+    )
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared.scratch(spark, "ids")
     files = token_store.write_ids(table(spark, sf_dir, "documents"), folder)
@@ -39,7 +54,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_decontamination, op6_substring_dedup, op10_token_ids)}
+    return {f.__name__: f for f in (op1_packing, op3_decontamination, op4_language_id, op6_substring_dedup, op8_lm_scoring, op10_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
