@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryloom.llm import decontam, langid, lm, packing, shared, substring, token_store
+from quarryloom.llm import decontam, jaccard, langid, lm, packing, shared, substring, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), langid.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.groups(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring.with_removals(table(spark, sf_dir, "documents"), digest=True)
     return done.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
@@ -54,7 +59,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_decontamination, op4_language_id, op6_substring_dedup, op8_lm_scoring, op10_token_ids)}
+    return {f.__name__: f for f in (op1_packing, op3_decontamination, op4_language_id, op5_jaccard_join, op6_substring_dedup, op8_lm_scoring, op10_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:

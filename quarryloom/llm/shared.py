@@ -16,13 +16,15 @@ PIECE_BYTES = 2 << 20
 #: Rows of an Arrow batch between Spark and Python; with long texts the default 10,000
 #: would fill a worker's memory.
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 
 def arrow_limits(spark: SparkSession) -> None:
-    """Sets the number of rows of an Arrow batch to BATCH_ROWS, if it is larger."""
+    """Sets the rows and bytes of an Arrow batch to BATCH_ROWS and BATCH_BYTES, if they are larger."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
