@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryloom.llm import decontam, jaccard, langid, lm, packing, shared, substring, token_store
+from quarryloom.llm import ann, decontam, jaccard, langid, lm, packing, shared, substring, token_store, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.neighbours(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     n_hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.last - s.first + 1)")
@@ -42,6 +47,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared.scratch(spark, "warc")
+    files = warc.write_pages(table(spark, sf_dir, "pages"), folder)
+    return warc.read_pages(spark, folder, files, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid")
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = lm.learn(docs.where(~lm.held_out(F.col("doc_id"))))
@@ -59,7 +70,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_decontamination, op4_language_id, op5_jaccard_join, op6_substring_dedup, op8_lm_scoring, op10_token_ids)}
+    return {f.__name__: f for f in (op1_packing, op2_nearest_neighbours, op3_decontamination, op4_language_id, op5_jaccard_join, op6_substring_dedup, op7_warc, op8_lm_scoring, op10_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
