@@ -24,7 +24,7 @@ PIVOTS = 256
 #: Nearest pivots that are posted and searched.
 LISTED = 128
 #: Share of a shard that is ranked again, and the least number.
-RERANK, RERANK_LEAST = 0.1, 64
+RERANK, RERANK_LEAST = 0.2, 256
 SHARD_VECTORS = 8192
 QUERY_BLOCK = 4096
 #: Rows among which pivots are sought.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryloom.llm import ann, decontam, jaccard, langid, lm, packing, shared, substring, token_store, warc
+from quarryloom.llm import ann, decontam, jaccard, langid, lm, packing, quality, shared, substring, token_store, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,11 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.classified(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_votes", "weak_score", "score", "keep")
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared.scratch(spark, "ids")
     files = token_store.write_ids(table(spark, sf_dir, "documents"), folder)
@@ -70,7 +75,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_nearest_neighbours, op3_decontamination, op4_language_id, op5_jaccard_join, op6_substring_dedup, op7_warc, op8_lm_scoring, op10_token_ids)}
+    return {f.__name__: f for f in (op1_packing, op2_nearest_neighbours, op3_decontamination, op4_language_id, op5_jaccard_join, op6_substring_dedup, op7_warc, op8_lm_scoring, op9_quality, op10_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
