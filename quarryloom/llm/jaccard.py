@@ -28,6 +28,8 @@ NUMERATOR, DENOMINATOR = 80, 100
 #: The count sketch has 2**SKETCH_BITS counts whatever the input, 4 MB when broadcast.
 SKETCH_BITS = 22
 CHUNKS = 64
+#: Shares in which rows of one class are dealt.
+SALT = 16
 #: Parts of the suffix filter.
 PARTS = 512
 
@@ -214,7 +216,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     more = shared.written(_linked(shared.written(rest, "pairs"), usable, size, num, den), "links")
 
     final = components.components(links.union(more)).withColumnRenamed("id", "class_id").withColumnRenamed("component", "reached")
-    named = known.where("n > 0 and id is not null").join(classes, ["h1", "h2", "n"]).join(final, "class_id", "left")
+    # classes of several rows, dealt with a salt: one of them may hold a third of all rows
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALT))
+    several = full.groupBy("h1", "h2", "n").agg(F.min("id").alias("class_id"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    several = several.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    named = full.withColumn("salt", salt).join(several, ["h1", "h2", "n", "salt"], "left").select("id", "n", F.coalesce("class_id", "id").alias("class_id"))
+    moved = final.where("reached <> class_id").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    named = named.withColumn("salt", salt).join(moved, ["class_id", "salt"], "left")
     named = named.select("id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("reached", "class_id").alias("component_id"))
     return named.union(known.where("n = 0 or id is null").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("class_id"), F.col("id").alias("component_id")))
 

@@ -120,7 +120,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", profi
     return counts.withColumn("rank", rank - 1).where(F.col("rank") < profile).select("lang", "code", "rank")
 
 
-def _predict(names: list[str], codes: np.ndarray, ranks: np.ndarray, profile: int):
+def _predict(names: list[str], codes: np.ndarray, ranks: np.ndarray, profile: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = np.arange(profile)
         for piece in shared.text_pieces(batches):
@@ -139,13 +139,14 @@ def _predict(names: list[str], codes: np.ndarray, ranks: np.ndarray, profile: in
                 best = int(np.argmin(distance))
                 langs.append(names[best])
                 scores.append(1 - float(distance[best]) / (profile * len(mine)))
-            yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
+            kept = ["row", "text"] if with_text else ["row"]
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
 
     return run
 
 
 def predict(docs: DataFrame, profiles: DataFrame, text_col: str = "text", keep: list[str] | None = None, profile: int = PROFILE) -> DataFrame:
-    """For each row of docs: row, lang_pred and score.
+    """For each row of docs: row (its kept columns but the text), the text if it is kept, lang_pred and score.
 
     score is 1 less the distance to the nearest profile over the largest possible one; of
     equally near languages the first by name is taken. A text that is null or has no
@@ -158,9 +159,10 @@ def predict(docs: DataFrame, profiles: DataFrame, text_col: str = "text", keep:
     ranks = np.full((len(names), len(codes)), 2 * profile, np.int64)
     place = {x: i for i, x in enumerate(names)}
     ranks[found["lang"].map(place).to_numpy(int), np.searchsorted(codes, found["code"].to_numpy(np.int64).view(np.uint64))] = found["rank"].to_numpy(int)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    schema = rows.select("row").schema.add("lang_pred", "string").add("score", "double")
-    return shared.map_arrow(rows, _predict(names, codes, ranks, profile), schema)
+    keep = keep or docs.columns
+    rows = shared.as_rows(docs, text_col, text_col, keep).select("row", "text")
+    schema = rows.select(*(["row", "text"] if text_col in keep else ["row"])).schema.add("lang_pred", "string").add("score", "double")
+    return shared.map_arrow(rows, _predict(names, codes, ranks, profile, text_col in keep), schema)
 
 
 def held_out(id_col: Column) -> Column:
@@ -175,5 +177,5 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def accepted(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of docs in one of the learned languages: those with letters and a score of at least `least`."""
-    found = identified(docs)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
+    found = identified(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return shared.changed_texts(found, docs, "text", "text", n_chars="")

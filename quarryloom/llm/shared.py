@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are taken from Arrow batches in pieces of about this many bytes, so that the
-#: numpy arrays of eight bytes a character stay near 30 MB each.
-PIECE_BYTES = 2 << 20
+#: numpy arrays of eight bytes a character stay near 4 MB each.
+PIECE_BYTES = 512 << 10
 #: Rows of an Arrow batch between Spark and Python; with long texts the default 10,000
 #: would fill a worker's memory.
 BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def arrow_limits(spark: SparkSession) -> None:
@@ -100,9 +100,27 @@ def changed_texts(done: DataFrame, docs: DataFrame, text_col: str, new: str, n_c
 
 
 def map_arrow(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow under the batch limit of this module."""
+    """mapInArrow under the batch limits of this module; a task gives its free memory back when it ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from make(batches)
+        give_back()
+
     arrow_limits(df.sparkSession)
-    return df.mapInArrow(make, schema)
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, so that workers kept for later tasks stay small."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def partitions(spark: SparkSession) -> int:
