@@ -24,6 +24,8 @@ from quarryloom.llm import shared, store
 SEGMENT_BYTES = 32 << 10
 CHUNK_BYTES = 8 << 10
 FILE_BYTES = 16 << 20
+#: Archive bytes that are opened at once.
+READ_BYTES = 16 << 10
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -91,10 +93,14 @@ def page_records(name: str, page_id: int | None, url: str | None, payload: bytes
 
 def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers by lower-case name, block) of each record."""
-    while archive:
-        opener = zlib.decompressobj(31)
-        data = opener.decompress(archive)
-        archive = opener.unused_data
+    at, view = 0, memoryview(archive)
+    while at < len(view):
+        opener, parts = zlib.decompressobj(31), []
+        while not opener.eof and at < len(view):
+            parts.append(opener.decompress(view[at : at + READ_BYTES]))
+            at += READ_BYTES
+        at = min(at, len(view)) - len(opener.unused_data)
+        data = b"".join(parts)
         head, _, rest = data.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
