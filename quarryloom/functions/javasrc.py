@@ -11,6 +11,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructType
 
 _TOKEN = re.compile(
     r"""(?P<space>\s+)|(?P<block>/\*.*?\*/)|(?P<line>//[^\n]*)|(?P<string>"(?:\\.|[^"\\\n])*")|(?P<char>'(?:\\.|[^'\\\n])*')"""
@@ -38,12 +39,13 @@ def missing(code: str) -> list[tuple[int, str]] | None:
         if kind == "mark" and text in _CLOSES:
             stack.append(text)
         elif kind == "mark" and text in ")}]":
+            closed = len(out)
             while stack and _CLOSES[stack[-1]] != text and text == "}" and stack[-1] != "{":
                 out.append((at, _CLOSES[stack.pop()]))
             if not stack or _CLOSES[stack.pop()] != text:
                 return None
-            if text == "}" and last and last[0] not in (";", "{", "}") and last[2]:
-                out.append((last[1], ";"))
+            if text == "}" and last and last[0] not in (";", "{", "}") and (last[2] or closed < len(out)):
+                out.append((at if closed < len(out) else last[1], ";"))
         last = (text, at + len(text), "(" not in stack and "[" not in stack)
     end = len(code.rstrip())
     if stack and last and last[0] not in (";", "{", "}"):
@@ -141,7 +143,7 @@ def method_name(code: str) -> str | None:
     return found[3] if found else None
 
 
-def _udf(kind: str, function):
+def _udf(kind, function):
     @F.pandas_udf(kind)
     def run(code: pd.Series) -> pd.Series:
         return code.map(lambda x: None if x is None else function(x))
@@ -149,14 +151,14 @@ def _udf(kind: str, function):
     return run
 
 
-code_has_errors = _udf("boolean", has_errors)
-clean_comments = _udf("string", without_comments)
-adapt_name = _udf("string", adapted)
-remove_annotations = _udf("string", without_annotations)
-get_method_name = _udf("string", method_name)
+code_has_errors = _udf(BooleanType(), has_errors)
+clean_comments = _udf(StringType(), without_comments)
+adapt_name = _udf(StringType(), adapted)
+remove_annotations = _udf(StringType(), without_annotations)
+get_method_name = _udf(StringType(), method_name)
 
 
-@F.pandas_udf("had_errors boolean, code string")
+@F.pandas_udf(StructType().add("had_errors", BooleanType()).add("code", StringType()))
 def repair(code: pd.Series) -> pd.DataFrame:
     found = [(None, None) if x is None else repaired(x) for x in code]
     return pd.DataFrame(found, columns=["had_errors", "code"])

@@ -103,7 +103,7 @@ def archive_members(spark: SparkSession, folder: str) -> DataFrame:
 
 def java_sources(spark: SparkSession, folder: str) -> DataFrame:
     """(path, lines) of the Java files below a folder but scaffoldings."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.java").text(folder)
+    rows = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.java")
     rows = rows.select(F.col("_metadata.file_path").alias("path"), F.split("value", "\n").alias("lines"))
     return rows.where(~F.endswith("path", F.lit("scaffolding.java")))
 
