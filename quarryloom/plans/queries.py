@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quarryloom.functions import javasrc, text
 from quarryloom.operators import candidates, joins, metrics, order, outcomes, spans, templates
-from quarryloom.sources import files
+from quarryloom.sources import files, scratch, sinks
+from quarryloom.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -515,6 +516,71 @@ def bleu_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row.select(*[F.round(c, 9).alias(c) for c in row.columns])
 
 
+# The keywords that weigh more in a method's unigrams.
+JAVA_KEYWORDS = (
+    "abstract", "assert", "boolean", "break", "byte", "case", "catch", "char", "class", "const", "continue", "default", "do", "double", "else", "enum", "extends",
+    "final", "finally", "float", "for", "goto", "if", "implements", "import", "instanceof", "int", "interface", "long", "native", "new", "package", "private",
+    "protected", "public", "return", "short", "static", "strictfp", "super", "switch", "synchronized", "this", "throw", "throws", "transient", "try", "void",
+    "volatile", "while",
+)
+
+
+@query(rf"""WITH p AS (SELECT a.conv_id, string_split_regex(a.text, '\s+') AS c, string_split_regex(b.text, '\s+') AS r FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1),
+g AS (SELECT conv_id, 'c' AS side, unnest(c) AS gram FROM p UNION ALL SELECT conv_id, 'r', unnest(r) FROM p), k AS (SELECT conv_id, gram, count(*) FILTER (WHERE side = 'c') AS c, count(*) FILTER (WHERE side = 'r') AS r FROM g GROUP BY ALL),
+w AS (SELECT *, CASE WHEN gram IN ({", ".join(f"'{k}'" for k in JAVA_KEYWORDS)}) THEN 1.0 ELSE 0.2 END AS weight FROM k)
+SELECT round((sum(least(c, r) * weight) / sum(c * weight))::DOUBLE, 9) AS p1 FROM w""")
+def weighted_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    side = lambda k, name: turns.where(F.col("turn") == k).select("conv_id", F.split("text", r"\s+").alias(name))
+    weights = spark.createDataFrame([(k, 1.0) for k in JAVA_KEYWORDS], "token string, weight double")
+    return metrics.corpus_bleu(side(0, "c").join(side(1, "r"), "conv_id"), "conv_id", "c", "r", weights).select(F.round("p1", 9).alias("p1"))
+
+
+# --- files ------------------------------------------------------------------------------
+
+
+@query("SELECT item_id, text FROM benchmark")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with line breaks and quotes through CSV and back."""
+    path = scratch.folder(spark, "csv")
+    sinks.write_csv(table(spark, sf_dir, "benchmark"), path, ("item_id", "text"))
+    return files.csv_table(spark, path, "item_id long, text string")
+
+
+@query("SELECT unnest(string_split(text, chr(10))) AS text FROM benchmark")
+def text_lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch.folder(spark, "lines")
+    sinks.write_lines(table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "\n")).alias("text")), path)
+    return files.text_lines(spark, path)
+
+
+@query("SELECT conv_id, turn, role FROM conversations")
+def json_lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch.folder(spark, "json")
+    sinks.write_json(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), path)
+    return spark.read.schema("conv_id long, turn long, role string").json(path)
+
+
+@query("SELECT 'c' || conv_id || '.tar.bz2' AS name, 'turn' || turn || '.txt' AS member, md5(text) AS text_md5 FROM conversations")
+def archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tar.bz2 for each conversation, unpacked again."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".tar.bz2")).alias("name"), F.concat(F.lit("turn"), F.col("turn").cast("string"), F.lit(".txt")).alias("member"), F.col("text").cast("binary").alias("content"))
+    path = scratch.folder(spark, "archives")
+    sinks.archives(turns).write.parquet(path)
+    packed = spark.read.parquet(path)
+    return packed.mapInArrow(files.members_of, "name string, member string, content binary").select("name", "member", F.md5("content").alias("text_md5"))
+
+
+# --- extension --------------------------------------------------------------------------
+
+
+@query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming extension's windows over the whole table."""
+    found = windows.windowed_counts(table(spark, sf_dir, "events"))
+    return found.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
+
+
 # --- Java text --------------------------------------------------------------------------
 
 

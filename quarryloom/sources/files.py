@@ -83,7 +83,7 @@ def archive_listing(spark: SparkSession, folder: str, of_k: bool = False) -> Dat
     return files.select("name", *archive_parts(F.col("name"), of_k)).where("pid is not null").orderBy("vid_num", "tid", *(["sid"] if of_k else []))
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def members_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, data in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
             found = []
@@ -98,7 +98,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def archive_members(spark: SparkSession, folder: str) -> DataFrame:
     """(name, member, content) of every file in the tar.bz2 archives of a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar.bz2").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return files.mapInArrow(_members, "name string, member string, content binary")
+    return files.mapInArrow(members_of, "name string, member string, content binary")
 
 
 def java_sources(spark: SparkSession, folder: str) -> DataFrame:
