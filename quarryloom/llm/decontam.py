@@ -58,7 +58,7 @@ class Wavelet:
             self.zeros.append(int(len(symbols) - ones.sum()))
             symbols = np.concatenate([symbols[~ones], symbols[ones]])
 
-    def rank(self, symbol: np.ndarray, i: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         """How often each symbol stands before i."""
         a, b = np.zeros_like(i), i
         for level, (bits, zeros) in enumerate(zip(self.levels, self.zeros, strict=True)):

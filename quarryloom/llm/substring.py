@@ -172,29 +172,36 @@ def _cut(width: int, digest: bool):
                     mine = slice(at[i], at[i + 1])
                     gone[w.at[i] : w.at[i + 1]] = words.covered(int(w.at[i + 1] - w.at[i]), first[mine][np.isin(h[mine], known)] - w.at[i], width)
             removed = np.diff(np.r_[0, np.cumsum(gone)][w.at])
-            data = w.raw.tobytes()
+            data, (_, base) = w.raw.tobytes(), words.buffers(texts)
             out = []
-            for i, whole in enumerate(texts):
-                if not digest and not removed[i]:
-                    out.append(whole.as_py())
-                    continue
+            for i in range(piece.num_rows):
                 a, b = w.at[i], w.at[i + 1]
-                keep = np.flatnonzero(~gone[a:b]) + a
-                kept = b" ".join([data[s:e] for s, e in zip(w.starts[keep].tolist(), w.ends[keep].tolist(), strict=True)])
-                out.append(hashlib.sha256(kept).hexdigest() if digest else kept.decode())
+                if digest:
+                    keep = np.flatnonzero(~gone[a:b]) + a
+                    kept = b" ".join([data[s:e] for s, e in zip(w.starts[keep].tolist(), w.ends[keep].tolist(), strict=True)])
+                    out.append(hashlib.sha256(kept).hexdigest())
+                elif not removed[i]:
+                    out.append(texts[i].as_py())
+                else:
+                    edges = np.flatnonzero(np.diff(np.r_[0, gone[a:b].astype(np.int8), 0])) + a
+                    parts, done = [], int(base[i])
+                    for first_gone, after in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                        parts.append(data[done : w.starts[first_gone]])
+                        done = int(w.ends[after - 1])
+                    out.append(b"".join([*parts, data[done : base[i + 1]]]).decode())
             yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array(np.diff(w.at), pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())], ["row", "n_words", "n_removed", "kept"])
 
     return run
 
 
 def with_removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, digest: bool = False) -> DataFrame:
-    """The rows of docs (but the text; with digest only the id) as struct row, with text, n_words, n_removed and kept.
+    """The rows of docs (but the text; with digest only the id) as struct row, with n_words, n_removed and kept.
 
     A window is width consecutive words ``[^\\x20\\x09-\\x0D]+`` of one text. Each word is
     removed that a window covers whose words also start in a document of a smaller id,
-    judged on the input. kept: the text where nothing is removed, else the kept words
-    joined by one space; with digest, the lowercase hex SHA-256 of the joined words.
-    A null text has no words; a row with a null id loses none; a text of fewer than width
+    judged on the input. kept: the text without its removed runs of words, all else
+    unchanged to the byte; with digest, the lowercase hex SHA-256 of the kept words joined
+    by one space. A null text has no words; a row with a null id loses none; a text of fewer than width
     words has no window. Windows are compared by 64-bit hashes.
     """
     hits = repeated_windows(docs, id_col, text_col, width)

@@ -43,6 +43,8 @@ def test_small_blocks_and_unchanged_texts(spark, monkeypatch):
     assert out.columns == df.columns
     before, after = ({r["doc_id"]: r["text"] for r in x.select("doc_id", "text").collect()} for x in (df, out))
     assert set(before) == set(after)
+    kept = {r["row"]["doc_id"]: r["kept"] for r in substring.with_removals(df, digest=True).collect()}
+    assert {i: hashlib.sha256(" ".join(SPACE.findall(t or "")).encode()).hexdigest() for i, t in after.items()} == kept
     same = [i for i in before if before[i] == after[i]]
     assert len(same) > 20 and before[61] == after[61] and after[60] is None
 
