@@ -32,28 +32,49 @@ FILE_IDS = 8 << 20
 LEVEL = 1
 
 
+_STEPS = [(np.uint64(7), np.uint64(0x00AA00AA00AA00AA)), (np.uint64(14), np.uint64(0x0000CCCC0000CCCC)), (np.uint64(28), np.uint64(0x00000000F0F0F0F0))]
+
+
+def turned(x: np.ndarray) -> np.ndarray:
+    """Each 64-bit number as eight rows of eight bits, with rows and columns exchanged; twice gives x again."""
+    for shift, mask in _STEPS:
+        t = (x ^ (x >> shift)) & mask
+        x = x ^ t ^ (t << shift)
+    return x
+
+
 def to_planes(ids: np.ndarray, mode: str) -> list[bytes]:
-    """Planes of little-endian unsigned 32-bit ids, lowest first, up to the highest that isn't all zeros."""
+    """Planes of little-endian unsigned 32-bit ids, lowest first, up to the highest that isn't all zeros.
+
+    Bit planes hold eight ids a byte, the first in the lowest bit.
+    """
     width = int(ids.max(initial=0)).bit_length()
     size = -(-width // 8)
-    low = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :size].T)
+    pad = -len(ids) % 8 if mode == "bit" else 0
+    whole = np.r_[ids, np.zeros(pad, ids.dtype)].astype("<u4") if pad else ids.astype("<u4")
+    low = np.ascontiguousarray(whole.view(np.uint8).reshape(-1, 4)[:, :size].T)
     if mode == "byte":
         return [row.tobytes() for row in low]
     out = []
     for k, row in enumerate(low):
-        bits = np.unpackbits(row[:, None], axis=1, bitorder="little").T
-        out += [np.packbits(plane, bitorder="little").tobytes() for plane in bits[: max(0, width - 8 * k)]]
+        planes = np.ascontiguousarray(turned(row.view("<u8")).view(np.uint8).reshape(-1, 8).T)
+        out += [plane.tobytes() for plane in planes[: max(0, width - 8 * k)]]
     return out
 
 
 def from_planes(planes: list[bytes], n: int, mode: str) -> np.ndarray:
-    out = np.zeros((4, n), np.uint8)
-    for k, plane in enumerate(planes):
-        if mode == "byte":
-            out[k] = np.frombuffer(plane, np.uint8)
-        else:
-            out[k // 8] |= np.unpackbits(np.frombuffer(plane, np.uint8), count=n, bitorder="little") << (k % 8)
-    return np.ascontiguousarray(out.T).reshape(-1).view("<u4")
+    padded = n if mode == "byte" else -(-n // 8) * 8
+    out = np.zeros((padded, 4), np.uint8)
+    if mode == "byte":
+        for k, plane in enumerate(planes):
+            out[:, k] = np.frombuffer(plane, np.uint8)
+    else:
+        for k in range(0, len(planes), 8):
+            rows = np.zeros((8, padded // 8), np.uint8)
+            for j, plane in enumerate(planes[k : k + 8]):
+                rows[j] = np.frombuffer(plane, np.uint8)
+            out[:, k // 8] = turned(np.ascontiguousarray(rows.T).reshape(-1).view("<u8")).view(np.uint8)
+    return out.reshape(-1).view("<u4")[:n]
 
 
 def encoded(documents: list[tuple[int | None, bytes]], mode: str = "bit", chunk: int = CHUNK_IDS) -> bytes:
