@@ -8,6 +8,7 @@ any other text goes to the library whole, so that its own character tables hold.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -49,7 +50,12 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))
+            tail = piece[1:]
+            if tail.isascii() and tail.isalpha() and piece[0].isascii() and (piece[0] == " " or piece[0].isalpha()):
+                name = self.table[32] + tail if piece[0] == " " else piece
+            else:
+                name = piece.encode().decode("latin-1").translate(self.table)
+            found = self.model.tokenize(name)
             ids = array("I", [x.id for x in found]).tobytes()
         if len(self) >= self.limit:
             self.older = dict(self)
@@ -75,7 +81,14 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if _other.search(text):
             return self.whole([text])[0]
-        return b"".join(map(self.pieces.__getitem__, _split.findall(text)))
+        # the library's many short-lived objects have no cycles: their collection would only cost time
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return b"".join(map(self.pieces.__getitem__, _split.findall(text)))
+        finally:
+            if collecting:
+                gc.enable()
 
 
 _encoders: dict[str, Encoder] = {}
