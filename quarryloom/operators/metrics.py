@@ -31,11 +31,11 @@ def corpus_bleu(pairs: DataFrame, key: str, candidate: str, reference: str, weig
         counts = counts.join(weights.select(F.col("token").alias("gram"), "weight"), "gram", "left")
         weight = F.when(F.col("n") == 1, F.coalesce("weight", F.lit(0.2))).otherwise(F.lit(1.0))
     hit, all_ = F.sum(F.least("c", "r") * weight), F.sum(F.col("c") * weight)
-    by_n = counts.groupBy("n").agg(hit.alias("hit"), all_.alias("total"))
-    row = by_n.agg(*[F.max(F.when(F.col("n") == n, F.try_divide("hit", "total"))).alias(f"p{n}") for n in range(1, ORDERS + 1)])
-    sizes = pairs.agg(F.sum(F.size(candidate)).alias("nc"), F.sum(F.size(reference)).alias("nr"))
+    by_n = counts.groupBy("n").agg(hit.alias("hit"), all_.alias("total"), F.sum("c").alias("nc"), F.sum("r").alias("nr"))
+    lengths = [F.max(F.when(F.col("n") == 1, F.col(side))).alias(side) for side in ("nc", "nr")]
+    row = by_n.agg(*[F.max(F.when(F.col("n") == n, F.try_divide("hit", "total"))).alias(f"p{n}") for n in range(1, ORDERS + 1)], *lengths)
     p = [F.coalesce(f"p{n}", F.lit(0.0)) for n in range(1, ORDERS + 1)]
     mean = F.exp(reduce(lambda a, b: a + b, [F.log(x) for x in p]) / ORDERS)
     short = F.when(F.col("nc") >= F.col("nr"), F.lit(1.0)).otherwise(F.exp(1 - F.try_divide(F.col("nr").cast("double"), F.col("nc"))))
     score = F.when(F.least(*p) > 0, F.coalesce(short, F.lit(0.0)) * mean).otherwise(F.lit(0.0))
-    return row.crossJoin(sizes).select(score.alias("bleu"), *[x.alias(f"p{n}") for n, x in enumerate(p, 1)], F.try_divide(F.col("nc").cast("double"), F.col("nr")).alias("length_ratio"))  # one row each
+    return row.select(score.alias("bleu"), *[x.alias(f"p{n}") for n, x in enumerate(p, 1)], F.try_divide(F.col("nc").cast("double"), F.col("nr")).alias("length_ratio"))
