@@ -206,9 +206,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     found = components.components(links)
     placed = met.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = shared.written(placed, "placed")
-    home = placed.where("is_hub").groupBy("token").agg(F.min("component").alias("home"), F.max("component").alias("far"))
+    home = placed.where("is_hub").groupBy("token").agg(F.min("component").alias("home"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    split = shared.written(placed.join(mixed, "token", "left_semi").join(home.select("token", "home"), "token"), "split")
+    split = shared.written(placed.join(mixed, "token", "left_semi").join(home, "token"), "split")
     strange = _side(split.where("component <> home"), "a", F.col("component").alias("ca"))
     every = _side(split, "b", F.col("component").alias("cb"), "home")
     second = strange.join(every, "token").where(fits & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("home")) | (F.col("a") < F.col("b"))))
