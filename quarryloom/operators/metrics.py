@@ -21,11 +21,12 @@ def corpus_bleu(pairs: DataFrame, key: str, candidate: str, reference: str, weig
     Counts of n-grams are clipped to the reference's within a pair. Any precision of 0
     makes the score 0, as do no pairs. weights (token, weight), if given, weigh unigrams.
     """
-    parts = []
-    for n in range(1, ORDERS + 1):
-        for side, column in (("c", candidate), ("r", reference)):
-            parts.append(pairs.select(key, F.lit(n).alias("n"), F.lit(side).alias("side"), F.explode(grams(F.col(column), n)).alias("gram")))
-    counts = reduce(DataFrame.union, parts).groupBy(key, "n", "gram").agg(F.count_if(F.col("side") == "c").alias("c"), F.count_if(F.col("side") == "r").alias("r"))
+    def entries(n: int, side: str, column: str) -> Column:
+        return F.transform(grams(F.col(column), n), lambda g: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), g.alias("gram")))
+
+    both = F.concat(*[entries(n, side, column) for n in range(1, ORDERS + 1) for side, column in (("c", candidate), ("r", reference))])
+    found = pairs.select(key, F.inline(both))
+    counts = found.groupBy(key, "n", "gram").agg(F.count_if(F.col("side") == "c").alias("c"), F.count_if(F.col("side") == "r").alias("r"))
     weight = F.lit(1.0)
     if weights is not None:
         counts = counts.join(weights.select(F.col("token").alias("gram"), "weight"), "gram", "left")
