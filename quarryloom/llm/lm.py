@@ -6,6 +6,11 @@ longest context that has it; each context on the way down pays the escape estima
 method D (half a count of each distinct symbol goes to the escape), and symbols of longer
 contexts are excluded from shorter ones.
 
+The trie is broadcast whole if it has no more than TRIE_RUNS runs. Beyond, the most
+frequent runs are broadcast with their probabilities; the other runs that texts have are
+joined with the counts, order by order, down to the longest order that fits in memory.
+No count is left out either way.
+
 A unigram score of words stands beside it. Counts of frequent words, a bounded number,
 are broadcast; the other words are joined.
 """
@@ -24,7 +29,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 from quarryloom.llm import shared, words
 
 ORDER = 5
-#: Most runs of the trie; beyond, the rarest counts are cut, as many as needed.
+#: Most runs that are broadcast; beyond, half for the most frequent runs and half for a trie of lower order, the others are joined.
 TRIE_RUNS = 4_000_000
 #: Most words whose counts are broadcast.
 HEAD_WORDS = 1_000_000
@@ -170,8 +175,8 @@ class Slots:
 
 
 class Trie:
-    def __init__(self, run: np.ndarray, n: np.ndarray, order: int = ORDER):
-        """run, n: codes of order + 1 bytes and their counts."""
+    def __init__(self, run: np.ndarray, n: np.ndarray, order: int = ORDER, whole: bool = True):
+        """run, n: codes of order + 1 bytes and their counts. Not whole: the lower orders of a longer trie, of which only ``escaped`` is asked."""
         self.order, self.levels = order, [None] * (order + 1)
         sort = np.argsort(run)
         run, n = run[sort], n[sort]
@@ -186,6 +191,8 @@ class Trie:
             level, lower = self.levels[k], self.levels[k - 1]
             shorter = lower.n[find(lower.run, level.run & np.uint64((1 << 8 * k) - 1))] if len(level.run) else level.n
             level.below = np.bincount(find(level.context, level.run >> np.uint64(8)), shorter, len(level.context)).astype(np.int64) if len(level.run) else level.below
+        if not whole:
+            return
         top = self.levels[order]
         at = find(top.context, top.run >> np.uint64(8))
         self.known = (np.log10((top.n - 0.5) / top.total[at]) if len(top.run) else np.zeros(0)).astype(np.float32)
@@ -201,14 +208,13 @@ class Trie:
         left = np.flatnonzero(~hit)
         if len(left):
             part, inverse = np.unique(code[left], return_inverse=True)
-            out[left] = self._escaped(part)[inverse]
+            none = np.zeros(len(part), np.int64)
+            out[left] = self.escaped(part, np.zeros(len(part)), none, none.copy())[inverse]
         return out
 
-    def _escaped(self, code: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(code))
+    def escaped(self, code: np.ndarray, out: np.ndarray, gone: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """out with the price from this order down; gone, kinds: total and number of excluded symbols in the context at hand."""
         left = np.arange(len(code))
-        gone = np.zeros(len(code), np.int64)  # total of excluded symbols in the context at hand
-        kinds = np.zeros(len(code), np.int64)
         for k in range(self.order, -1, -1):
             level = self.levels[k]
             part = code[left] & np.uint64((1 << 8 * (k + 1)) - 1)
@@ -230,11 +236,26 @@ class Trie:
         return out
 
 
+class Head:
+    """The most frequent runs of a trie too large to broadcast, with their log10 probabilities."""
+
+    def __init__(self, run: np.ndarray, known: np.ndarray):
+        self.slots, self.known = Slots(run), known.astype(np.float32)
+
+    def score(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As Trie.score, 0 for the runs that are not here; and where these are."""
+        at = self.slots.find(code)
+        hit = at >= 0
+        out = np.zeros(len(code))
+        out[hit] = self.known[at[hit]]
+        return out, np.flatnonzero(~hit)
+
+
 @dataclass
 class Scorer:
     """What tasks need, built once on the driver: of bounded size, whatever the corpus."""
 
-    trie: Trie
+    trie: Trie | Head
     head: Slots
     logs: np.ndarray
     end: float
@@ -244,6 +265,7 @@ class Scorer:
 @dataclass
 class Model:
     trie: DataFrame
+    runs: int
     vocabulary: DataFrame  # key, n
     tokens: int
     distinct: int
@@ -259,7 +281,7 @@ def learn(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
     sums = {r["kind"]: (r["keys"], r["n"]) for r in counts.groupBy("kind").agg(F.count("*").alias("keys"), F.sum("n").alias("n")).collect()}
     distinct, total = sums.get(1, (0, 0))
     n_docs = sums.get(2, (0, 0))[1]
-    return Model(trie, vocabulary, total + n_docs, distinct + (n_docs > 0), n_docs)
+    return Model(trie, sums.get(0, (0, 0))[0], vocabulary, total + n_docs, distinct + (n_docs > 0), n_docs)
 
 
 def _numbers(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -267,6 +289,68 @@ def _numbers(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
 
 
+def _last(code: Column | str, size: int) -> Column:
+    """The last size bytes of a code."""
+    return F.col(code) if size >= 8 else F.col(code).bitwiseAND(F.lit((1 << 8 * size) - 1).cast("long"))
+
+
+@dataclass
+class Long:
+    """The orders of a trie that are joined, longest first, and the trie below them."""
+
+    orders: list[tuple[DataFrame, DataFrame]]  # runs: key, n; contexts: context, total, distinct, below
+    lower: Trie
+
+    @staticmethod
+    def of(trie: DataFrame, order: int, most: int) -> Long:
+        """Orders are joined until one has no more than most runs. Each is counted from all runs of the longer one."""
+        orders, runs, k = [], trie, order
+        while True:
+            shorter = shared.written(runs.groupBy(_last("key", k).alias("key")).agg(F.sum("n").alias("n")), "runs")
+            below = shorter.select(F.col("key").alias("suffix"), F.col("n").alias("n_below"))
+            spread = runs.select(F.shiftrightunsigned("key", 8).alias("context"), _last("key", k).alias("suffix"), "n").join(below, "suffix")
+            contexts = spread.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.sum("n_below").alias("below"))
+            orders.append((runs, shared.written(contexts, "contexts")))
+            runs, k = shorter, k - 1
+            if k == 0 or runs.count() <= most:
+                return Long(orders, Trie(*_numbers(runs), k, whole=False))
+
+    def head(self, most: int) -> Head:
+        runs, contexts = self.orders[0]
+        often = runs.where(F.col("n") >= at_least(runs, most)).withColumn("context", F.shiftrightunsigned("key", 8))
+        found = often.join(contexts, "context").select("key", F.log10((F.col("n") - 0.5) / F.col("total")).alias("n"))
+        return Head(*_numbers(found))
+
+    def priced(self, codes: DataFrame, order: int) -> DataFrame:
+        """(code, price) for a table of different codes: the log10 probabilities that the whole trie gives."""
+        spark = codes.sparkSession
+        todo = codes.select("code", F.lit(0.0).alias("price"), F.lit(0).cast("long").alias("gone"), F.lit(0).cast("long").alias("kinds"))
+        done = []
+        for k, (runs, contexts) in zip(range(order, 0, -1), self.orders, strict=False):
+            rows = todo.withColumn("key", _last("code", k + 1)).withColumn("context", F.shiftrightunsigned("key", 8))
+            rows = rows.join(contexts, "context", "left").join(runs, "key", "left")
+            paid = F.coalesce(F.col("n") - 0.5, 0.5 * (F.col("distinct") - F.col("kinds")))
+            rows = rows.select(
+                "code", (F.col("price") + F.when(paid > 0, F.log10(paid / (F.col("total") - F.col("gone")))).otherwise(0.0)).alias("price"),
+                F.coalesce("below", "gone").alias("gone"), F.coalesce("distinct", "kinds").alias("kinds"), F.col("n").isNotNull().alias("found"),
+            )
+            rows = shared.written(rows, "prices")
+            done.append(rows.where("found").select("code", "price"))
+            todo = rows.where("not found").drop("found")
+        handle = spark.sparkContext.broadcast(self.lower)
+
+        def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                code, price, gone, kinds = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+                price = handle.value.escaped(code.view(np.uint64), price.copy(), gone.copy(), kinds.copy())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(price)], ["code", "price"])
+
+        out = shared.map_arrow(todo, rest, "code long, price double")
+        for part in done:
+            out = out.unionByName(part)
+        return out
+
+
 def _score(handle, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -278,7 +362,9 @@ def _score(handle, order: int):
             m = piece.num_rows
             w = words.split(piece.column("text"), "space", True)
             code, at = runs(w, words.buffers(piece.column("text"))[1], order)
-            score = np.add.reduceat(trie.score(code), at[:-1])
+            symbols, left = trie.score(code) if isinstance(trie, Head) else (trie.score(code), np.zeros(0, np.int64))
+            score = np.add.reduceat(symbols, at[:-1])
+            deep = pa.ListArray.from_arrays(pa.array(np.searchsorted(left, at), pa.int32()), pa.array(code[left].view(np.int64)))
             h = w.hashes()
             found = head.find(h)
             known = found >= 0
@@ -287,7 +373,7 @@ def _score(handle, order: int):
             n_known = np.bincount(doc[known], minlength=m) + model.end_known
             rare, whose = h[~known].view(np.int64), doc[~known]
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(whose, np.arange(m + 1)), pa.int32()), pa.array(rare))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(key, key + m)), piece.column("row"), pa.array(np.diff(w.at) + 1), pa.array(n_known, pa.int64()), pa.array(base), pa.array(score), lists], ["key", "row", "n_tokens", "n_known", "base", "score", "rare"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(key, key + m)), piece.column("row"), pa.array(np.diff(w.at) + 1), pa.array(n_known, pa.int64()), pa.array(base), pa.array(score), lists, deep], ["key", "row", "n_tokens", "n_known", "base", "score", "rare", "deep"])
             key += m
 
     return run
@@ -304,14 +390,15 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str
     spark = docs.sparkSession
     least = at_least(model.vocabulary, head_words)
     scale = float(np.log10(model.tokens + 0.1 * (model.distinct + 1)))
-    grams = model.trie.where(F.col("n") >= at_least(model.trie, trie_runs))
+    long = Long.of(model.trie, order, trie_runs // 2) if model.runs > trie_runs and order else None
+    trie = long.head(trie_runs // 2) if long else Trie(*_numbers(model.trie), order)
     keys, n = _numbers(model.vocabulary.where(F.col("n") >= least))
-    scorer = Scorer(Trie(*_numbers(grams), order), Slots(keys), np.log10(n + 0.1) - scale, float(np.log10(model.docs + 0.1)) - scale, model.docs > 0)
+    scorer = Scorer(trie, Slots(keys), np.log10(n + 0.1) - scale, float(np.log10(model.docs + 0.1)) - scale, model.docs > 0)
     handle = spark.sparkContext.broadcast(scorer)
-    del scorer
+    del scorer, trie
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = StructType().add("key", "long").add(rows.schema["row"])
-    for name, kind in (("n_tokens", LongType()), ("n_known", LongType()), ("base", DoubleType()), ("score", DoubleType()), ("rare", ArrayType(LongType()))):
+    for name, kind in (("n_tokens", LongType()), ("n_known", LongType()), ("base", DoubleType()), ("score", DoubleType()), ("rare", ArrayType(LongType())), ("deep", ArrayType(LongType()))):
         schema = schema.add(name, kind)
     done = shared.written(shared.map_arrow(rows, _score(handle, order), schema), "scores")
     rest = done.select("key", F.explode("rare").alias("word"))
@@ -319,8 +406,13 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str
     more = rest.join(counts, "word", "left").groupBy("key").agg(
         F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1) - F.lit(scale)).alias("more"), F.count("n").alias("more_known")
     )
-    return done.join(more, "key", "left").select(
-        "row", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score"
+    done, score = done.join(more, "key", "left"), F.col("score")
+    if long:
+        codes = done.select("key", F.explode("deep").alias("code"))
+        prices = codes.join(long.priced(codes.select("code").distinct(), order), "code").groupBy("key").agg(F.sum("price").alias("more_score"))
+        done, score = done.join(prices, "key", "left"), score + F.coalesce("more_score", F.lit(0.0))
+    return done.select(
+        "row", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), score.alias("score")
     )
 
 

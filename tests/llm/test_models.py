@@ -132,6 +132,20 @@ def test_a_small_trie_still_gives_probabilities(spark):
     assert len(found) == df.count() and all(r["score"] < 0 for r in found)
 
 
+@pytest.mark.parametrize(("order", "most"), [(2, 100), (5, 10), (5, 500), (5, 2000)])
+def test_runs_beyond_the_broadcast_still_count(spark, order, most):
+    rows = documents(6, 40)
+    low = {i: re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode() for i, t, *_ in rows}
+    df = frame(spark, rows)
+    model = lm.learn(df.where(~lm.held_out(F.col("doc_id"))), order=order)
+    assert model.runs == model.trie.count() > most
+    scores = dict(zip(low, ppm([t for i, t in low.items() if zlib.crc32(str(i).encode()) % 10], list(low.values()), order), strict=True))
+    found = lm.scored(df, model, order=order, trie_runs=most).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert r["score"] == pytest.approx(scores[r["row"]["doc_id"]], rel=1e-5, abs=1e-5)
+
+
 def test_scores_without_training_and_rows(spark):
     none = spark.createDataFrame([], SCHEMA)
     model = lm.learn(none)
