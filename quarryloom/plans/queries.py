@@ -161,7 +161,20 @@ def shift_right_pad_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH t AS (SELECT doc_id, list_resize(({_IDS})[1:64], 64, 0) AS ids FROM documents), l AS (SELECT *, list_transform(ids, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END) AS labels FROM t)
 SELECT doc_id, array_to_string(labels, ',') AS labels, len(list_filter(labels, lambda x: x = -100)) AS n_ignored, list_transform(labels, lambda x: CASE WHEN x = -100 THEN 0 ELSE x END) = ids AS restored FROM l""")
 def label_ignore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _lengths(spark, sf_dir).select("doc_id", spans.padded(F.slice("ids", 1, 64), 64, 0).alias("ids")).withColumn("labels", spans.ignored(F.col("ids"), 0))
+    """The first 64 ids, as its SQL asks; label_ignore_roundtrip_all has whole documents."""
+    return _ignored_and_back(_lengths(spark, sf_dir).select("doc_id", spans.padded(F.slice("ids", 1, 64), 64, 0).alias("ids")))
+
+
+@query(f"""WITH t AS (SELECT doc_id, doc_id // 8 AS batch_id, {_IDS} AS ids FROM documents), w AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS width FROM t),
+p AS (SELECT doc_id, list_resize(ids, width, 0) AS ids FROM w), l AS (SELECT *, list_transform(ids, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END) AS labels FROM p)
+SELECT doc_id, array_to_string(labels, ',') AS labels, len(list_filter(labels, lambda x: x = -100)) AS n_ignored, list_transform(labels, lambda x: CASE WHEN x = -100 THEN 0 ELSE x END) = ids AS restored FROM l""")
+def label_ignore_roundtrip_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spans.batch_width(_lengths(spark, sf_dir), "batch_id", "ids")
+    return _ignored_and_back(rows.select("doc_id", spans.padded(F.col("ids"), F.col("width"), 0).alias("ids")))
+
+
+def _ignored_and_back(padded: DataFrame) -> DataFrame:
+    rows = padded.withColumn("labels", spans.ignored(F.col("ids"), 0))
     return rows.select("doc_id", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"), F.size(F.filter("labels", lambda x: x == spans.IGNORE)).cast("long").alias("n_ignored"), (spans.unignored(F.col("labels"), 0) == F.col("ids")).alias("restored"))
 
 

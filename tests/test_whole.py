@@ -16,3 +16,14 @@ def test_every_line_has_its_enclosing_name(spark):
     expected = {(r["doc_id"], n) for r in texts if r["text"] is not None for n in range(1, r["text"].count("\n") + 2)}
     found = [(r["doc_id"], r["line_no"]) for r in queries.QUERIES["asof_enclosing_line_all"](spark, DATA).collect()]
     assert len(found) == len(expected) and set(found) == expected
+
+
+def test_labels_hold_every_word(spark):
+    texts = queries.table(spark, DATA, "documents").select("doc_id", "text").collect()
+    words = {r["doc_id"]: [str(len(w)) for w in r["text"].split()] for r in texts}
+    found = {r["doc_id"]: r for r in queries.QUERIES["label_ignore_roundtrip_all"](spark, DATA).collect()}
+    assert found.keys() == words.keys() and all(r["restored"] for r in found.values())
+    for i, r in found.items():
+        labels = r["labels"].split(",")
+        assert labels[: len(words[i])] == words[i] and set(labels[len(words[i]) :]) <= {"-100"}
+        assert r["n_ignored"] == len(labels) - len(words[i])
