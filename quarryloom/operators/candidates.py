@@ -41,10 +41,20 @@ def validity_by_position(df: DataFrame, pos: str, k: int) -> DataFrame:
     return df.sparkSession.range(k).withColumnRenamed("id", "pos").join(counts, "pos", "left").na.fill(0)
 
 
+def width(df: DataFrame, pos: str) -> int:
+    """How many columns the positions of df need, 1 at least."""
+    return (df.agg(F.max(pos)).first()[0] or 0) + 1
+
+
 def pivoted(df: DataFrame, key: str, pos: str, code: str, k: int, prefix: str = "generated_test_") -> DataFrame:
-    """One row for each input with num_results and k columns; a missing candidate is null."""
+    """One row for each input with num_results and k columns; a missing candidate is null.
+
+    A position of null, of less than 0 or of k or more raises.
+    """
+    placed = F.coalesce(F.col(pos).between(0, k - 1), F.lit(False))
+    lost = F.raise_error(F.concat(F.lit(f"no column of {k} for position "), F.coalesce(F.col(pos).cast("string"), F.lit("null"))))
     wide = [F.max(F.when(F.col(pos) == i, F.col(code))).alias(f"{prefix}{i + 1}") for i in range(k)]
-    return df.where(F.col(pos) < k).groupBy(key).agg(*wide).select(key, F.lit(k).alias("num_results"), *[f"{prefix}{i + 1}" for i in range(k)])
+    return df.where(F.when(placed, F.lit(True)).otherwise(lost.cast("boolean"))).groupBy(key).agg(*wide).select(key, F.lit(k).alias("num_results"), *[f"{prefix}{i + 1}" for i in range(k)])
 
 
 def unpivoted(df: DataFrame, key: str, k: int, prefix: str = "generated_test_") -> DataFrame:

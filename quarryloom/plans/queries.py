@@ -81,12 +81,28 @@ def candidate_validate_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, 5 AS num_results, " + ", ".join(f"max(text) FILTER (WHERE turn = {i}) AS generated_test_{i + 1}" for i in range(5)) + " FROM conversations WHERE turn < 5 GROUP BY conv_id")
 def candidate_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.pivoted(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 5)
+    """The first 5 turns, as its SQL asks; candidate_pivot_all has every turn."""
+    return candidates.pivoted(table(spark, sf_dir, "conversations").where("turn < 5"), "conv_id", "turn", "text", 5)
+
+
+@query("""PIVOT (SELECT conv_id, text, 'generated_test_' || (turn + 1) AS name, CAST((SELECT max(turn) + 1 FROM conversations) AS INTEGER) AS num_results FROM conversations)
+ON name USING max(text) GROUP BY conv_id, num_results""")
+def candidate_pivot_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many columns as the longest conversation has turns."""
+    turns = table(spark, sf_dir, "conversations")
+    return candidates.pivoted(turns, "conv_id", "turn", "text", candidates.width(turns, "turn"))
 
 
 @query("SELECT conv_id, CAST(turn AS INTEGER) AS cand_pos, max(text) AS code FROM conversations WHERE turn < 5 GROUP BY ALL HAVING max(text) <> ''")
 def candidate_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.unpivoted(candidates.pivoted(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 5), "conv_id", 5)
+    """The first 5 turns, as its SQL asks; candidate_unpivot_all has every turn."""
+    return candidates.unpivoted(candidate_pivot(spark, sf_dir), "conv_id", 5)
+
+
+@query("SELECT conv_id, CAST(turn AS INTEGER) AS cand_pos, max(text) AS code FROM conversations GROUP BY ALL HAVING max(text) <> ''")
+def candidate_unpivot_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = candidate_pivot_all(spark, sf_dir)
+    return candidates.unpivoted(wide, "conv_id", len(wide.columns) - 2)
 
 
 @query("""WITH flat AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS f FROM orders GROUP BY o_custkey)

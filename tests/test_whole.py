@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from quarryloom.operators import candidates
 from quarryloom.plans import queries
 
 DATA = "/root/testdata/sf0.001"
@@ -27,3 +28,17 @@ def test_labels_hold_every_word(spark):
         labels = r["labels"].split(",")
         assert labels[: len(words[i])] == words[i] and set(labels[len(words[i]) :]) <= {"-100"}
         assert r["n_ignored"] == len(labels) - len(words[i])
+
+
+def test_pivot_and_back_keeps_every_turn(spark):
+    turns = queries.table(spark, DATA, "conversations").select("conv_id", "turn", "text").collect()
+    assert max(r["turn"] for r in turns) >= 5
+    found = queries.QUERIES["candidate_unpivot_all"](spark, DATA).collect()
+    assert sorted(map(tuple, found)) == sorted((r["conv_id"], r["turn"], r["text"]) for r in turns if r["text"])
+
+
+@pytest.mark.parametrize("position", [2, -1, None])
+def test_pivot_raises_for_a_position_without_a_column(spark, position):
+    df = spark.createDataFrame([(1, 0, "a"), (1, position, "b")], "k long, pos int, code string")
+    with pytest.raises(Exception, match="no column of 2 for position"):
+        candidates.pivoted(df, "k", "pos", "code", 2).collect()
