@@ -15,8 +15,8 @@ def grams(tokens: Column, n: int) -> Column:
     return F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def corpus_bleu(pairs: DataFrame, key: str, candidate: str, reference: str, weights: DataFrame | None = None) -> DataFrame:
-    """One row: bleu, p1..p4 and length_ratio over pairs of token arrays.
+def corpus_bleu(pairs: DataFrame, key: str, candidate: str, reference: str, weights: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each value of by: bleu, p1..p4 and length_ratio over pairs of token arrays.
 
     Counts of n-grams are clipped to the reference's within a pair. Any precision of 0
     makes the score 0, as do no pairs. weights (token, weight), if given, weigh unigrams.
@@ -25,18 +25,18 @@ def corpus_bleu(pairs: DataFrame, key: str, candidate: str, reference: str, weig
         return F.transform(grams(F.col(column), n), lambda g: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), g.alias("gram")))
 
     both = F.concat(*[entries(n, side, column) for n in range(1, ORDERS + 1) for side, column in (("c", candidate), ("r", reference))])
-    found = pairs.select(key, F.inline(both))
-    counts = found.groupBy(key, "n", "gram").agg(F.count_if(F.col("side") == "c").alias("c"), F.count_if(F.col("side") == "r").alias("r"))
+    found = pairs.select(*by, key, F.inline(both))
+    counts = found.groupBy(*by, key, "n", "gram").agg(F.count_if(F.col("side") == "c").alias("c"), F.count_if(F.col("side") == "r").alias("r"))
     weight = F.lit(1.0)
     if weights is not None:
         counts = counts.join(weights.select(F.col("token").alias("gram"), "weight"), "gram", "left")
         weight = F.when(F.col("n") == 1, F.coalesce("weight", F.lit(0.2))).otherwise(F.lit(1.0))
     hit, all_ = F.sum(F.least("c", "r") * weight), F.sum(F.col("c") * weight)
-    by_n = counts.groupBy("n").agg(hit.alias("hit"), all_.alias("total"), F.sum("c").alias("nc"), F.sum("r").alias("nr"))
+    by_n = counts.groupBy(*by, "n").agg(hit.alias("hit"), all_.alias("total"), F.sum("c").alias("nc"), F.sum("r").alias("nr"))
     lengths = [F.max(F.when(F.col("n") == 1, F.col(side))).alias(side) for side in ("nc", "nr")]
-    row = by_n.agg(*[F.max(F.when(F.col("n") == n, F.try_divide("hit", "total"))).alias(f"p{n}") for n in range(1, ORDERS + 1)], *lengths)
+    row = by_n.groupBy(*by).agg(*[F.max(F.when(F.col("n") == n, F.try_divide("hit", "total"))).alias(f"p{n}") for n in range(1, ORDERS + 1)], *lengths)
     p = [F.coalesce(f"p{n}", F.lit(0.0)) for n in range(1, ORDERS + 1)]
     mean = F.exp(reduce(lambda a, b: a + b, [F.log(x) for x in p]) / ORDERS)
     short = F.when(F.col("nc") >= F.col("nr"), F.lit(1.0)).otherwise(F.exp(1 - F.try_divide(F.col("nr").cast("double"), F.col("nc"))))
     score = F.when(F.least(*p) > 0, F.coalesce(short, F.lit(0.0)) * mean).otherwise(F.lit(0.0))
-    return row.select(score.alias("bleu"), *[x.alias(f"p{n}") for n, x in enumerate(p, 1)], F.try_divide(F.col("nc").cast("double"), F.col("nr")).alias("length_ratio"))
+    return row.select(*by, score.alias("bleu"), *[x.alias(f"p{n}") for n, x in enumerate(p, 1)], F.try_divide(F.col("nc").cast("double"), F.col("nr")).alias("length_ratio"))

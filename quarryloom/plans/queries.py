@@ -553,6 +553,27 @@ def bleu_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row.select(*[F.round(c, 9).alias(c) for c in row.columns])
 
 
+def _against_turn_1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turn 1 of a conversation is the reference, every other turn a candidate at its position."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("position"), F.split("text", r"\s+").alias("c"))
+    return turns.where("position <> 1").join(turns.where("position = 1").select("conv_id", F.col("c").alias("r")), "conv_id")
+
+
+_PAIRS = r"""p AS (SELECT a.conv_id, a.turn AS position, string_split_regex(a.text, '\s+') AS c, string_split_regex(b.text, '\s+') AS r FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn <> 1 AND b.turn = 1)"""
+
+
+@query(rf"""WITH {_PAIRS},
+g AS ({_GRAMS.replace("SELECT conv_id", "SELECT position, conv_id")}), k AS (SELECT position, conv_id, n, gram, count(*) FILTER (WHERE side = 'c') AS c, count(*) FILTER (WHERE side = 'r') AS r FROM g GROUP BY ALL),
+s AS (SELECT position, n, sum(least(c, r))::DOUBLE / nullif(sum(c), 0) AS p FROM k GROUP BY position, n),
+q AS (SELECT position, coalesce(max(p) FILTER (WHERE n = 1), 0) AS p1, coalesce(max(p) FILTER (WHERE n = 2), 0) AS p2, coalesce(max(p) FILTER (WHERE n = 3), 0) AS p3, coalesce(max(p) FILTER (WHERE n = 4), 0) AS p4 FROM s GROUP BY position),
+z AS (SELECT position, sum(len(c))::DOUBLE AS nc, sum(len(r))::DOUBLE AS nr FROM p GROUP BY position)
+SELECT position, round(CASE WHEN least(p1, p2, p3, p4) > 0 THEN (CASE WHEN nc >= nr THEN 1 ELSE exp(1 - nr / nc) END) * exp((ln(nullif(p1, 0)) + ln(nullif(p2, 0)) + ln(nullif(p3, 0)) + ln(nullif(p4, 0))) / 4) ELSE 0 END, 9)::DOUBLE AS bleu,
+ round(p1, 9)::DOUBLE AS p1, round(p2, 9)::DOUBLE AS p2, round(p3, 9)::DOUBLE AS p3, round(p4, 9)::DOUBLE AS p4, round(nc / nr, 9)::DOUBLE AS length_ratio FROM q JOIN z USING (position)""")
+def bleu_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = metrics.corpus_bleu(_against_turn_1(spark, sf_dir), "conv_id", "c", "r", by=("position",))
+    return rows.select("position", *[F.round(c, 9).alias(c) for c in rows.columns[1:]])
+
+
 # The keywords that weigh more in a method's unigrams.
 JAVA_KEYWORDS = (
     "abstract", "assert", "boolean", "break", "byte", "case", "catch", "char", "class", "const", "continue", "default", "do", "double", "else", "enum", "extends",
@@ -573,6 +594,15 @@ def weighted_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.corpus_bleu(side(0, "c").join(side(1, "r"), "conv_id"), "conv_id", "c", "r", weights).select(F.round("p1", 9).alias("p1"))
 
 
+@query(rf"""WITH {_PAIRS},
+g AS (SELECT position, conv_id, 'c' AS side, unnest(c) AS gram FROM p UNION ALL SELECT position, conv_id, 'r', unnest(r) FROM p), k AS (SELECT position, conv_id, gram, count(*) FILTER (WHERE side = 'c') AS c, count(*) FILTER (WHERE side = 'r') AS r FROM g GROUP BY ALL),
+w AS (SELECT *, CASE WHEN gram IN ({", ".join(f"'{k}'" for k in JAVA_KEYWORDS)}) THEN 1.0 ELSE 0.2 END AS weight FROM k)
+SELECT position, round((sum(least(c, r) * weight) / sum(c * weight))::DOUBLE, 9) AS p1 FROM w GROUP BY position""")
+def weighted_unigrams_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = spark.createDataFrame([(k, 1.0) for k in JAVA_KEYWORDS], "token string, weight double")
+    return metrics.corpus_bleu(_against_turn_1(spark, sf_dir), "conv_id", "c", "r", weights, by=("position",)).select("position", F.round("p1", 9).alias("p1"))
+
+
 # --- files ------------------------------------------------------------------------------
 
 

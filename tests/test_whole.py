@@ -42,3 +42,13 @@ def test_pivot_raises_for_a_position_without_a_column(spark, position):
     df = spark.createDataFrame([(1, 0, "a"), (1, position, "b")], "k long, pos int, code string")
     with pytest.raises(Exception, match="no column of 2 for position"):
         candidates.pivoted(df, "k", "pos", "code", 2).collect()
+
+
+def test_every_candidate_position_is_scored(spark):
+    positions = {r["turn"] for r in queries.table(spark, DATA, "conversations").select("turn").distinct().collect()} - {1}
+    found = {r["position"]: r for r in queries.QUERIES["bleu_by_position"](spark, DATA).collect()}
+    weighted = {r["position"]: r["p1"] for r in queries.QUERIES["weighted_unigrams_by_position"](spark, DATA).collect()}
+    assert len(positions) > 1 and found.keys() == weighted.keys() == positions
+    one, same = queries.QUERIES["bleu_corpus"](spark, DATA).first(), found[0]
+    assert all(one[c] == same[c] for c in ("bleu", "p1", "p2", "p3", "p4", "length_ratio"))
+    assert weighted[0] == queries.QUERIES["weighted_unigrams"](spark, DATA).first()["p1"]
