@@ -3,7 +3,7 @@
 A packer holds a fixed number of open sequences in a bitset keyed by free space. Each
 piece goes to the open sequence with the least free space that is enough; where none is,
 a new one opens; when too many are open, the fullest closes first. Lengths alone are
-dealt to packers, longest first; token ids never move.
+dealt to packers, and each sees its own longest first; token ids never move.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 from quarryloom.llm import shared, tokens
 
 CAPACITY = 1024
-#: Open sequences of one packer.
-OPEN_BINS = 1 << 16
-#: Pieces of one packer. With as many open sequences none closes for want of space before its input ends.
+#: Open sequences of one packer, about a quarter of its pieces: more would not pack tighter.
+OPEN_BINS = 1 << 14
+#: Pieces of one packer.
 PACKER_PIECES = 60_000
 
 
@@ -63,25 +63,25 @@ class Packer:
         return sequence
 
 
+def cuts(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each piece of documents of these sizes: the document's index, the piece's number, start and length. All but a first piece are full."""
+    n = -(-sizes // capacity)
+    row = np.repeat(np.arange(len(sizes)), n)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    first = (sizes - (n - 1) * capacity)[row]
+    return row, piece, np.where(piece > 0, first + (piece - 1) * capacity, 0), np.where(piece > 0, capacity, first)
+
+
 def _pieces(path: str, end: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(path).encode
-        tail = np.array([end], "<u4").tobytes()
         for part in shared.text_pieces(batches):
-            row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(part.column("text")):
-                ids = encode(text.as_py() or "") + tail
-                n = len(ids) // 4
-                at = 0
-                for k in range(-(-n // capacity)):
-                    to = n - (-(-n // capacity) - 1 - k) * capacity
-                    row.append(i)
-                    piece.append(k)
-                    start.append(at)
-                    length.append(to - at)
-                    crc.append(zlib.crc32(ids[4 * at : 4 * to]))
-                    at = to
-            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            ids, at = tokens.with_end(*encode(part.column("text")), end)
+            row, piece, start, length = cuts(np.diff(at), capacity)
+            data, first = memoryview(ids).cast("B"), 4 * (at[row] + start)
+            crc = [zlib.crc32(data[a:b]) for a, b in zip(first.tolist(), (first + 4 * length).tolist(), strict=True)]
+            columns = [part.column("id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
@@ -104,8 +104,7 @@ def _pack(capacity: int, open_bins: int):
         for batch in batches:
             found = [packer.place(x) for x in batch.column("length").to_pylist()]
             sequence, offset = zip(*found, strict=True) if found else ((), ())
-            names = [*batch.schema.names, "sequence_id", "offset"]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], ["row", "sequence_id", "offset"])
 
     return run
 
@@ -114,13 +113,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
     """pieces with sequence_id and offset: sequences of at most capacity, gapless from 0.
 
     A length of null, of less than 1 or of more than capacity raises. Pieces are dealt
-    evenly to as many packers as packer_pieces asks for.
+    evenly, whatever their documents, to as many packers as packer_pieces asks for. Columns
+    of pieces named sequence_id or offset give way to the new ones.
     """
-    pieces = shared.written(pieces, "pieces")
+    pieces = shared.written(pieces.drop("sequence_id", "offset"), "pieces")
     packers = max(1, -(-pieces.count() // packer_pieces))
-    dealt = pieces.repartition(packers, "doc_id", "piece", "start").sortWithinPartitions(F.desc("length"), "doc_id", "piece", "start", "ids_crc32")
-    schema = StructType([*dealt.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    return shared.map_arrow(dealt, _pack(capacity, open_bins), schema)
+    dealt = pieces.repartition(packers).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "start", "ids_crc32")
+    rows = dealt.select(F.struct(*[F.col(f"`{c}`") for c in pieces.columns]).alias("row"), "length")
+    schema = StructType([rows.schema["row"], StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    done = shared.map_arrow(rows, _pack(capacity, open_bins), schema)
+    return done.select(*[F.col(f"row.`{c}`").alias(c) for c in pieces.columns], "sequence_id", "offset")
 
 
 def packed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end: int = 2, capacity: int = CAPACITY) -> DataFrame:

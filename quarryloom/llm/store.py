@@ -20,6 +20,12 @@ def put(folder: str, name: str, data: bytes) -> str:
     return name
 
 
+def made(spark: SparkSession, folder: str) -> None:
+    """Makes the folder, which then can be read even if no task writes a file."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+
+
 def finished(spark: SparkSession, folder: str, listed: DataFrame) -> DataFrame:
     """The listed files with their bytes as content; listed has a column name."""
     files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")

@@ -27,7 +27,7 @@ from quarryloom.llm import shared, store, tokens
 
 MAGIC = b"QLPLANE1"
 CHUNK_IDS = 1 << 16
-#: Ids of one file, unless a single document has more.
+#: Ids of one file, unless the texts that are encoded at once have more.
 FILE_IDS = 8 << 20
 LEVEL = 1
 
@@ -77,21 +77,39 @@ def from_planes(planes: list[bytes], n: int, mode: str) -> np.ndarray:
     return out.reshape(-1).view("<u4")[:n]
 
 
-def encoded(documents: list[tuple[int | None, bytes]], mode: str = "bit", chunk: int = CHUNK_IDS) -> bytes:
-    """The file of (id, little-endian unsigned 32-bit ids) documents."""
-    press = zstandard.ZstdCompressor(level=LEVEL).compress
-    ids = np.frombuffer(b"".join(x for _, x in documents), "<u4")
-    body, sizes = [MAGIC], []
-    for a in range(0, len(ids), chunk):
-        planes = to_planes(ids[a : a + chunk], mode)
-        found = [press(x) if x.strip(b"\0") else b"" for x in planes]
-        sizes.append(len(found))
-        sizes += [len(x) for x in found]
-        body += found
-    head = json.dumps({"mode": mode, "chunk": chunk, "ids": len(ids), "sizes": len(sizes), "documents": len(documents)}).encode()
-    columns = [sizes, [x or 0 for x, _ in documents], [int(x is None) for x, _ in documents], [len(x) // 4 for _, x in documents]]
-    index = press(head + b"\n" + b"".join(np.array(x, "<i8").tobytes() for x in columns))
-    return b"".join([*body, index, len(index).to_bytes(8, "little"), MAGIC])
+class Writer:
+    """A file in the making. Chunks are compressed as soon as they are full."""
+
+    def __init__(self, mode: str = "bit", chunk: int = CHUNK_IDS):
+        self.mode, self.size = mode, chunk
+        self.press = zstandard.ZstdCompressor(level=LEVEL).compress
+        self.body, self.sizes, self.rest, self.ids = [MAGIC], [], np.zeros(0, np.uint32), 0
+        self.doc_ids: list[int | None] = []
+        self.lengths: list[int] = []
+
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, lengths: list[int]) -> None:
+        """Documents one after another: their ids, and how many each has."""
+        self.doc_ids += doc_ids
+        self.lengths += lengths
+        self.ids += len(ids)
+        self.rest = np.append(self.rest, ids)
+        whole = len(self.rest) // self.size * self.size
+        for a in range(0, whole, self.size):
+            self._chunk(self.rest[a : a + self.size])
+        self.rest = self.rest[whole:].copy()
+
+    def _chunk(self, ids: np.ndarray) -> None:
+        found = [self.press(x) if x.count(0) < len(x) else b"" for x in to_planes(ids, self.mode)]
+        self.sizes += [len(found), *map(len, found)]
+        self.body += found
+
+    def data(self) -> bytes:
+        if len(self.rest):
+            self._chunk(self.rest)
+        head = json.dumps({"mode": self.mode, "chunk": self.size, "ids": self.ids, "sizes": len(self.sizes), "documents": len(self.doc_ids)}).encode()
+        columns = [self.sizes, [x or 0 for x in self.doc_ids], [int(x is None) for x in self.doc_ids], self.lengths]
+        index = self.press(head + b"\n" + b"".join(np.array(x, "<i8").tobytes() for x in columns))
+        return b"".join([*self.body, index, len(index).to_bytes(8, "little"), MAGIC])
 
 
 class Reader:
@@ -140,26 +158,24 @@ def _write(folder: str, path: str, end: int, mode: str):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encode, tail = tokens.encoder(path).encode, np.array([end], "<u4").tobytes()
-        held, size, names, ids, docs = [], 0, [], [], []
+        encode = tokens.encoder(path).encode
+        made, names, n_ids, n_docs = Writer(mode), [], [], []
 
         def close() -> None:
-            names.append(store.put(folder, f"ids-{part:06d}-{len(names):06d}", encoded(held, mode)))
-            ids.append(size)
-            docs.append(len(held))
+            names.append(store.put(folder, f"ids-{part:06d}-{len(names):06d}", made.data()))
+            n_ids.append(made.ids)
+            n_docs.append(len(made.doc_ids))
 
         for piece in shared.text_pieces(batches):
-            for doc_id, text in zip(piece.column("id").to_pylist(), piece.column("text"), strict=True):
-                data = encode(text.as_py() or "") + tail
-                if held and size + len(data) // 4 > FILE_IDS:
-                    close()
-                    held, size = [], 0
-                held.append((doc_id, data))
-                size += len(data) // 4
-        if held:
+            ids, at = tokens.with_end(*encode(piece.column("text")), end)
+            if made.ids and made.ids + len(ids) > FILE_IDS:
+                close()
+                made = Writer(mode)
+            made.add(piece.column("id").to_pylist(), ids, np.diff(at).tolist())
+        if made.doc_ids:
             close()
         n = len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([part] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(ids, pa.int64()), pa.array(docs, pa.int64())], ["name", "part", "file", "n_ids", "n_docs"])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([part] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(n_ids, pa.int64()), pa.array(n_docs, pa.int64())], ["name", "part", "file", "n_ids", "n_docs"])
 
     return run
 
@@ -169,8 +185,9 @@ def write_ids(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
 
     Returns the list of files: name, part, file, n_ids, n_docs and start, the ids in
     all files before. A null text is empty; null ids come first; rows of one id follow
-    one another in the order of their texts.
+    one another in the order of their texts. No rows give no file.
     """
+    store.made(docs.sparkSession, folder)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     dealt = rows.repartitionByRange(shared.partitions(docs.sparkSession), "id").sortWithinPartitions("id", F.xxhash64("text"))
     listed = shared.written(shared.map_arrow(dealt, _write(folder, path or tokens.vocabulary(), end, mode), "name string, part int, file int, n_ids long, n_docs long"), "files")

@@ -36,7 +36,7 @@ def test_links(spark, rows):
 
 
 def test_tokens(spark, rows):
-    n = len(tokens.Encoder(tokens.vocabulary()).whole([rows[0][1]])[0]) // 4 + 1
+    n = len(tokens.Encoder(tokens.vocabulary()).whole([rows[0][1]])[0]) + 1
     pieces = packing.packed_documents(frame(spark, rows)).where("doc_id = 2").collect()
     assert sum(r["length"] for r in pieces) == n and len(pieces) == -(-n // 1024)
     folder = shared.scratch(spark, "test")

@@ -1,7 +1,9 @@
+import json
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarryloom.llm import packing, shared, token_store, tokens
@@ -14,18 +16,34 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.vocabulary())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
-def test_encoder_equals_library(library):
+@pytest.mark.parametrize(("kept", "size"), [(50, 40), (3000, 1000), (tokens.KEPT_PIECES, tokens.SLICE_BYTES)])
+def test_encoder_equals_library(library, kept, size):
     r = random.Random(4)
-    alphabet = "ab é ÀZ09²½\n\r\t  ''sdtmreve!?.,<|>-_×÷ſߠ　x\x85\x1c\xa0\xad日本"
-    texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(60))) for _ in range(1500)] + [t for _, t, *_ in documents() if t] + ["<|endoftext|> hi", "  lead", "a  \n\n b   ", "don't we'll I'D 'S"]
-    for kept in (50, 10_000):
-        e = tokens.Encoder(tokens.vocabulary(), kept)
-        for text in texts:
-            assert np.frombuffer(e.encode(text), "<u4").tolist() == library(text)
+    some, few = "ab é ÀZ09²½\n\r\t  ''sdtmreve!?.,<|>-_×÷ſߠ　x\x85\x1c\xa0\xad日本“”’—…€→", "abs tdm'llreve \n"
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(60))) for alphabet in (some, few) for _ in range(1000)]
+    texts += [t for _, t, *_ in documents()] + ["<|endoftext|> hi", "x <|endoftext|> y z", "a<|endoftext|>b", "  lead", "a  \n\n b   ", "don't we'll I'D 'S", "a" * 5000, "ab " * 5000]
+    texts += [f"x{chr(c)}y z{chr(c)} '{chr(c)}s" for c in (*range(0x250), *range(0x2000, 0x3000, 7))]
+    e = tokens.Encoder(tokens.vocabulary(), kept, size)
+    for a in range(0, len(texts), 300):
+        part = texts[a : a + 300]
+        ids, at = e.encode(pa.array(part, pa.string()))
+        assert [ids[x:y].tolist() for x, y in zip(at[:-1], at[1:], strict=True)] == [library(t) for t in part]
+        assert at[-1] == len(ids)
+
+
+def test_other_settings_leave_whole_texts_to_the_library(library):
+    e = tokens.Encoder(tokens.vocabulary())
+    with open(tokens.vocabulary(), encoding="utf-8") as f:
+        settings = json.load(f)
+    assert tokens.splits_into_pieces(settings)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": None}, {"pre_tokenizer": settings["pre_tokenizer"] | {"add_prefix_space": True}}, {"added_tokens": [settings["added_tokens"][0] | {"lstrip": True}]}):
+        assert not tokens.splits_into_pieces(settings | change)
+    e.pieces = None
+    ids, at = e.encode(pa.array(["don't", None, "日本 x"]))
+    assert ids.tolist() == [*library("don't"), *library("日本 x")] and at.tolist() == [0, len(library("don't")), len(library("don't")), len(ids)]
 
 
 def test_packing_is_gapless_whole_and_tight(spark, library):
@@ -74,7 +92,10 @@ def test_planes_round_trip(mode):
     rng = np.random.default_rng(3)
     for high in (1, 2, 300, 50_257, 1 << 20, 1 << 32):
         docs = [(int(k) if k else None, rng.integers(0, high, n, dtype=np.uint32).astype("<u4").tobytes()) for k, n in enumerate((0, 1, 7, 200, 3000, 0))]
-        reader = token_store.Reader(token_store.encoded(docs, mode, chunk=128))
+        writer = token_store.Writer(mode, chunk=128)
+        for part in (docs[:2], [], docs[2:]):
+            writer.add([i for i, _ in part], np.frombuffer(b"".join(x for _, x in part), "<u4"), [len(x) // 4 for _, x in part])
+        reader = token_store.Reader(writer.data())
         assert [(i, x.tobytes()) for i, x in reader.documents()] == docs
         whole = np.frombuffer(b"".join(x for _, x in docs), "<u4")
         assert reader.chunk(3).tolist() == whole[384:512].tolist()
@@ -97,6 +118,19 @@ def test_id_files_round_trip(spark, library, monkeypatch):
     assert {r["doc_id"]: r["ids_crc32"] for r in token_store.read_ids(spark, folder, listed, digest=True).collect()} == {i: zlib.crc32(np.array(x[2], "<u4").tobytes()) for i, x in got.items()}
 
 
+def test_no_documents_give_no_files(spark):
+    folder = shared.scratch(spark, "test")
+    listed = token_store.write_ids(frame(spark, []), folder)
+    assert listed.count() == 0 and token_store.read_ids(spark, folder, listed).count() == 0
+
+
+def test_packing_replaces_columns_of_its_own_names(spark):
+    pieces = packing.token_pieces(frame(spark, documents(3, 10))).selectExpr("*", "7 AS offset", "'own' AS sequence_id", "'own' AS `a.b`")
+    got = packing.pack(pieces)
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "a.b", "sequence_id", "offset"]
+    assert got.where("sequence_id is null or offset is null").count() == 0
+
+
 def test_id_files_null_and_repeated_ids(spark):
     folder = shared.scratch(spark, "test")
     listed = token_store.write_ids(frame(spark, [(2, "x", None, None, None), (None, None, None, None, None), (2, "x", None, None, None)]), folder)
