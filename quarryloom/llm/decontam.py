@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quarryloom.llm import shared, words
 
@@ -147,45 +148,52 @@ def phrases(ids: list[str | None], texts: list[str | None], width: int = WINDOW)
     w = words.split(pa.array(texts, pa.string()), "alnum", True)
     h = w.hashes()
     vocabulary = np.unique(h)
-    symbols = np.searchsorted(vocabulary, h) + 1
-    rows, sizes, item = [], [], []
-    for i in range(len(texts)):
-        a, b = int(w.at[i]), int(w.at[i + 1])
-        for s in range(a, max(b - width, a) + 1) if b > a else ():
-            row = symbols[s : min(s + width, b)]
-            rows.append(np.pad(row, (0, width - len(row))))
-            sizes.append(len(row))
-            item.append(i)
-    return Phrases(vocabulary, np.array(rows, np.int32).reshape(-1, width), np.array(sizes, np.int64), np.array(item, np.int64), list(ids))
+    symbols = np.append(np.searchsorted(vocabulary, h) + 1, 0).astype(np.int32)
+    n = np.diff(w.at)
+    count = np.where(n >= width, n - width + 1, np.minimum(n, 1))
+    item = np.repeat(np.arange(len(n)), count)
+    sizes = np.minimum(n[item], width)
+    first = w.at[item] + np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+    steps = np.arange(width)
+    windows = np.where(steps < sizes[:, None], symbols[np.minimum(first[:, None] + steps, len(h))], 0)
+    return Phrases(vocabulary, windows.astype(np.int32), sizes, item, list(ids))
 
 
 def blocks(bench: DataFrame, id_col: str, text_col: str, width: int, limit: int) -> Iterator[Phrases]:
-    """The items in blocks of about limit words, one at a time on the driver."""
-    ids, texts, size = [], [], 0
-    for row in bench.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).where(f"`{text_col}` is not null").toLocalIterator():
-        ids.append(row[0])
-        texts.append(row[1])
-        size += len(row[1]) // 4 + 1
+    """The items in blocks of about limit words, one at a time on the driver; at least one block."""
+    rows = bench.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    ids, texts, size, made = [], [], 0, False
+    for row in rows.where("text is not null").toLocalIterator():
+        ids.append(row["id"])
+        texts.append(row["text"])
+        size += len(row["text"]) // 4 + 1
         if size >= limit:
             yield phrases(ids, texts, width)
-            ids, texts, size = [], [], 0
-    yield phrases(ids, texts, width)
+            ids, texts, size, made = [], [], 0, True
+    if ids or not made:
+        yield phrases(ids, texts, width)
 
 
-def occurrences(p: Phrases, w: words.Words, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """All occurrences in a shard: the first word's index, and the window's number."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if not len(p.sizes) or not len(w.starts):
-        return none
+def symbols_of(p: Phrases, w: words.Words) -> np.ndarray:
+    """The symbol of each word, 0 for one that no phrase has."""
+    if not len(p.vocabulary):
+        return np.zeros(len(w.starts), np.int32)
     h = w.hashes()
     near = np.searchsorted(p.vocabulary, h)
     near[near == len(p.vocabulary)] = 0
-    symbols = np.where(p.vocabulary[near] == h, near + 1, 0).astype(np.int32)
+    return np.where(p.vocabulary[near] == h, near + 1, 0).astype(np.int32)
+
+
+def occurrences(p: Phrases, symbols: np.ndarray, at: np.ndarray, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """All occurrences in a shard, whose text i has the symbols [at[i], at[i+1]): the first word's index, and the window's number."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     # runs of known words within one text that are long enough for the shortest window
     known = symbols > 0
+    if not len(p.sizes) or not known.any():
+        return none
     begins = known.copy()
     begins[1:] &= ~known[:-1]
-    first = w.at[:-1][w.at[:-1] < len(known)]
+    first = at[:-1][at[:-1] < len(known)]
     begins[first] = known[first]
     run = np.cumsum(begins) - 1
     sizes = np.bincount(run[known], minlength=int(begins.sum()))
@@ -204,63 +212,82 @@ def occurrences(p: Phrases, w: words.Words, sample: int = SAMPLE) -> tuple[np.nd
     return places[index.locate(rows)], window
 
 
+SPAN = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("begin", pa.int64()), ("end", pa.int64())])
 SPANS = "array<struct<first:int,last:int,begin:long,end:long>>"
 
 
+@dataclass
+class Part:
+    """Some texts of a shard with the symbols of their words; the arrays of their bytes are gone again."""
+
+    batch: pa.RecordBatch
+    symbols: np.ndarray
+    at: np.ndarray
+
+    def found(self, hit: np.ndarray, items: list[set], last: bool, cut: bool) -> pa.RecordBatch:
+        """The output rows: hit tells of each word whether it is covered, items names each text's new items."""
+        batch, at = self.batch, self.at
+        texts, spans, names, clean = batch.column("text"), [], [], []
+        n_hit = np.diff(np.r_[0, np.cumsum(hit)][at])
+        for i, (old, known) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)):
+            mine = hit[at[i] : at[i + 1]]
+            if old:
+                mine = mine.copy()
+                for s in old:
+                    mine[s["first"] : s["last"] + 1] = True
+            spans.append(_spans(texts.slice(i, 1), mine) if old or n_hit[i] else [])
+            names.append(sorted(items[i] | set(known or ())))
+            if cut and spans[-1]:
+                text, parts, done = texts[i].as_py().encode(), [], 0
+                for s in spans[-1]:
+                    parts.append(text[done : s["begin"]])
+                    done = s["end"]
+                clean.append(b"".join([*parts, text[done:]]).decode())
+            elif cut:
+                clean.append(texts[i].as_py())
+        columns = [batch.column("row"), pa.array(np.diff(at).astype(np.int64)), pa.array(spans, pa.list_(SPAN)), pa.array(names, pa.list_(pa.string()))]
+        kept = ["row", "n_words", "spans", "items"]
+        if not last:
+            return pa.RecordBatch.from_arrays([*columns, texts], [*kept, "text"])
+        return pa.RecordBatch.from_arrays([*columns, pa.array(clean, pa.string())], [*kept, "clean"]) if cut else pa.RecordBatch.from_arrays(columns, kept)
+
+
+def _spans(text: pa.Array, hit: np.ndarray) -> list[dict]:
+    """The merged runs of hit words of one text, with their places in its bytes."""
+    w = words.split(text, "alnum", True)
+    edge = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0]))
+    return [{"first": f, "last": t - 1, "begin": int(w.starts[f]), "end": int(w.ends[t - 1])} for f, t in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+
+
 def _search(handle, last: bool, cut: bool):
-    def shards(batches):
+    def shards(batches: Iterator[pa.RecordBatch], p: Phrases) -> Iterator[list[Part]]:
         held, size = [], 0
-        for piece in shared.text_pieces(batches, limit=SHARD_BYTES):
-            grown = size + int(shared.byte_lengths(piece.column("text")).sum())
-            if held and grown > SHARD_BYTES:
+        for piece in shared.text_pieces(batches):
+            n = int(shared.byte_lengths(piece.column("text")).sum())
+            if held and size + n > SHARD_BYTES:
                 yield held
-                held, grown = [], grown - size
-            held.append(piece)
-            size = grown
+                held, size = [], 0
+            w = words.split(piece.column("text"), "alnum", True)
+            held.append(Part(piece, symbols_of(p, w), w.at))
+            size += n
         if held:
             yield held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = handle.value
-        for held in shards(batches):
-            table = pa.Table.from_batches(held).combine_chunks()
-            texts = table.column("text").combine_chunks()
-            w = words.split(texts, "alnum", True)
-            at, window = occurrences(p, w)
-            hit = words.covered(len(w.starts), at, p.sizes[window]) if len(at) else np.zeros(len(w.starts), bool)
-            doc = np.searchsorted(w.at, at, side="right") - 1
-            pairs = np.unique(np.stack([doc, p.item[window]]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
-            _, base = words.buffers(texts)
-            spans, items, clean = [], [], []
-            n_hit = np.diff(np.r_[0, np.cumsum(hit)][w.at])
-            raw = w.raw.tobytes() if cut else b""
-            cuts = np.searchsorted(pairs[0], np.arange(table.num_rows + 1))
-            for i, (old, known) in enumerate(zip(table.column("spans").to_pylist(), table.column("items").to_pylist(), strict=True)):
-                a, b = int(w.at[i]), int(w.at[i + 1])
-                if n_hit[i] or old:
-                    mine = hit[a:b].copy()
-                    for s in old or ():
-                        mine[s["first"] : s["last"] + 1] = True
-                    edge = np.flatnonzero(np.diff(np.r_[0, mine.astype(np.int8), 0]))
-                    spans.append([{"first": int(f), "last": int(t) - 1, "begin": int(w.starts[a + f] - base[i]), "end": int(w.ends[a + t - 1] - base[i])} for f, t in zip(edge[::2], edge[1::2], strict=True)])
-                else:
-                    spans.append([])
-                new = {p.ids[k] for k in pairs[1][cuts[i] : cuts[i + 1]]} - {None}
-                items.append(sorted(new | set(known or ())) if new or known else [])
-                if cut and spans[-1]:
-                    text, parts, done = raw[base[i] : base[i + 1]], [], 0
-                    for s in spans[-1]:
-                        parts.append(text[done : s["begin"]])
-                        done = s["end"]
-                    clean.append(b"".join([*parts, text[done:]]).decode())
-                elif cut:
-                    clean.append(texts[i].as_py())
-            kept = {"row": table.column("row"), "n_words": pa.array(np.diff(w.at), pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("begin", pa.int64()), ("end", pa.int64())]))), "items": pa.array(items, pa.list_(pa.string()))}
-            if not last:
-                kept["text"] = table.column("text")
-            elif cut:
-                kept["clean"] = pa.array(clean, pa.string())
-            yield from pa.table(kept).to_batches(max_chunksize=shared.BATCH_ROWS)
+        for held in shards(batches, p):
+            texts = np.cumsum([0, *(len(x.at) - 1 for x in held)])
+            base = np.cumsum([0, *(len(x.symbols) for x in held)])
+            at = np.concatenate([[0], *(x.at[1:] + b for x, b in zip(held, base, strict=False))])
+            places, window = occurrences(p, np.concatenate([x.symbols for x in held]), at)
+            hit = words.covered(int(base[-1]), places, p.sizes[window])
+            items: list[set] = [set() for _ in range(int(texts[-1]))]
+            pairs = np.unique((np.searchsorted(at, places, side="right") - 1) * len(p.ids) + p.item[window])
+            for doc, item in zip((pairs // max(1, len(p.ids))).tolist(), (pairs % max(1, len(p.ids))).tolist(), strict=True):
+                if p.ids[item] is not None:
+                    items[doc].add(p.ids[item])
+            for k, part in enumerate(held):
+                yield part.found(hit[base[k] : base[k + 1]], items[texts[k] : texts[k + 1]], last, cut)
 
     return run
 
@@ -273,19 +300,26 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     runs of words inside any occurrence, with byte places in the UTF-8 text. items: the
     ids, as sorted strings, of items with an occurring window; an item with a null id is
     searched but not named. clean: the text without the bytes of its spans. A null text
-    has no words and stays null; no items or items without words hit nothing.
+    has no words and stays null; no items or items without words hit nothing. Repeated
+    rows and null ids are rows like any other.
+
+    The items are broadcast in blocks of about phrase_words words. Of several blocks one
+    is held at a time: what its pass found is written before the next begins.
     """
     spark = docs.sparkSession
     rows = shared.as_rows(docs, id_col, text_col, keep or docs.columns).select("row", "text", F.lit(None).cast(SPANS).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    parts = [spark.sparkContext.broadcast(p) for p in blocks(bench, item_col, item_text, width, phrase_words)]
-    for k, handle in enumerate(parts):
-        last = k == len(parts) - 1
-        schema = rows.select("row").schema.add("n_words", "long").add(rows.schema["spans"]).add(rows.schema["items"])
+    schema = rows.select("row").schema.add("n_words", "long").add(rows.schema["spans"]).add(rows.schema["items"])
+    parts = blocks(bench, item_col, item_text, width, phrase_words)
+    part = next(parts)
+    while part:
+        after = next(parts, None)
+        handle = spark.sparkContext.broadcast(part)
+        last, part = after is None, after
+        more = [] if last and not cut else [StructField("clean" if last else "text", StringType())]
+        rows = shared.map_arrow(rows, _search(handle, last, cut and last), StructType([*schema, *more]))
         if not last:
-            schema = schema.add("text", "string")
-        elif cut:
-            schema = schema.add("clean", "string")
-        rows = shared.map_arrow(rows, _search(handle, last, cut and last), schema)
+            rows = shared.written(rows, "hits")
+            handle.destroy()
     return rows
 
 
