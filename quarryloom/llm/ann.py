@@ -4,8 +4,9 @@ Each vector is represented by its nearest pivots in order. Within a shard, every
 has a posting list of the vectors that have it among their nearest, with its rank there.
 A query adds up, over the lists of its own nearest pivots, how far the ranks lie apart
 (footrule distance; a pivot that is not listed counts as ranked last), and the best share
-of a shard is ranked again by the exact cosine. Each shard meets each block of queries
-once; both sizes are fixed, so a task's memory is too. Equal vectors are one entry.
+of a shard is ranked again by the exact cosine. Every vector is posted once. Queries
+stream past each shard in batches, so a task holds one shard of bounded size, however
+many queries there are. Equal vectors are one entry.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from pyspark.sql.window import Window
 from quarryloom.llm import shared
 
 PIVOTS = 256
-#: Nearest pivots that are posted and searched.
+#: Nearest pivots that are posted and searched, 255 at most.
 LISTED = 128
 #: Share of a shard that is ranked again, and the least number.
 RERANK, RERANK_LEAST = 0.2, 256
-SHARD_VECTORS = 8192
-QUERY_BLOCK = 4096
+#: Most vectors of a shard; fewer while there are fewer shards than shuffle partitions, but not less than SHARD_LEAST.
+SHARD_VECTORS, SHARD_LEAST = 32_768, 4096
 #: Rows among which pivots are sought.
 PIVOT_SAMPLE = 2048
 K = 5
@@ -50,50 +51,76 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, listed: int) -> np.ndarray:
-    return np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")[:, :listed]
+    """The numbers of each vector's nearest pivots, nearest first."""
+    out = np.zeros((len(vectors), listed), np.int16)
+    for a in range(0, len(vectors), SHARD_LEAST):
+        out[a : a + SHARD_LEAST] = np.argsort(-(vectors[a : a + SHARD_LEAST] @ pivots.T), axis=1, kind="stable")[:, :listed]
+    return out
 
 
 class Postings:
-    """The inverted file of a shard."""
+    """The inverted file of a shard: for each pivot the rank that it has for every vector, and listed where it isn't posted.
+
+    As half of all vectors are posted under a pivot, a list without gaps is the shorter one.
+    """
 
     def __init__(self, vectors: np.ndarray, pivots: np.ndarray, listed: int = LISTED):
-        self.pivots, self.listed = pivots, min(listed, len(pivots))
+        self.pivots, self.listed, self.n = pivots, min(listed, len(pivots)), len(vectors)
         order = nearest_pivots(vectors, pivots, self.listed)
-        flat = order.ravel()
-        by = np.argsort(flat, kind="stable")
-        cuts = np.searchsorted(flat[by], np.arange(1, len(pivots)))
-        self.rows = np.split(by // self.listed, cuts)
-        self.ranks = np.split((by % self.listed).astype(np.int32), cuts)
-        self.n = len(vectors)
+        self.ranks = np.full((len(pivots), self.n), self.listed, np.uint8)
+        self.ranks[order.T, np.arange(self.n)] = np.arange(self.listed, dtype=np.uint8)[:, None]
 
     def best(self, query: np.ndarray, most: int) -> np.ndarray:
-        """Rows by rising footrule distance."""
-        order = nearest_pivots(query[None], self.pivots, self.listed)[0]
-        far = np.zeros(self.n, np.int32)
-        for rank, pivot in enumerate(order):
-            rows = self.rows[pivot]
-            # less what the pivot would cost if it weren't listed
-            far[rows] += np.abs(self.ranks[pivot] - rank) - (self.listed - rank)
+        """Rows by rising footrule distance over the query's pivots."""
+        lists = self.ranks[nearest_pivots(query[None], self.pivots, self.listed)[0]]
+        own = np.arange(self.listed, dtype=np.uint8)[:, None]
+        far = (np.maximum(lists, own) - np.minimum(lists, own)).sum(axis=0, dtype=np.uint16)
         return np.argpartition(far, most - 1)[:most] if most < self.n else np.arange(self.n)
 
 
+class Shard:
+    def __init__(self, batches: list[pa.RecordBatch], pivots: np.ndarray, listed: int):
+        self.members = pa.chunked_array([x.column("members") for x in batches]).combine_chunks()
+        self.first = self.members.values.to_numpy()[self.members.offsets.to_numpy()[:-1]]
+        self.vectors = unit(np.concatenate([matrix(x.column("vector")) for x in batches]))
+        self.postings = Postings(self.vectors, pivots, listed)
+        self.most = min(len(self.vectors), max(RERANK_LEAST, int(np.ceil(RERANK * len(self.vectors)))))
+
+    def answers(self, queries: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        """The k + 1 best entries for each query: its own may be among them."""
+        found, scores, n = [], [], []
+        for query in unit(matrix(queries.column("vector"))):
+            rows = self.postings.best(query, self.most)
+            score = np.einsum("ij,j->i", self.vectors[rows], query)
+            top = np.lexsort((self.first[rows], -score))[: k + 1]
+            found.append(rows[top])
+            scores.append(score[top])
+            n.append(len(top))
+        ids = queries.column("members").flatten().to_numpy()
+        columns = [pa.array(np.repeat(ids, n)), self.members.take(pa.array(np.concatenate(found))), pa.array(np.concatenate(scores))]
+        return pa.RecordBatch.from_arrays(columns, ["query_id", "members", "score"])
+
+
 def _search(handle, k: int, listed: int):
-    def run(index: pa.Table, queries: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
-        members = index.column("members").to_pylist()
-        if len(members) and queries.num_rows:
-            first = np.array([x[0] for x in members])
-            vectors = unit(matrix(index.column("vector")))
-            postings = Postings(vectors, handle.value, listed)
-            most = min(len(vectors), max(RERANK_LEAST, int(np.ceil(RERANK * len(vectors)))))
-            for query_id, query in zip(queries.column("query_id").to_pylist(), unit(matrix(queries.column("vector"))), strict=True):
-                rows = postings.best(query, most)
-                score = np.einsum("ij,j->i", vectors[rows], query)
-                top = np.lexsort((first[rows], -score))[: k + 1]
-                out[0].extend([query_id] * len(top))
-                out[1].extend(members[i] for i in rows[top])
-                out[2].extend(score[top].tolist())
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "members": pa.array(out[1], pa.list_(pa.int64())), "score": pa.array(out[2], pa.float64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each shard first its vectors come, then the queries."""
+        at, held, index = None, [], None
+        for batch in batches:
+            shard, query = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "query"))
+            cuts = np.flatnonzero((np.diff(shard) != 0) | (query[1:] != query[:-1])) + 1
+            for a, b in zip(np.r_[0, cuts].tolist(), np.r_[cuts, batch.num_rows].tolist(), strict=True):
+                if a == b:
+                    continue
+                if shard[a] != at:
+                    at, held, index = shard[a], [], None
+                part = batch.slice(a, b - a)
+                if not query[a]:
+                    held.append(part)
+                    continue
+                if held:
+                    index, held = Shard(held, handle.value, listed), []
+                if index:
+                    yield index.answers(part, k)
 
     return run
 
@@ -104,6 +131,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", v
     Nearness is the cosine in double precision; ties go to the smaller id. Vectors that are
     null, empty, zero or hold null or non-finite components take no part, nor do those of
     another size than most, nor rows with a null id. A query with no candidate has no row.
+    Rows of one id are candidates each with its own vector, and queries as well.
     """
     spark = vectors.sparkSession
 
@@ -120,14 +148,14 @@ def neighbours(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", v
     handle = spark.sparkContext.broadcast(unit(matrix(sample)[np.sort(distinct)[:pivots]]))
 
     # equal vectors: the k + 1 smallest ids can stand among the nearest, no others
-    first = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
-    entries = rows.withColumn("nth", first).where(F.col("nth") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("members"))
-    asked = good(queries).where(F.size("vector") == size).select(F.col("id").alias("query_id"), "vector").distinct()
-    shards = max(1, -(-n // SHARD_VECTORS))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    left = entries.withColumn("shard", F.pmod(F.xxhash64("members"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("shard", "block", "members", "vector")
-    right = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).select("shard", "block", "query_id", "vector")
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_search(handle, k, listed), "query_id long, members array<long>, score double")
+    nth = F.dense_rank().over(Window.partitionBy("vector").orderBy("id"))
+    entries = rows.withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_set("id")).alias("members"))
+    asked = good(queries).where(F.size("vector") == size).select(F.array("id").alias("members"), "vector").distinct()
+    shards = max(1, -(-n // SHARD_VECTORS), min(shared.partitions(spark), -(-n // SHARD_LEAST)))
+    posted = entries.select(F.pmod(F.xxhash64("members"), F.lit(shards)).alias("shard"), F.lit(False).alias("query"), "members", "vector")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))
+    dealt = posted.union(asked.select(every.alias("shard"), F.lit(True).alias("query"), "members", "vector")).repartition(shards, "shard").sortWithinPartitions("shard", "query")
+    found = shared.map_arrow(dealt, _search(handle, k, listed), "query_id long, members array<long>, score double")
     each = found.select("query_id", "score", F.explode("members").alias("vec_id")).where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

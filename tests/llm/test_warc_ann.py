@@ -65,7 +65,7 @@ def test_chunked_framing():
 def test_no_pages(spark):
     folder = shared.scratch(spark, "test")
     listed = warc.write_pages(spark.createDataFrame([], "page_id long, url string, html string"), folder)
-    assert listed.count() == 0
+    assert listed.count() == 0 and warc.read_pages(spark, folder, listed).count() == 0
 
 
 def brute(rows, asked, k):
@@ -100,7 +100,6 @@ def test_neighbours_of_a_small_table_are_exact(spark):
 
 def test_recall_over_shards(spark, monkeypatch):
     monkeypatch.setattr(ann, "SHARD_VECTORS", 1500)
-    monkeypatch.setattr(ann, "QUERY_BLOCK", 30)
     rng = np.random.default_rng(2)
     data = rng.normal(size=(4000, 32))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
