@@ -150,8 +150,10 @@ def write_pages(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
     The payload is the html in UTF-8, a null html is empty. Of pages with equal payloads
     the largest id is a response, the others revisit it. Rows with the largest id itself,
-    if repeated, and rows with a null id are responses. A null url has no target.
+    if repeated, and rows with a null id are responses. A null url has no target. No pages
+    give no file.
     """
+    store.made(pages.sparkSession, folder)
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
     copied = rows.groupBy("sha").agg(F.max("page_id").alias("last_id"), F.count("*").alias("copies")).where("copies > 1")
