@@ -1,11 +1,13 @@
 """Substring dedup: Rabin-Karp hashes of every window of words, counted in Spark.
 
-A map pass hashes every window. Within a block of some thousand documents only the
+A first pass counts windows by their anchors: how many shards there are, and which anchors
+are dealt to several of them, follows from these counts. A second pass hashes every window. Within a block of some thousand documents only the
 smallest document of a window is left open; the other documents of the block are decided
 there and then, so a window of a third of all documents reaches the shuffle once a block.
 Open windows go as packed arrays to a shard, where the smallest document of each is found.
-The shard is that of the least hash of three words in the window: equal windows meet, and
-neighbouring windows mostly share it, so a repeated passage comes back in a few rows.
+The shard is that of the window's anchor, the least hash of three words in it: equal windows
+meet, and neighbouring windows mostly share it, so a repeated passage comes back in a few
+rows. Where one anchor has far more windows than others, its windows are dealt by their own hash.
 Decided windows return to their documents, which a last pass cuts.
 """
 
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,12 @@ from quarryloom.llm import shared, words
 WINDOW = 13
 #: Windows of a map task that are held, made unique and sent on at once.
 BLOCK_WINDOWS = 1_000_000
-SHARDS_PER_PARTITION = 16
+#: Most windows of a shard, as counted by the first pass; fewer while there are fewer shards than SHARDS_PER_PARTITION asks for.
+SHARD_WINDOWS, SHARDS_PER_PARTITION = 500_000, 16
+#: Anchors are counted in 2**BIN_BITS bins, and these in chunks.
+BIN_BITS, CHUNKS = 20, 256
+#: A bin with so many times the windows of the mean one holds a frequent anchor.
+FREQUENT = 4
 #: Words of the runs whose least hash in a window names the window's shard.
 ANCHOR = 3
 
@@ -54,16 +62,81 @@ def unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-def shard_of(hashes: np.ndarray, first: np.ndarray, width: int, shards: int) -> np.ndarray:
-    """The shard of each window, from hashes of words and the windows' first words."""
+def anchors(hashes: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+    """The anchor of each window, from hashes of words and the windows' first words."""
     size = min(ANCHOR, width)
     n = len(hashes) - size + 1
     runs = hashes[:n].copy()
     for j in range(1, size):
         runs *= words.SHINGLE_BASE
         runs += hashes[j : j + n]
-    least = words.sliding_min(words.mixed(runs), width - size + 1)[first]
-    return ((words.mixed(least) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+    return words.mixed(words.sliding_min(words.mixed(runs), width - size + 1)[first])
+
+
+@dataclass
+class Dealing:
+    """The shards of each bin of anchors: the first, how many, and whether the windows' own hashes choose among them."""
+
+    first: np.ndarray
+    parts: np.ndarray
+    frequent: np.ndarray
+    shards: int
+
+    @staticmethod
+    def of(counts: np.ndarray, most: int) -> Dealing:
+        """Bins share shards of about most windows; a bin of more has several of its own."""
+        parts = np.maximum(1, -(-counts // most))
+        held = np.where(parts > 1, 0, counts)
+        shared_ = (np.cumsum(held) - held) // most
+        many = int(shared_[-1]) + 1
+        first = np.where(parts > 1, many + np.cumsum(np.where(parts > 1, parts, 0)) - parts, shared_)
+        frequent = counts > FREQUENT * counts.mean()
+        return Dealing(first.astype(np.int32), parts.astype(np.int32), frequent, many + int(parts[parts > 1].sum()))
+
+    def shard(self, windows: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        at = bins(anchor)
+        chosen = np.where(self.frequent[at], windows, words.mixed(anchor)) >> np.uint64(32)
+        return self.first[at] + (chosen * self.parts[at].astype(np.uint64) >> np.uint64(32)).astype(np.int32)
+
+
+def bins(anchor: np.ndarray) -> np.ndarray:
+    return (anchor >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+
+
+def _count(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BIN_BITS, np.uint32)
+        for piece in shared.text_pieces(batches):
+            w = words.split(piece.column("text"))
+            hashes = w.hashes()
+            first = words.window_starts(w.at, width)
+            if len(first):
+                np.add.at(total, bins(anchors(hashes, first, width)), np.uint32(1))
+        press = zstandard.ZstdCompressor(level=1).compress
+        loads = [press(planes(x)) for x in total.reshape(CHUNKS, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(loads, pa.binary())], ["chunk", "load"])
+
+    return run
+
+
+def _sum_chunks(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((1 << BIN_BITS) // CHUNKS, np.int64)
+    for batch in batches:
+        for load in batch.column("load"):
+            total += numbers(zstandard.decompress(load.as_py()), np.uint32)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["chunk", "load"])
+
+
+def dealing(rows: DataFrame, width: int) -> Dealing:
+    """From the counts of all windows: 2**BIN_BITS numbers reach the driver, however many windows there are."""
+    spark = rows.sparkSession
+    counted = shared.map_arrow(rows.select("text"), _count(width), "chunk int, load binary")
+    chunks = counted.groupBy("chunk").applyInArrow(_sum_chunks, "chunk int, load binary").collect()
+    counts = np.zeros((CHUNKS, (1 << BIN_BITS) // CHUNKS), np.int64)
+    for row in chunks:
+        counts[row["chunk"]] = np.frombuffer(row["load"], np.int64)
+    wanted = int(counts.sum()) // (SHARDS_PER_PARTITION * shared.partitions(spark)) + 1
+    return Dealing.of(counts.ravel(), min(SHARD_WINDOWS, wanted))
 
 
 def later(h: np.ndarray, d: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -86,7 +159,7 @@ def hit_rows(h: np.ndarray, d: np.ndarray) -> tuple[list[int], list[bytes]]:
     return d[cut].tolist(), [x.tobytes() for x in np.split(h, cut[1:])]
 
 
-def _blocks(width: int, shards: int):
+def _blocks(width: int, handle):
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         h, d, shard, known = later(*(np.concatenate(x) for x in zip(*held, strict=True)))
         docs, found = hit_rows(h[known], d[known])
@@ -95,17 +168,13 @@ def _blocks(width: int, shards: int):
         keep = ~known & ~same
         order = np.argsort(shard[keep], kind="stable")
         h, d, shard = (x[keep][order] for x in (h, d, shard))
-        ids, index = np.unique(d, return_inverse=True)
-        cuts = np.searchsorted(shard, np.arange(shards + 1))
-        keys, loads = [], []
-        for s in range(shards):
-            a, b = cuts[s], cuts[s + 1]
-            if b > a:
-                used, local = np.unique(index[a:b], return_inverse=True)
-                keys.append(s)
-                loads.append(packed(h[a:b], local.astype(np.uint32), ids[used].astype(np.int64)))
+        cuts = np.r_[0, np.flatnonzero(np.diff(shard)) + 1, len(shard)] if len(shard) else np.zeros(1, int)
+        keys, loads = shard[cuts[:-1]].tolist(), []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            used, local = np.unique(d[a:b], return_inverse=True)
+            loads.append(packed(h[a:b], local.astype(np.uint32), used.astype(np.int64)))
         # decided windows pass through the same shuffle, dealt by document
-        keys += [int(x % shards) for x in docs]
+        keys += [int(x % handle.value.shards) for x in docs]
         loads += found
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([None] * (len(keys) - len(docs)) + docs, pa.int64()), pa.array(loads, pa.binary())], ["shard", "doc", "load"])
 
@@ -118,7 +187,7 @@ def _blocks(width: int, shards: int):
             first, h = words.windows(hashes, w.at, width)
             if not len(h):
                 continue
-            held.append((h, ids[np.searchsorted(w.at, first, side="right") - 1], shard_of(hashes, first, width, shards)))
+            held.append((h, ids[np.searchsorted(w.at, first, side="right") - 1], handle.value.shard(h, anchors(hashes, first, width))))
             size += len(h)
             if size >= BLOCK_WINDOWS:
                 yield from flush(held)
@@ -151,9 +220,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows with a null id or text take no part. Rows of one id count as one document.
     """
-    shards = shared.partitions(docs.sparkSession) * SHARDS_PER_PARTITION
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    blocks = shared.map_arrow(rows, _blocks(width, shards), "shard int, doc long, load binary")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null and text is not null")
+    handle = docs.sparkSession.sparkContext.broadcast(dealing(rows, width))
+    blocks = shared.map_arrow(rows, _blocks(width, handle), "shard int, doc long, load binary")
     hits = blocks.groupBy("shard").applyInArrow(_decide, "doc long, load binary")
     return hits.groupBy("doc").agg(F.collect_list("load").alias("loads"))
 

@@ -97,23 +97,29 @@ def split(array: pa.Array, kind: str = "space", lower: bool = False) -> Words:
     return Words(data, raw, starts, np.flatnonzero(stops) + 1, np.searchsorted(starts, offsets))
 
 
+def window_starts(at: np.ndarray, width: int) -> np.ndarray:
+    """The first word's index of every width consecutive words of one text."""
+    n = int(at[-1]) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    steps = np.zeros(n + 1, np.int64)
+    size = np.diff(at)
+    use = size >= width
+    np.add.at(steps, at[:-1][use], 1)
+    np.add.at(steps, at[:-1][use] + size[use] - width + 1, -1)
+    return np.flatnonzero(np.cumsum(steps[:-1]) > 0)
+
+
 def windows(hashes: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Rolling polynomial hashes of width consecutive words of one text: the first word's index, and the hash."""
+    first = window_starts(at, width)
+    if not len(first):
+        return first, np.zeros(0, np.uint64)
     n = len(hashes) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     w = hashes[:n].copy()
     for j in range(1, width):
         w *= SHINGLE_BASE
         w += hashes[j : j + n]
-    ok = np.zeros(n, bool)
-    steps = np.zeros(n + 1, np.int64)
-    size = np.diff(at)
-    use = size >= width
-    np.add.at(steps, at[:-1][use], 1)
-    np.add.at(steps, at[:-1][use] + size[use] - width + 1, -1)
-    ok = np.cumsum(steps[:-1]) > 0
-    first = np.flatnonzero(ok)
     return first, mixed(w[first])
 
 
