@@ -27,9 +27,12 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 80, 100
 #: The count sketch has 2**SKETCH_BITS counts whatever the input, 4 MB when broadcast.
 SKETCH_BITS = 22
-CHUNKS = 64
+#: Chunks in which the sketches of tasks are added up, each in a task of its own.
+CHUNKS = 512
 #: Shares in which rows of one class are dealt.
 SALT = 16
+#: Classes of a shingle that meet all others of it in one task.
+MEETING = 1000
 #: Parts of the suffix filter.
 PARTS = 512
 
@@ -200,22 +203,29 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
 
     fits = _filters(num, den)
     first = _side(met.where("is_hub"), "a").join(_side(met.where("not is_hub"), "b"), "token").where(fits & (F.col("a") != F.col("b")))
-    tried = shared.written(_suffix_filter(first.select("a", "b"), parts, num, den), "pairs")
-    links = shared.written(_linked(tried, usable, size, num, den), "links")
+    tried = shared.written(_suffix_filter(first.select("a", "b"), parts, num, den), "pairs", few=True)
+    links = shared.written(_linked(tried, usable, size, num, den), "links", few=True)
 
-    found = components.components(links)
+    found = shared.written(components.components(links), "components", few=True)
     placed = met.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = shared.written(placed, "placed")
+    placed = shared.written(placed, "placed", few=True)
     home = placed.where("is_hub").groupBy("token").agg(F.min("component").alias("home"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    split = shared.written(placed.join(mixed, "token", "left_semi").join(home, "token"), "split")
-    strange = _side(split.where("component <> home"), "a", F.col("component").alias("ca"))
-    every = _side(split, "b", F.col("component").alias("cb"), "home")
-    second = strange.join(every, "token").where(fits & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("home")) | (F.col("a") < F.col("b"))))
+    mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("posts")).where("lo <> hi")
+    # the classes of a frequent shingle are dealt to several tasks, each of which meets all others
+    shares = F.ceil(F.col("posts") / MEETING)
+    split = shared.written(placed.join(mixed.select("token", shares.alias("shares")), "token").join(home, "token"), "split", few=True)
+    strange = _side(split.where("component <> home"), "a", F.col("component").alias("ca"), F.pmod(F.xxhash64("id"), F.col("shares")).alias("share"))
+    every = _side(split, "b", F.col("component").alias("cb"), "home", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
+    second = strange.join(every, ["token", "share"]).where(fits & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("home")) | (F.col("a") < F.col("b"))))
     rest = _suffix_filter(second.select("a", "b"), parts, num, den).join(tried, ["a", "b"], "left_anti")
-    more = shared.written(_linked(shared.written(rest, "pairs"), usable, size, num, den), "links")
+    more = shared.written(_linked(shared.written(rest, "pairs", few=True), usable, size, num, den), "links", few=True)
 
-    final = components.components(links.union(more)).withColumnRenamed("id", "class_id").withColumnRenamed("component", "reached")
+    # the links found last join components, so only these are joined anew
+    for x in "ab":
+        more = more.join(found.withColumnRenamed("id", x), x, "left").withColumn(x, F.coalesce("component", x)).drop("component")
+    joined = shared.written(components.components(more).withColumnRenamed("component", "reached"), "components", few=True)
+    final = found.join(joined.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("reached", "component").alias("reached"))
+    final = final.union(joined).distinct().withColumnRenamed("id", "class_id")
     # classes of several rows, dealt with a salt: one of them may hold a third of all rows
     salt = F.pmod(F.xxhash64("id"), F.lit(SALT))
     several = full.groupBy("h1", "h2", "n").agg(F.min("id").alias("class_id"), F.count("*").alias("rows")).where("rows > 1").drop("rows")

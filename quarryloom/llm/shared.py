@@ -17,6 +17,8 @@ PIECE_BYTES = 512 << 10
 #: would fill a worker's memory.
 BATCH_ROWS = 1000
 BATCH_BYTES = 4 << 20
+#: Tasks, and so files, that a core gets of a table written in few files.
+TASKS_PER_CORE = 4
 
 
 def arrow_limits(spark: SparkSession) -> None:
@@ -50,14 +52,25 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """The rows of df from a table written in the shared folder: cuts lineage and survives lost executors."""
+def written(df: DataFrame, tag: str, few: bool = False) -> DataFrame:
+    """The rows of df from a table written in the shared folder: cuts lineage and survives lost executors.
+
+    few: by few_tasks.
+    """
     spark = df.sparkSession
     path = scratch(spark, tag)
-    df.write.parquet(path)
+    (few_tasks(df) if few else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few_tasks(df: DataFrame) -> DataFrame:
+    """df with at most TASKS_PER_CORE partitions a core, for tables that would else be written as very many small files.
+
+    Partitions are taken one after another, so a task needs no more memory than before.
+    """
+    return df.coalesce(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def fold(id_col: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; null for a null id."""
     return F.crc32(id_col.cast("string").cast("binary")) % modulus
