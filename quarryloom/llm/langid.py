@@ -116,8 +116,9 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", profi
     """(lang, code, rank): the profile of each language over all rows of docs with a text and a language."""
     rows = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("lang is not null and text is not null")
     counts = shared.map_arrow(rows, _count(), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
-    return counts.withColumn("rank", rank - 1).where(F.col("rank") < profile).select("lang", "code", "rank")
+    # filtered as it is, so that every task keeps its own first n-grams of a language alone before they meet
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
+    return counts.withColumn("nth", nth).where(F.col("nth") <= profile).select("lang", "code", (F.col("nth") - 1).alias("rank"))
 
 
 def _predict(names: list[str], codes: np.ndarray, ranks: np.ndarray, profile: int, with_text: bool):
@@ -151,7 +152,7 @@ def predict(docs: DataFrame, profiles: DataFrame, text_col: str = "text", keep:
     score is 1 less the distance to the nearest profile over the largest possible one; of
     equally near languages the first by name is taken. A text that is null or has no
     letter is ``und`` with score 0, as is every text if no language was learned. The
-    profiles, some hundred rows for each language, are broadcast.
+    profiles, some hundred rows for each language, travel with the tasks.
     """
     found = profiles.toPandas()
     names = sorted(found["lang"].unique())
