@@ -20,8 +20,9 @@ from pyspark.sql.types import DoubleType, LongType, StructType
 from quarryloom.llm import shared, words
 
 ABSTAIN, BAD, GOOD = 0, 1, 2
-#: Documents that the linear scorer is fitted on, about, drawn by a hash of the id.
-TRAIN_DOCS = 10_000
+#: Documents that the linear scorer is fitted on, about, drawn by a hash of id and text, and
+#: the most buckets of one of them, its most frequent: together they bound what the driver gets.
+TRAIN_DOCS, TRAIN_BUCKETS = 10_000, 2048
 BUCKETS = 1 << 16
 ROUNDS, PASSES = 200, 300
 #: Added to a text's number of features (three a word), so that a few words alone decide little.
@@ -155,6 +156,9 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loads = []
         for i in range(len(votes)):
             found, n = np.unique(index[at[i] : at[i + 1]], return_counts=True)
+            if len(found) > TRAIN_BUCKETS:
+                most = np.sort(np.argsort(-n, kind="stable")[:TRAIN_BUCKETS])
+                found, n = found[most], n[most]
             loads.append(found.astype("<u4").tobytes() + (n / (SMOOTH + n.sum())).astype("<f4").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(pattern(votes)), pa.array(loads, pa.binary())], ["pattern", "load"])
 
@@ -182,8 +186,8 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     weak_score: the posterior that the text is good, from its labellers' votes. score: the
     linear scorer's, from 0 to 1; keep: it is at least one half. A null text and one
-    without words score 0. The scorer is fitted on about train_docs rows, those whose
-    hashed id is lowest; label counts cover all rows.
+    without words score 0. The scorer is fitted on about train_docs rows, those whose hash of
+    id and text is lowest, each different one once; label counts cover all rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -191,7 +195,8 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     label = fit_labels(unpacked(counts["pattern"].to_numpy(np.int64)), counts["n"].to_numpy(np.float64))
     total = int(counts["n"].sum())
     part = min(1 << 30, (train_docs << 30) // max(1, total))
-    sample = rows.where(F.coalesce(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < part, F.lit(False))).select("text")
+    drawn = rows.select("text", F.xxhash64("id", "text").alias("hash")).where(F.pmod("hash", F.lit(1 << 30)) < part)
+    sample = drawn.dropDuplicates(["hash"]).select("text")
     found = shared.map_arrow(sample, _examples, "pattern long, load binary").toArrow()
     loads = [x.as_py() for x in found.column("load")]
     sizes = np.array([len(x) // 8 for x in loads], np.int64)
