@@ -158,6 +158,22 @@ remove_annotations = _udf(StringType(), without_annotations)
 get_method_name = _udf(StringType(), method_name)
 
 
+@F.pandas_udf(
+    StructType().add("had_errors", BooleanType()).add("code", StringType()).add("has_errors", BooleanType()).add("method", StringType())
+    .add("adapted", StringType()).add("bare", StringType())
+)
+def mended(code: pd.Series) -> pd.DataFrame:
+    """All at once: the repaired text, whether it still has errors, its method's name, and the text adapted without comments, and without annotations."""
+    rows = []
+    for x in code:
+        if x is None:
+            rows.append((None,) * 6)
+            continue
+        had, whole = repaired(x)
+        rows.append((had, whole, has_errors(whole), method_name(whole), adapted(without_comments(whole)), without_annotations(whole)))
+    return pd.DataFrame(rows, columns=["had_errors", "code", "has_errors", "method", "adapted", "bare"])
+
+
 @F.pandas_udf(StructType().add("had_errors", BooleanType()).add("code", StringType()))
 def repair(code: pd.Series) -> pd.DataFrame:
     found = [(None, None) if x is None else repaired(x) for x in code]

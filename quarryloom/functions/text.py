@@ -122,6 +122,19 @@ def method_id(*parts: Column) -> Column:
     return F.concat_ws("_", *parts)
 
 
+def method_id_parts(key: Column) -> list[Column]:
+    """project, version, number and class of an id; the class ends at the next underscore."""
+    parts = F.split(key, "_")
+    return [F.get(parts, F.lit(i)).alias(name) for i, name in enumerate(("project", "version", "number", "class"))]
+
+
+def parsed_boolean(value: Column) -> Column:
+    """true for y, yes, t, true, on and 1, false for n, no, f, false, off and 0, in any case; null for null. Any other text raises."""
+    low = F.lower(value)
+    unknown = F.raise_error(F.concat(F.lit("not a boolean: "), value)).cast("boolean")
+    return F.when(low.isin("y", "yes", "t", "true", "on", "1"), F.lit(True)).when(low.isin("n", "no", "f", "false", "off", "0"), F.lit(False)).when(value.isNotNull(), unknown)
+
+
 def version_digits(label: Column) -> Column:
     return F.regexp_replace(label, "[^0-9]", "")
 
@@ -162,8 +175,8 @@ def elapsed(seconds: Column, days: bool = True) -> Column:
     s = F.floor(seconds).cast("long")
     hours = F.floor(s / 3600)
     rest = F.concat(F.lpad(F.floor(F.pmod(s, F.lit(3600)) / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad(F.pmod(s, F.lit(60)).cast("string"), 2, "0"))
-    if not days:
-        return F.concat(F.lpad(hours.cast("string"), 2, "0"), F.lit(":"), rest)
+    if not days:  # hours have two digits at least, and as many as they need
+        return F.concat(F.when(hours < 10, F.lit("0")).otherwise(F.lit("")), hours.cast("string"), F.lit(":"), rest)
     n = F.floor(s / 86400)
     head = F.when(n > 0, F.concat(n.cast("string"), F.when(n == 1, F.lit(" day, ")).otherwise(F.lit(" days, ")))).otherwise(F.lit(""))
     return F.concat(head, F.pmod(hours, F.lit(24)).cast("string"), F.lit(":"), rest)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,13 @@ def first_valid(df: DataFrame, key: str, pos: str, code: str) -> DataFrame:
     return found.select(key, chosen["pos"].alias("chosen_pos"), chosen["code"].alias("chosen"), chosen["used_repair"].alias("used_repair"), F.col("best").isNull().alias("fell_back"))
 
 
+def edited(chosen: DataFrame, edit: Callable[[Column], Column] | None, column: str = "chosen") -> DataFrame:
+    """chosen with each chosen candidate edited, such as renamed and annotated; what a fallback left stays as it was. No edit: as it is."""
+    if edit is None:
+        return chosen
+    return chosen.withColumn(column, F.when(F.col("fell_back"), F.col(column)).otherwise(edit(F.col(column))))
+
+
 def position_histogram(chosen: DataFrame, k: int) -> DataFrame:
     """How often each position was chosen raw and mended; positions without a row count 0."""
     spark = chosen.sparkSession

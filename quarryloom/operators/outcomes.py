@@ -19,6 +19,11 @@ def stage_flags(reached: Column) -> dict[str, Column]:
     return {name: reached > i for i, name in enumerate(STAGES)}
 
 
+def ordered(df: DataFrame, version: str = "version_num", test: str = "test_id") -> DataFrame:
+    """df by version, then by test."""
+    return df.orderBy(version, test)
+
+
 def _summary(df: DataFrame, by: list[str], errors: dict[str, Column], right: dict[str, Column]) -> DataFrame:
     counts = {k: F.count_if(v) for k, v in {**errors, **right}.items()}
     found = df.groupBy(*by).agg(F.count("*").alias("total_tests"), *[v.alias(f"n_{k}") for k, v in counts.items()])

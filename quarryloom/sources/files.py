@@ -5,12 +5,14 @@ from __future__ import annotations
 import bz2
 import io
 import tarfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+# How archives are named, and the compiler's log lines.
 ARCHIVE = r"^([^-]+)-(\d+[bf])-([^.]+)\.(\d+)?\.tar\.bz2$"
 ARCHIVE_OF_K = r"^([^-]+)-(\d+[bf])-([^.]+)\.(\d+)\.(\d+)\.tar\.bz2$"
 NOISE = r"javac.*warning:|javac.*It is recommended that the compiler be upgraded"
@@ -23,7 +25,10 @@ def text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def csv_table(spark: SparkSession, path: str | list[str], schema: str | None = None) -> DataFrame:
-    """Quoted UTF-8 CSV with a header; fields may hold line breaks and doubled quotes."""
+    """Quoted UTF-8 CSV with a header; fields may hold line breaks and doubled quotes.
+
+    Because of the line breaks a file is read by one task: large tables belong in many files.
+    """
     reader = spark.read.options(header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
     return (reader.schema(schema) if schema else reader).csv(path)
 
@@ -38,9 +43,17 @@ def csv_splits(spark: SparkSession, paths: dict[str, str], schema: str | None =
 
 
 def numbered_text(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, line) from 0, in file order; line numbers need an RDD, as no expression counts across partitions without gaps."""
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return spark.createDataFrame(rows, "line_no long, line string")
+    """(line_no, line) from 0, in the order of files and their lines.
+
+    Spark numbers the lines of a block upwards, with gaps between blocks; what counts is
+    a line's number less its block's first one. Only a row for each block meets in one place.
+    """
+    block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = spark.read.text(path).select(block.alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    blocks = lines.groupBy("block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return lines.join(starts, "block").select((F.col("before") + F.col("id") - F.col("first")).alias("line_no"), "line")
 
 
 def paired_lines(spark: SparkSession, left: str, right: str) -> DataFrame:
@@ -108,6 +121,20 @@ def java_sources(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where(~F.endswith("path", F.lit("scaffolding.java")))
 
 
+def of_test_class(df: DataFrame, path: str, test_class: Column) -> DataFrame:
+    """The rows of df whose file's name, without .java, begins with its test class, taken literally."""
+    name = F.regexp_replace(F.substring_index(F.col(path), "/", -1), r"\.java$", "")
+    return df.where(F.startswith(name, test_class))
+
+
+def cached(path: str, make: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
+    """The table written at path; made and written first where it isn't there whole."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def without_noise(lines: DataFrame, column: str = "text") -> DataFrame:
     """Compiler log lines but warnings and upgrade advice."""
     return lines.where(~F.col(column).rlike(NOISE))

@@ -7,7 +7,7 @@ import tarfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryloom.functions.text import yes_no
@@ -41,8 +41,50 @@ def write_coverage(df: DataFrame, path: str) -> None:
     write_csv(df.withColumns({c: F.format_string("%.2f", c) for c in ("line_rate", "branch_rate")}), path, COVERAGE)
 
 
-def write_summary(df: DataFrame, path: str) -> None:
-    """One folder for each project; a project written again takes the place of its old rows."""
+def write_methods(df: DataFrame, path: str) -> None:
+    """The methods table with its columns in their order."""
+    write_csv(df, path, METHODS)
+
+
+def write_string(spark: SparkSession, content: str, path: str) -> None:
+    """One text as one UTF-8 file, in place of an older one."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(content.encode()))
+    finally:
+        out.close()
+
+
+def _files(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            paths = batch.column("path").to_pylist()
+            for path, content in zip(paths, batch.column("content"), strict=True):
+                target = f"{base.rstrip('/')}/{path}"
+                system.create_dir(target.rpartition("/")[0], recursive=True)
+                # a repeated task writes the same bytes again
+                with system.open_output_stream(target) as out:
+                    out.write(content.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])
+
+    return run
+
+
+def write_files(df: DataFrame, folder: str) -> int:
+    """A file below folder for each row (path, content): edited sources, archives. Returns their number."""
+    rows = df.select("path", F.col("content").cast("binary").alias("content"))
+    return rows.mapInArrow(_files(folder), "path string").count()
+
+
+def write_summary(df: DataFrame, path: str, append: bool = False) -> None:
+    """One folder for each project; a project written again takes the place of its old rows, or with append follows them."""
+    if append:
+        df.write.mode("append").option("header", True).partitionBy("project").csv(path)
+        return
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True).partitionBy("project").csv(path)
 
 

@@ -21,6 +21,30 @@ def test_lines_and_pairs(spark, tmp_path):
     assert files.text_lines(spark, f"{tmp_path}/out").count() == 3
 
 
+def test_lines_are_numbered_across_blocks_and_files(spark, tmp_path):
+    lines = [f"line {k} " + "x" * (k % 50) for k in range(4000)]
+    for name, part in (("a.txt", lines[:3000]), ("b.txt", lines[3000:])):
+        (tmp_path / name).write_text("\n".join(part) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = {r["line_no"]: r["line"] for r in files.numbered_text(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [got[k] for k in range(4000)] == lines and len(got) == 4000
+
+
+def test_written_files_strings_and_caches(spark, tmp_path):
+    df = spark.createDataFrame([("a/b/C.java", "x"), ("d.txt", "")], "path string, content string")
+    assert sinks.write_files(df, f"file://{tmp_path}/out") == 2
+    assert (tmp_path / "out/a/b/C.java").read_text() == "x" and (tmp_path / "out/d.txt").read_text() == ""
+    for content in ("long é", "b"):
+        sinks.write_string(spark, content, f"file://{tmp_path}/one.txt")
+        assert (tmp_path / "one.txt").read_text() == content
+    makes = [lambda: spark.range(3), lambda: spark.range(9)]
+    assert [files.cached(f"{tmp_path}/cache", make, spark).count() for make in makes] == [3, 3]
+
+
 def test_csv_keeps_quotes_and_breaks(spark, tmp_path):
     df = spark.createDataFrame([("a", 'say "hi"\nthere, é'), ("b", None)], "id string, code string")
     for name in ("train", "test"):

@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarryloom.operators import candidates, joins, metrics, order, outcomes, spans, templates
+from quarryloom.operators import candidates, columns, joins, metrics, order, outcomes, spans, templates
 
 
 def test_first_valid(spark):
@@ -62,6 +62,83 @@ def test_span_corruption_restores(spark, sizes, seed, dynamic):
         assert [x for t in r["inputs"][:-1] for x in lost.get(t, [t])] == r["tokens"]
 
 
+def test_batches_keep_null_keys_and_outliers(spark):
+    rows = spark.createDataFrame([(None,), (5,), (None,), (1,)], "id long")
+    got = order.batches(rows, "id", 2)
+    assert sorted((r["batch_id"], r["id"] is None) for r in got.collect()) == [(0, True), (0, True), (1, False), (1, False)]
+    spread = spark.range(3000).selectExpr("case when id = 7 then 1000000000000000 else id end as id")
+    got = {r["id"]: r["batch_id"] for r in order.batches(spread, "id", 100).collect()}
+    assert got == {x: k // 100 for k, x in enumerate(sorted(got))} and len(got) == 3000
+    sizes = spread.select(order.number_bucket(spread, "id").alias("b")).groupBy("b").count().agg(F.max("count")).first()[0]
+    assert sizes <= 30
+    same = spark.range(50).selectExpr("3 as id")
+    assert order.batches(same, "id", 10).groupBy("batch_id").count().where("count = 10").count() == 5
+
+
+def test_no_column_of_the_caller_is_lost(spark):
+    own = [f"'own' AS `{c}`" for c in ("rank", "digest", "bucket", "key", "key0", "start", "inside", "row", "z", "k", "ids", "a.b")]
+    df = spark.range(20).selectExpr("id", *own)
+    for got, new in ((order.train_valid_test(df, "id"), "split"), (order.batches(df, "id", 5), "batch_id"), (order.global_rank(df.drop("rank"), F.col("id"), "id"), "rank")):
+        assert got.columns[-1] == new and got.count() == 20
+        assert all(r[c] == "own" for r in got.collect() for c in got.columns[1:-1])
+    tokens = df.withColumn("tokens", F.array(*[F.lit(str(i)) for i in range(9)]))
+    got = spans.corrupt(tokens, "id", "tokens", 100).collect()
+    assert len(got) == 20 and all(r["rank"] == r["z"] == r["ids"] == r["a.b"] == "own" for r in got)
+    for bad in (lambda: spans.corrupt(tokens.withColumn("n", F.lit(1)), "id", "tokens", 100), lambda: order.shuffled(df, "id"), lambda: order.batches(df.withColumn("batch_id", F.lit(1)), "id", 5)):
+        with pytest.raises(ValueError, match="columns of the new names"):
+            bad()
+
+
+def test_columns_are_chosen_by_name(spark):
+    assert columns.chosen(spark.range(1).selectExpr("id", "1 AS `a.b`", "2 AS c"), "a.b", "id").columns == ["a.b", "id"]
+    with pytest.raises(ValueError, match="no column x among id"):
+        columns.chosen(spark.range(1), "x")
+
+
+@pytest.mark.parametrize("density", [0.0, 0.1, 0.15, 0.5, 0.7])
+def test_raw_lengths_are_the_greatest_that_fit(density):
+    for limit in range(2, 300):
+        fit = [n for n in range(limit, 12 * limit) if n == limit or spans.corrupted_lengths(n, density, 3.0)[0] <= limit]
+        raw = fit[-1]
+        inputs, labels = spans.corrupted_lengths(raw, density, 3.0)
+        less = density == 0.5 and labels > inputs
+        assert spans.raw_and_target_lengths(limit, density, 3.0) == (raw - less, labels - less)
+
+
+def test_length_guard_and_detokenized(spark):
+    df = spark.createDataFrame([(1, ["a"] * 4, ["b"] * 2)], "id long, inputs array<string>, labels array<string>")
+    for length, labels, fits in ((4, None, True), (5, None, True), (3, None, False), (4, 2, True), (5, 2, False), (4, 3, False)):
+        assert df.select(spans.lengths_fit(F.col("inputs"), F.col("labels"), length, labels)).first()[0] is fits
+        if fits:
+            assert spans.guarded(df, "inputs", "labels", length, labels).count() == 1
+        else:
+            with pytest.raises(Exception, match="should have"):
+                spans.guarded(df, "inputs", "labels", length, labels).collect()
+    ids = spark.createDataFrame([([3, 4, 5, 1, 0, 0],), ([],), (None,)], "ids array<int>")
+    pieces = ["<pad>", "</s>", "<s>", "\u2581void", "\u2581te", "st"]
+    assert [r["text"] for r in spans.detokenized(ids, "ids", pieces).collect()] == ["void test</s>", "", None]
+    assert [r["text"] for r in spans.detokenized(ids, "ids", pieces, (0, 1, 2), skip_special=True).collect()] == ["void test", "", None]
+
+
+def test_chosen_candidates_are_edited(spark):
+    df = spark.createDataFrame([(1, 0, "ok"), (2, 0, "bad")], "k long, pos int, code string")
+    chosen = candidates.first_valid(candidates.judged(df, F.col("code") == "ok", F.col("code"), F.lit(False)), "k", "pos", "code")
+    assert sorted(r["chosen"] for r in candidates.edited(chosen, F.upper).collect()) == ["OK", "bad"]
+    assert sorted(r["chosen"] for r in candidates.edited(chosen, None).collect()) == ["bad", "ok"]
+
+
+def test_predictions_by_position(spark):
+    inputs = spark.createDataFrame([(0, "a"), (1, "b")], "line_no long, src string")
+    flat = spark.createDataFrame([(i, f"p{i}") for i in range(4)], "line_no long, code string")
+    assert sorted((r["src"], r["cand_pos"], r["code"]) for r in joins.by_position(inputs, flat, 2).collect()) == [("a", 0, "p0"), ("a", 1, "p1"), ("b", 0, "p2"), ("b", 1, "p3")]
+    with pytest.raises(ValueError):
+        joins.by_position(inputs, flat, 3)
+    listing = spark.createDataFrame([(0, "x.tar.bz2")], "line_no long, name string")
+    assert joins.with_archive(inputs.where("line_no = 0"), listing, "line_no").first()["name"] == "x.tar.bz2"
+    with pytest.raises(Exception, match="no archive for 1"):
+        joins.with_archive(inputs, listing, "line_no").collect()
+
+
 def test_lengths_and_shaping(spark):
     assert spans.raw_and_target_lengths(512, 0.15, 3.0) == (568, 114)
     assert spans.raw_and_target_lengths(8, 0.5, 3.0)[0] >= 8

@@ -47,7 +47,11 @@ def test_names_and_sizes(spark):
     assert [one(spark, text.human_count(F.col("n")), n=n) for n in (999_000, 2_500_000, 3_000_000_000)] == ["999.00 K", "2.50 M", "3.00 B"]
     assert [one(spark, text.human_bytes(F.col("n")), n=n) for n in (500, 1_000_000, 2_000_000_000)] == ["0.50 KB", "1.00 MB", "2.00 GB"]
     assert [one(spark, text.seconds_text(F.col("n")), n=n) for n in (3661.259, 90_061.5, 180_000.0)] == ["1:01:01.25", "1 day, 1:01:01.50", "2 days, 2:00:00.00"]
-    assert one(spark, text.elapsed(F.col("n"), days=False), n=90_061.0) == "25:01:01"
+    assert [one(spark, text.elapsed(F.col("n"), days=False), n=n) for n in (90_061.0, 61.0, 123 * 3600 + 61.0)] == ["25:01:01", "00:01:01", "123:01:01"]
+    assert [one(spark, text.parsed_boolean(F.col("c")), c=c) for c in ("Yes", "on", "1", "T", "no", "OFF", "0")] == [True] * 4 + [False] * 3
+    with pytest.raises(Exception, match="not a boolean: maybe"):
+        one(spark, text.parsed_boolean(F.col("c")), c="maybe")
+    assert tuple(spark.range(1).select(*text.method_id_parts(F.lit("P_1f_2_C_d"))).first()) == ("P", "1f", "2", "C")
     assert one(spark, text.longest_first(F.col("a")), a=["bb", "a", "cc", "ddd"]) == ["ddd", "cc", "bb", "a"]
     assert one(spark, text.missing_imports(F.col("a"), F.array(F.lit("x"))), a=["y", "x", "y"]) == ["y", "y"]
 
@@ -80,3 +84,5 @@ def test_java_functions_as_columns(spark):
     rows = df.select(javasrc.code_has_errors("c").alias("e"), javasrc.repair("c").alias("r"), javasrc.clean_comments("c").alias("k")).collect()
     assert [r["e"] for r in rows] == [True, None]
     assert rows[0]["r"]["code"] == "void a() { f(1);}" and rows[1]["r"]["code"] is None
+    both = df.select(javasrc.mended("c").alias("m")).select("m.*").collect()
+    assert tuple(both[0]) == (True, "void a() { f(1);}", False, "a", "@Test public void testA() { f(1);}", "void a() { f(1);}") and tuple(both[1]) == (None,) * 6
