@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryloom.functions import javasrc, text
-from quarryloom.operators import candidates, joins, metrics, order, outcomes, spans, templates
+from quarryloom.operators import candidates, columns, joins, metrics, order, outcomes, spans, templates
 from quarryloom.sources import files, scratch, sinks
 from quarryloom.streaming import windows
 
@@ -43,7 +44,8 @@ JUDGED = f"""judged AS (SELECT conv_id, turn, text, coalesce({BALANCED.format(x=
 CHOSEN = f"""WITH {JUDGED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY NOT (raw_ok OR fixed_ok), turn, text) AS nth FROM judged),
 chosen AS (SELECT conv_id, turn AS chosen_pos,
   CASE WHEN raw_ok OR NOT fixed_ok THEN text ELSE fixed END AS chosen, NOT raw_ok AND fixed_ok AS used_repair, NOT (raw_ok OR fixed_ok) AS fell_back FROM ranked WHERE nth = 1)"""
-K = 10
+#: As many positions as the longest conversation has turns.
+POSITIONS = "(SELECT unnest(range((SELECT max(turn) + 1 FROM conversations))) AS pos)"
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +65,9 @@ def first_valid_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{CHOSEN} SELECT r.pos, count(*) FILTER (WHERE c.conv_id IS NOT NULL AND NOT used_repair) AS n_raw, count(*) FILTER (WHERE used_repair) AS n_repaired
-FROM (SELECT unnest(range({K})) AS pos) r LEFT JOIN (SELECT * FROM chosen WHERE NOT fell_back) c ON c.chosen_pos = r.pos GROUP BY r.pos""")
+FROM {POSITIONS} r LEFT JOIN (SELECT * FROM chosen WHERE NOT fell_back) c ON c.chosen_pos = r.pos GROUP BY r.pos""")
 def candidate_position_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.position_histogram(_chosen(spark, sf_dir), K)
+    return candidates.position_histogram(_chosen(spark, sf_dir), candidates.width(table(spark, sf_dir, "conversations"), "turn"))
 
 
 @query(f"{CHOSEN} SELECT count(*) AS n_inputs, count(*) FILTER (WHERE fell_back) AS n_all_failed FROM chosen")
@@ -74,34 +76,23 @@ def candidates_all_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {JUDGED} SELECT r.pos, count(*) FILTER (WHERE raw_ok) AS n_valid
-FROM (SELECT unnest(range({K})) AS pos) r LEFT JOIN judged j ON j.turn = r.pos GROUP BY r.pos""")
+FROM {POSITIONS} r LEFT JOIN judged j ON j.turn = r.pos GROUP BY r.pos""")
 def candidate_validate_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.validity_by_position(_judged(spark, sf_dir), "turn", K)
-
-
-@query("SELECT conv_id, 5 AS num_results, " + ", ".join(f"max(text) FILTER (WHERE turn = {i}) AS generated_test_{i + 1}" for i in range(5)) + " FROM conversations WHERE turn < 5 GROUP BY conv_id")
-def candidate_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 5 turns, as its SQL asks; candidate_pivot_all has every turn."""
-    return candidates.pivoted(table(spark, sf_dir, "conversations").where("turn < 5"), "conv_id", "turn", "text", 5)
+    rows = _judged(spark, sf_dir)
+    return candidates.validity_by_position(rows, "turn", candidates.width(rows, "turn"))
 
 
 @query("""PIVOT (SELECT conv_id, text, 'generated_test_' || (turn + 1) AS name, CAST((SELECT max(turn) + 1 FROM conversations) AS INTEGER) AS num_results FROM conversations)
 ON name USING max(text) GROUP BY conv_id, num_results""")
-def candidate_pivot_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def candidate_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many columns as the longest conversation has turns."""
     turns = table(spark, sf_dir, "conversations")
     return candidates.pivoted(turns, "conv_id", "turn", "text", candidates.width(turns, "turn"))
 
 
-@query("SELECT conv_id, CAST(turn AS INTEGER) AS cand_pos, max(text) AS code FROM conversations WHERE turn < 5 GROUP BY ALL HAVING max(text) <> ''")
-def candidate_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 5 turns, as its SQL asks; candidate_unpivot_all has every turn."""
-    return candidates.unpivoted(candidate_pivot(spark, sf_dir), "conv_id", 5)
-
-
 @query("SELECT conv_id, CAST(turn AS INTEGER) AS cand_pos, max(text) AS code FROM conversations GROUP BY ALL HAVING max(text) <> ''")
-def candidate_unpivot_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = candidate_pivot_all(spark, sf_dir)
+def candidate_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = candidate_pivot(spark, sf_dir)
     return candidates.unpivoted(wide, "conv_id", len(wide.columns) - 2)
 
 
@@ -112,9 +103,11 @@ def candidates_strided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("o_custkey", *[F.array_join(c.cast("array<string>"), ",").alias(f"part_{i + 1}") for i, c in enumerate(candidates.strided(F.col("f"), 3))])
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (WHERE NOT starts_with(text, 'A')) AS n_other FROM conversations")
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE turn % 3 = 0) AS n_other FROM conversations WHERE text IS NOT NULL")
 def prefix_miss_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").agg(F.count("*").alias("n"), F.count_if(~F.startswith("text", F.lit("A"))).alias("n_other"))
+    line = F.concat(F.when(F.col("turn") % 3 == 0, "").otherwise("@Test "), F.translate("text", "@", "a"))
+    rows = table(spark, sf_dir, "conversations").where("text is not null").select(line.alias("line"))
+    return rows.agg(F.count("*").alias("n"), F.count_if(~F.startswith("line", F.lit("@Test"))).alias("n_other"))
 
 
 @query("""WITH m AS (SELECT conv_id, min(turn) FILTER (WHERE length(text) < 120) AS first_pos, count(*) AS n FROM conversations GROUP BY conv_id)
@@ -125,6 +118,21 @@ def predictions_with_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(first, ["conv_id", "turn"]).join(d.select(F.col("doc_id").alias("conv_id"), F.col("text").alias("target")), "conv_id").select("conv_id", "turn", F.col("text").alias("code"), "target")
 
 
+_METHOD = "'int m' || turn || '() { ' || coalesce(translate(text, '(){}[]\"''/\\\\', ''), '') || CASE WHEN turn % 3 = 0 THEN '' ELSE '; }' END"
+
+
+@query(f"""WITH j AS (SELECT conv_id, turn, {_METHOD} AS code, turn % 3 <> 0 AS ok FROM conversations),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY NOT ok, turn, code) AS nth FROM j)
+SELECT conv_id, turn AS chosen_pos, NOT ok AS fell_back, CASE WHEN ok THEN '@Test public int testM' || substr(code, 6) ELSE code END AS chosen FROM r WHERE nth = 1""")
+def chosen_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first valid method of a conversation, renamed and annotated; a fallback stays as it was."""
+    code = F.concat(F.lit("int m"), F.col("turn").cast("string"), F.lit("() { "), F.coalesce(F.translate("text", "(){}[]\"'/\\", ""), F.lit("")), F.when(F.col("turn") % 3 == 0, "").otherwise("; }"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", code.alias("code"))
+    judged = candidates.judged(rows, text.is_balanced(F.col("code")), F.col("code"), F.lit(False))
+    chosen = candidates.edited(candidates.first_valid(judged, "conv_id", "turn", "code"), javasrc.adapt_name)
+    return chosen.select("conv_id", "chosen_pos", "fell_back", "chosen")
+
+
 # --- tokens -----------------------------------------------------------------------------
 
 TOKENS = r"list_filter(string_split_regex(text, '\s+'), lambda t: t <> '')"
@@ -174,17 +182,10 @@ def shift_right_pad_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "width", F.array_join(shifted.cast("array<string>"), ",").alias("decoder_ids"), mask.alias("mask_ones"), F.array_join(spans.padded(F.col("ids"), F.col("width"), spans.IGNORE).cast("array<string>"), ",").alias("labels"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, list_resize(({_IDS})[1:64], 64, 0) AS ids FROM documents), l AS (SELECT *, list_transform(ids, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END) AS labels FROM t)
-SELECT doc_id, array_to_string(labels, ',') AS labels, len(list_filter(labels, lambda x: x = -100)) AS n_ignored, list_transform(labels, lambda x: CASE WHEN x = -100 THEN 0 ELSE x END) = ids AS restored FROM l""")
-def label_ignore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 64 ids, as its SQL asks; label_ignore_roundtrip_all has whole documents."""
-    return _ignored_and_back(_lengths(spark, sf_dir).select("doc_id", spans.padded(F.slice("ids", 1, 64), 64, 0).alias("ids")))
-
-
 @query(f"""WITH t AS (SELECT doc_id, doc_id // 8 AS batch_id, {_IDS} AS ids FROM documents), w AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS width FROM t),
 p AS (SELECT doc_id, list_resize(ids, width, 0) AS ids FROM w), l AS (SELECT *, list_transform(ids, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END) AS labels FROM p)
 SELECT doc_id, array_to_string(labels, ',') AS labels, len(list_filter(labels, lambda x: x = -100)) AS n_ignored, list_transform(labels, lambda x: CASE WHEN x = -100 THEN 0 ELSE x END) = ids AS restored FROM l""")
-def label_ignore_roundtrip_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def label_ignore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spans.batch_width(_lengths(spark, sf_dir), "batch_id", "ids")
     return _ignored_and_back(rows.select("doc_id", spans.padded(F.col("ids"), F.col("width"), 0).alias("ids")))
 
@@ -209,13 +210,65 @@ def noise_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", spans.span_counts(F.col("n"), 0.15, 3.0)[0].alias("n_noise"))
 
 
-@query()
+@query("""WITH c AS (SELECT l, d FROM (SELECT unnest(range(16, 2049, 16)) AS l) a, (SELECT unnest([0.15::DOUBLE, 0.3::DOUBLE, 0.5::DOUBLE]) AS d) b),
+n AS (SELECT l, d, unnest(range(l, 3 * l + 8)) AS n FROM c), x AS (SELECT *, round_even(n * d, 0)::BIGINT AS noise FROM n), y AS (SELECT *, round_even(noise / 3.0::DOUBLE, 0)::BIGINT AS spans FROM x),
+m AS (SELECT l, d, max(n) FILTER (WHERE n = l OR n - noise + spans + 1 <= l) AS n FROM y GROUP BY ALL), r AS (SELECT y.*, noise + spans + 1 AS t, n - noise + spans + 1 AS i FROM y JOIN m USING (l, d, n))
+SELECT CAST(l AS INTEGER) AS inputs_length, d AS density, CAST(n - CASE WHEN d = 0.5 AND t > i THEN 1 ELSE 0 END AS INTEGER) AS tokens_length, CAST(t - CASE WHEN d = 0.5 AND t > i THEN 1 ELSE 0 END AS INTEGER) AS targets_length FROM r""")
 def target_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw and target lengths for several sequence lengths: a scalar computation of the configuration."""
-    rows = [(n, d, *spans.raw_and_target_lengths(n, d, 3.0)) for n in (128, 512, 1024) for d in (0.15, 0.5)]
+    """Raw and target lengths for many sequence lengths: a scalar computation of the configuration, which reads no table."""
+    rows = [(n, d, *spans.raw_and_target_lengths(n, d, 3.0)) for n in range(16, 2049, 16) for d in (0.15, 0.3, 0.5)]
     return spark.createDataFrame(rows, "inputs_length int, density double, tokens_length int, targets_length int")
 
 
+#: Raw tokens whose corrupted inputs have 128 tokens, and their labels' length.
+RAW, LABELS = spans.raw_and_target_lengths(128, 0.15, 3.0)
+
+
+@query(f"""WITH b AS (SELECT doc_id // 100 AS batch_id, flatten(list({TOKENS} ORDER BY doc_id)) AS a FROM documents GROUP BY 1),
+t AS (SELECT batch_id || ':' || chunk AS doc_id, a[chunk * {RAW} + 1 : chunk * {RAW} + {RAW}] AS ids FROM (SELECT batch_id, a, unnest(range(len(a) // {RAW})) AS chunk FROM b)),
+n AS (SELECT *, len(ids) AS n, CAST(least(greatest(round_even(len(ids) * 0.15, 0), 1), len(ids) - 1) AS INTEGER) AS nz FROM t),
+s AS (SELECT *, CAST(n - nz AS INTEGER) AS nn, CAST(greatest(1, round_even(nz / 3.0, 0)) AS INTEGER) AS k FROM n),
+c AS (SELECT *, {_cut_sql("z", "nz")} AS cz, {_cut_sql("k", "nn")} AS ck FROM s)
+SELECT doc_id AS chunk_id, nz AS n_noise, k AS n_spans, 128 AS n_inputs, {LABELS} AS n_labels,
+ md5(array_to_string(list_concat(flatten(list_transform(range(1, k + 1), lambda j: list_concat(ids[ck[j] + cz[j] + 1 : ck[j + 1] + cz[j]], ['<' || (32100 - j) || '>']))), ['</s>']), ' ')) AS inputs_md5,
+ md5(array_to_string(list_concat(flatten(list_transform(range(1, k + 1), lambda j: list_concat(['<' || (32100 - j) || '>'], ids[ck[j + 1] + cz[j] + 1 : ck[j + 1] + cz[j + 1]]))), ['</s>']), ' ')) AS labels_md5
+FROM c""")
+def span_corrupt_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed-length path: full chunks of raw tokens, corrupted, each of exactly the configured lengths; a wrong one raises."""
+    rows = _tokens(spark, sf_dir).withColumn("batch_id", F.floor(F.col("doc_id") / 100))
+    chunks = spans.packed_chunks(rows, "batch_id", "doc_id", "tokens", RAW).where(F.size("tokens") == RAW)
+    named = chunks.select(F.concat_ws(":", F.col("batch_id").cast("string"), F.col("chunk").cast("string")).alias("chunk_id"), "tokens")
+    done = spans.guarded(spans.corrupt(named, "chunk_id", "tokens", 32100, dynamic=False), "inputs", "labels", 128, LABELS)
+    sizes = [F.size(c).alias(f"n_{c}") for c in ("inputs", "labels")]
+    return done.select("chunk_id", "n_noise", "n_spans", *sizes, F.md5(F.array_join("inputs", " ")).alias("inputs_md5"), F.md5(F.array_join("labels", " ")).alias("labels_md5"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, 1 + least(len({TOKENS}), 1024) AS n FROM documents), z AS (SELECT *, CAST(least(greatest(round_even(n * 0.15, 0), 1), n - 1) AS INTEGER) AS nz FROM t WHERE n >= 2),
+k AS (SELECT *, CAST(least(greatest(1, round_even(least(nz, n - nz) / 3.0, 0)), nz, n - nz) AS INTEGER) AS k FROM z)
+SELECT doc_id, n - nz + k + 1 <= 512 AS fits, n - nz + k + 1 = 512 AND nz + k + 1 = 114 AS exact FROM k""")
+def length_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which corrupted documents have 512 inputs at most, and which exactly 512 with 114 labels."""
+    done = spans.corrupt(_tokens(spark, sf_dir).withColumn("ids", spans.with_bos(F.col("tokens"))), "doc_id", "ids", 32100)
+    inputs, labels = F.col("inputs"), F.col("labels")
+    return done.select("doc_id", spans.lengths_fit(inputs, labels, 512).alias("fits"), spans.lengths_fit(inputs, labels, 512, 114).alias("exact"))
+
+
+_PIECES = "['<pad>', '</s>', '<s>'] || (SELECT list('\u2581' || replace(n_name, '_', '\u2581') ORDER BY n_nationkey) FROM nation)"
+
+
+@query(f"""WITH v AS (SELECT {_PIECES} AS p), i AS (SELECT c_custkey, [2, c_nationkey + 3, CAST(c_custkey % 25 AS INTEGER) + 3, 1, 0, 0] AS ids FROM customer)
+SELECT c_custkey, replace(trim(replace(array_to_string(list_transform(ids, lambda x: p[x + 1]), ''), '\u2581', ' ')), '<pad>', '') AS kept,
+ trim(replace(array_to_string(list_transform(list_filter(ids, lambda x: x > 2), lambda x: p[x + 1]), ''), '\u2581', ' ')) AS skipped FROM i, v""")
+def detokenized_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of two nations' names between special tokens as text, with these and without."""
+    names = table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_name").collect()  # a vocabulary, of 25 rows
+    pieces = ["<pad>", "</s>", "<s>", *(spans.WORD_MARK + r["n_name"].replace("_", spans.WORD_MARK) for r in names)]
+    key = F.col("c_custkey")
+    ids = F.array(F.lit(2), F.col("c_nationkey") + 3, F.pmod(key, F.lit(25)).cast("int") + 3, F.lit(1), F.lit(0), F.lit(0))
+    rows = spans.detokenized(table(spark, sf_dir, "customer").select("c_custkey", ids.alias("ids")), "ids", pieces, (0, 1, 2), name="kept")
+    return spans.detokenized(rows, "ids", pieces, (0, 1, 2), skip_special=True, name="skipped").select("c_custkey", "kept", "skipped")
+
+
 # --- order ------------------------------------------------------------------------------
 
 
@@ -272,12 +325,14 @@ def format_code_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT doc_id, text || ' "<AssertPlaceHolder>" ' || source || '"<AssertPlaceHolder>"' AS method FROM documents)
-SELECT d.doc_id, md5(replace(method, '"<AssertPlaceHolder>"', regexp_replace(chr(10) || ' ' || b.text || ' ', '^\\s+|\\s+$', '', 'g'))) AS filled_md5 FROM d JOIN benchmark b ON b.item_id = d.doc_id""")
+SELECT d.doc_id, md5(replace(method, '"<AssertPlaceHolder>"', regexp_replace(chr(10) || ' ' || b.text || ' ', '^\\s+|\\s+$', '', 'g'))) AS filled_md5 FROM d JOIN benchmark b ON b.item_id = (SELECT min(item_id) FROM benchmark) + d.doc_id % (SELECT count(*) FROM benchmark)""")
 def placeholder_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = F.lit(text.PLACEHOLDER)
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.concat("text", F.lit(" "), mark, F.lit(" "), "source", mark).alias("method"))
+    items = table(spark, sf_dir, "benchmark").agg(F.min("item_id").alias("low"), F.count("*").alias("n")).first()
+    item = F.lit(items["low"]) + F.pmod(F.col("doc_id"), F.lit(max(1, items["n"])))
+    d = table(spark, sf_dir, "documents").select("doc_id", item.alias("item_id"), F.concat("text", F.lit(" "), mark, F.lit(" "), "source", mark).alias("method"))
     b = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("\n "), "text", F.lit(" ")).alias("statement"))
-    return d.join(b, "item_id").select(F.col("item_id").alias("doc_id"), F.md5(text.fill_placeholder(F.col("method"), F.col("statement"))).alias("filled_md5"))
+    return d.join(b, "item_id").select("doc_id", F.md5(text.fill_placeholder(F.col("method"), F.col("statement"))).alias("filled_md5"))
 
 
 @query(f"SELECT page_id, {BALANCED.format(x='html')} AS balanced FROM pages")
@@ -300,14 +355,16 @@ def a3_postprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", text.is_balanced(F.col("line")).alias("ok"), F.md5(text.postprocess_test(F.col("line"))).alias("mended_md5"))
 
 
-@query("""WITH c AS (SELECT p_partkey, 'org.' || lower(replace(p_brand, '#', '.')) || '.' || replace(p_type, ' ', '$') AS c FROM part)
+@query("""WITH c AS (SELECT p_partkey, 'org.' || lower(replace(p_brand, '#', '.')) || '.' || replace(p_type, ' ', '$') AS c, p_size FROM part)
 SELECT p_partkey, replace(c, '.', '/') || '.java' AS path, split_part(c, '.', -1) AS simple, c || '_ESTest' AS test_class, split_part(split_part(replace(c, '.', '/') || '.java', '/', -1), '.', 1) AS base,
- c || '::test' || p_partkey AS canonical, concat_ws('_', 'P', p_partkey, split_part(c, '.', -1)) AS id FROM c""")
+ c || '::test' || p_partkey AS canonical, concat_ws('_', 'P', p_size || 'f', p_partkey, split_part(c, '.', -1)) AS id,
+ 'P' AS project, p_size || 'f' AS version, p_partkey::VARCHAR AS number, split_part(split_part(c, '.', -1), '_', 1) AS class FROM c""")
 def class_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("org."), F.lower(F.replace("p_brand", F.lit("#"), F.lit("."))), F.lit("."), F.replace("p_type", F.lit(" "), F.lit("$")))
-    rows = table(spark, sf_dir, "part").select("p_partkey", name.alias("c"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", name.alias("c"))
     c, key = F.col("c"), F.col("p_partkey").cast("string")
-    return rows.select("p_partkey", text.source_path(c).alias("path"), text.simple_name(c).alias("simple"), text.test_class(c).alias("test_class"), text.base_name(text.source_path(c)).alias("base"), text.canonical_test(c, F.concat(F.lit("test"), key)).alias("canonical"), text.method_id(F.lit("P"), key, text.simple_name(c)).alias("id"))
+    composite = text.method_id(F.lit("P"), F.concat(F.col("p_size").cast("string"), F.lit("f")), key, text.simple_name(c))
+    return rows.select("p_partkey", text.source_path(c).alias("path"), text.simple_name(c).alias("simple"), text.test_class(c).alias("test_class"), text.base_name(text.source_path(c)).alias("base"), text.canonical_test(c, F.concat(F.lit("test"), key)).alias("canonical"), composite.alias("id"), *text.method_id_parts(composite))
 
 
 @query("SELECT p_partkey, CASE WHEN starts_with(p_name, 'test') THEN p_name ELSE 'test' || upper(left(p_name, 1)) || substr(p_name, 2) END AS test_name FROM part")
@@ -321,19 +378,23 @@ def import_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(text.split_imports(joined), ";").alias("imports"))
 
 
-@query("""WITH s AS (SELECT doc_id, n_chars * doc_id AS n, doc_id + n_chars / 7.0 AS sec FROM documents)
-SELECT doc_id, CASE WHEN n < 1000000 THEN 'K' WHEN n < 1000000000 THEN 'M' ELSE 'B' END AS count_unit, CASE WHEN n < 1000000 THEN 'KB' WHEN n < 1000000000 THEN 'MB' ELSE 'GB' END AS bytes_unit FROM s""")
+def _size_sql(units: str) -> str:
+    steps = "CASE WHEN n < 1000000 THEN 10 WHEN n < 1000000000 THEN 10000 ELSE 10000000 END"
+    unit = " ".join(f"WHEN n < {limit} THEN '{u}'" for limit, u in zip((10**6, 10**9, 10**18), units.split(), strict=True))
+    return f"((n + {steps} // 2) // {steps} // 100) || '.' || lpad(((n + {steps} // 2) // {steps} % 100)::VARCHAR, 2, '0') || ' ' || CASE {unit} END"
+
+
+@query(f"WITH s AS (SELECT doc_id, n_chars * (doc_id + 1) * 97 AS n FROM documents) SELECT doc_id, {_size_sql('K M B')} AS count_text, {_size_sql('KB MB GB')} AS bytes_text FROM s")
 def human_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units only: the engines round the last decimal differently; texts are held in tests."""
-    n = F.col("n_chars") * F.col("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", F.split(text.human_count(n), " ")[1].alias("count_unit"), F.split(text.human_bytes(n), " ")[1].alias("bytes_unit"))
+    n = F.col("n_chars") * (F.col("doc_id") + 1) * 97
+    return table(spark, sf_dir, "documents").select("doc_id", text.human_count(n).alias("count_text"), text.human_bytes(n).alias("bytes_text"))
 
 
-@query("""WITH s AS (SELECT doc_id, n_chars * 37 + doc_id AS s FROM documents)
+@query("""WITH s AS (SELECT doc_id, n_chars * 370 + doc_id AS s FROM documents)
 SELECT doc_id, CASE WHEN s // 86400 = 0 THEN '' WHEN s // 86400 = 1 THEN '1 day, ' ELSE (s // 86400) || ' days, ' END || (s // 3600 % 24) || ':' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') || '.25' AS delta,
- CASE WHEN s // 3600 < 100 THEN lpad((s // 3600)::VARCHAR, 2, '0') ELSE left((s // 3600)::VARCHAR, 2) END || ':' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS hms FROM s""")
+ printf('%02d', s // 3600) || ':' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS hms FROM s""")
 def timedelta_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("n_chars") * 37 + F.col("doc_id")
+    s = F.col("n_chars") * 370 + F.col("doc_id")
     return table(spark, sf_dir, "documents").select("doc_id", text.seconds_text(s + F.lit(0.25)).alias("delta"), text.elapsed(s, days=False).alias("hms"))
 
 
@@ -403,26 +464,20 @@ def import_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.missing_imports(wanted, F.split("text", " ")), ",").alias("missing"))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
-n AS (SELECT *, CASE WHEN regexp_matches(line, '^[A-F]') THEN split_part(line, ' ', 1) END AS name FROM l)
-SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, last_value(name IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS enclosing FROM n QUALIFY line_no % 3 = 0""")
-def asof_enclosing_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third line, as its SQL asks; asof_enclosing_line_all has all lines."""
-    return asof_enclosing_line_all(spark, sf_dir).where("line_no % 3 = 0")
-
-
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
 n AS (SELECT *, CASE WHEN regexp_matches(line, '^[A-F]') THEN split_part(line, ' ', 1) END AS name FROM l)
 SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, last_value(name IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS enclosing FROM n""")
-def asof_enclosing_line_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def asof_enclosing_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = joins.numbered_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
     name = F.when(F.col("line").rlike("^[A-F]"), F.substring_index("line", " ", 1))
     return joins.enclosing(lines, "doc_id", name).select("doc_id", "line_no", "enclosing")
 
 
-@query("""SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, sum(l_orderkey) AS keys FROM lineitem GROUP BY ALL""")
+@query("""SELECT l_returnflag, l_linestatus, l_linenumber, l_suppkey, count(*) AS n, sum(l_orderkey) AS keys, array_to_string(list(l_orderkey ORDER BY l_orderkey), ' ') AS orders FROM lineitem GROUP BY ALL""")
 def group_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus", "l_linenumber").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
+    keys = ("l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey")
+    found = table(spark, sf_dir, "lineitem").groupBy(*keys).agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"), F.array_sort(F.collect_list("l_orderkey")).alias("orders"))
+    return found.withColumn("orders", F.array_join(F.col("orders").cast("array<string>"), " "))
 
 
 @query("SELECT o_custkey, array_to_string(list(o_orderkey || ':' || o_orderstatus ORDER BY o_orderkey), ' ') AS rows FROM orders GROUP BY o_custkey")
@@ -539,20 +594,6 @@ _GRAMS = " UNION ALL ".join(
 )
 
 
-@query(rf"""WITH p AS (SELECT a.conv_id, string_split_regex(a.text, '\s+') AS c, string_split_regex(b.text, '\s+') AS r FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1),
-g AS ({_GRAMS}), k AS (SELECT conv_id, n, gram, count(*) FILTER (WHERE side = 'c') AS c, count(*) FILTER (WHERE side = 'r') AS r FROM g GROUP BY ALL),
-s AS (SELECT n, sum(least(c, r))::DOUBLE / nullif(sum(c), 0) AS p FROM k GROUP BY n),
-q AS (SELECT coalesce(max(p) FILTER (WHERE n = 1), 0) AS p1, coalesce(max(p) FILTER (WHERE n = 2), 0) AS p2, coalesce(max(p) FILTER (WHERE n = 3), 0) AS p3, coalesce(max(p) FILTER (WHERE n = 4), 0) AS p4 FROM s),
-z AS (SELECT sum(len(c))::DOUBLE AS nc, sum(len(r))::DOUBLE AS nr FROM p)
-SELECT round(CASE WHEN least(p1, p2, p3, p4) > 0 THEN (CASE WHEN nc >= nr THEN 1 ELSE exp(1 - nr / nc) END) * exp((ln(nullif(p1, 0)) + ln(nullif(p2, 0)) + ln(nullif(p3, 0)) + ln(nullif(p4, 0))) / 4) ELSE 0 END, 9)::DOUBLE AS bleu,
- round(p1, 9)::DOUBLE AS p1, round(p2, 9)::DOUBLE AS p2, round(p3, 9)::DOUBLE AS p3, round(p4, 9)::DOUBLE AS p4, round(nc / nr, 9)::DOUBLE AS length_ratio FROM q, z""")
-def bleu_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    side = lambda k, name: turns.where(F.col("turn") == k).select("conv_id", F.split("text", r"\s+").alias(name))
-    row = metrics.corpus_bleu(side(0, "c").join(side(1, "r"), "conv_id"), "conv_id", "c", "r")
-    return row.select(*[F.round(c, 9).alias(c) for c in row.columns])
-
-
 def _against_turn_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turn 1 of a conversation is the reference, every other turn a candidate at its position."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("position"), F.split("text", r"\s+").alias("c"))
@@ -569,7 +610,7 @@ q AS (SELECT position, coalesce(max(p) FILTER (WHERE n = 1), 0) AS p1, coalesce(
 z AS (SELECT position, sum(len(c))::DOUBLE AS nc, sum(len(r))::DOUBLE AS nr FROM p GROUP BY position)
 SELECT position, round(CASE WHEN least(p1, p2, p3, p4) > 0 THEN (CASE WHEN nc >= nr THEN 1 ELSE exp(1 - nr / nc) END) * exp((ln(nullif(p1, 0)) + ln(nullif(p2, 0)) + ln(nullif(p3, 0)) + ln(nullif(p4, 0))) / 4) ELSE 0 END, 9)::DOUBLE AS bleu,
  round(p1, 9)::DOUBLE AS p1, round(p2, 9)::DOUBLE AS p2, round(p3, 9)::DOUBLE AS p3, round(p4, 9)::DOUBLE AS p4, round(nc / nr, 9)::DOUBLE AS length_ratio FROM q JOIN z USING (position)""")
-def bleu_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bleu_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = metrics.corpus_bleu(_against_turn_1(spark, sf_dir), "conv_id", "c", "r", by=("position",))
     return rows.select("position", *[F.round(c, 9).alias(c) for c in rows.columns[1:]])
 
@@ -583,24 +624,16 @@ JAVA_KEYWORDS = (
 )
 
 
-@query(rf"""WITH p AS (SELECT a.conv_id, string_split_regex(a.text, '\s+') AS c, string_split_regex(b.text, '\s+') AS r FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1),
-g AS (SELECT conv_id, 'c' AS side, unnest(c) AS gram FROM p UNION ALL SELECT conv_id, 'r', unnest(r) FROM p), k AS (SELECT conv_id, gram, count(*) FILTER (WHERE side = 'c') AS c, count(*) FILTER (WHERE side = 'r') AS r FROM g GROUP BY ALL),
-w AS (SELECT *, CASE WHEN gram IN ({", ".join(f"'{k}'" for k in JAVA_KEYWORDS)}) THEN 1.0 ELSE 0.2 END AS weight FROM k)
-SELECT round((sum(least(c, r) * weight) / sum(c * weight))::DOUBLE, 9) AS p1 FROM w""")
-def weighted_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    side = lambda k, name: turns.where(F.col("turn") == k).select("conv_id", F.split("text", r"\s+").alias(name))
-    weights = spark.createDataFrame([(k, 1.0) for k in JAVA_KEYWORDS], "token string, weight double")
-    return metrics.corpus_bleu(side(0, "c").join(side(1, "r"), "conv_id"), "conv_id", "c", "r", weights).select(F.round("p1", 9).alias("p1"))
-
-
 @query(rf"""WITH {_PAIRS},
-g AS (SELECT position, conv_id, 'c' AS side, unnest(c) AS gram FROM p UNION ALL SELECT position, conv_id, 'r', unnest(r) FROM p), k AS (SELECT position, conv_id, gram, count(*) FILTER (WHERE side = 'c') AS c, count(*) FILTER (WHERE side = 'r') AS r FROM g GROUP BY ALL),
-w AS (SELECT *, CASE WHEN gram IN ({", ".join(f"'{k}'" for k in JAVA_KEYWORDS)}) THEN 1.0 ELSE 0.2 END AS weight FROM k)
-SELECT position, round((sum(least(c, r) * weight) / sum(c * weight))::DOUBLE, 9) AS p1 FROM w GROUP BY position""")
-def weighted_unigrams_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+g AS ({_GRAMS.replace("SELECT conv_id", "SELECT position, conv_id")}), k AS (SELECT position, conv_id, n, gram, count(*) FILTER (WHERE side = 'c') AS c, count(*) FILTER (WHERE side = 'r') AS r FROM g GROUP BY ALL),
+w AS (SELECT *, CASE WHEN n > 1 OR gram IN ({", ".join(f"'{k}'" for k in JAVA_KEYWORDS)}) THEN 1.0 ELSE 0.2 END AS weight FROM k),
+s AS (SELECT position, n, sum(least(c, r) * weight)::DOUBLE / nullif(sum(c * weight), 0)::DOUBLE AS p FROM w GROUP BY position, n)
+SELECT position, {", ".join(f"round(coalesce(max(p) FILTER (WHERE n = {n}), 0), 9)::DOUBLE AS p{n}" for n in range(1, 5))} FROM s GROUP BY position""")
+def weighted_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weighted precisions of every candidate position: keywords weigh more among unigrams, longer n-grams weigh alike."""
     weights = spark.createDataFrame([(k, 1.0) for k in JAVA_KEYWORDS], "token string, weight double")
-    return metrics.corpus_bleu(_against_turn_1(spark, sf_dir), "conv_id", "c", "r", weights, by=("position",)).select("position", F.round("p1", 9).alias("p1"))
+    rows = metrics.corpus_bleu(_against_turn_1(spark, sf_dir), "conv_id", "c", "r", weights, by=("position",))
+    return rows.select("position", *[F.round(f"p{n}", 9).alias(f"p{n}") for n in range(1, 5)])
 
 
 # --- files ------------------------------------------------------------------------------
@@ -621,11 +654,11 @@ def text_lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.text_lines(spark, path)
 
 
-@query("SELECT conv_id, turn, role FROM conversations")
+@query("SELECT conv_id, turn, role, text FROM conversations")
 def json_lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.folder(spark, "json")
-    sinks.write_json(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), path)
-    return spark.read.schema("conv_id long, turn long, role string").json(path)
+    sinks.write_json(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), path)
+    return spark.read.schema("conv_id long, turn long, role string, text string").json(path)
 
 
 @query("SELECT 'c' || conv_id || '.tar.bz2' AS name, 'turn' || turn || '.txt' AS member, md5(text) AS text_md5 FROM conversations")
@@ -638,6 +671,222 @@ def archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.mapInArrow(files.members_of, "name string, member string, content binary").select("name", "member", F.md5("content").alias("text_md5"))
 
 
+@query("SELECT name, member, md5(text) AS text_md5 FROM (SELECT 'P' || item_id % 7 || '-' || item_id || 'f-generated_test.' || item_id || '.tar.bz2' AS name, 'src/T' || item_id || '.java' AS member, text FROM benchmark)")
+def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tar.bz2 file for each item, found by name and unpacked again."""
+    key = F.col("item_id").cast("string")
+    name = F.concat(F.lit("P"), F.pmod("item_id", F.lit(7)).cast("string"), F.lit("-"), key, F.lit("f-generated_test."), key, F.lit(".tar.bz2"))
+    rows = table(spark, sf_dir, "benchmark").select(name.alias("name"), F.concat(F.lit("src/T"), key, F.lit(".java")).alias("member"), F.col("text").cast("binary").alias("content"))
+    path = scratch.folder(spark, "archives")
+    sinks.write_files(sinks.archives(rows).select(F.col("name").alias("path"), "content"), path)
+    return files.archive_members(spark, path).select("name", "member", F.md5("content").alias("text_md5"))
+
+
+@query("""WITH a AS (SELECT item_id, item_id % 40 AS v, item_id % 3 AS sid FROM benchmark)
+SELECT 'P-' || v || 'f-generated_test.' || item_id || '.' || sid || '.tar.bz2' AS name, 'P' AS pid, v || 'f' AS vid, v::INTEGER AS vid_num, 'generated_tests' AS src, item_id::INTEGER AS tid, sid::INTEGER AS sid,
+ row_number() OVER (ORDER BY v, item_id, sid) - 1 AS place FROM a""")
+def archive_listing_of_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of k candidates found in a folder, in their order; other files there are passed over."""
+    key = F.col("item_id")
+    name = F.concat(F.lit("P-"), F.pmod(key, F.lit(40)).cast("string"), F.lit("f-generated_test."), key.cast("string"), F.lit("."), F.pmod(key, F.lit(3)).cast("string"), F.lit(".tar.bz2"))
+    path = scratch.folder(spark, "listing")
+    both = table(spark, sf_dir, "benchmark").select(F.explode(F.array(name, F.concat(key.cast("string"), F.lit(".txt")), F.concat(F.lit("x"), key.cast("string"), F.lit(".tar.bz2")))).alias("path"), F.lit("").alias("content"))
+    sinks.write_files(both, path)
+    found = files.archive_listing(spark, path, of_k=True)
+    return order.global_rank(found, F.col("vid_num"), "vid_num", "tid", "sid", name="place")
+
+
+@query("SELECT r_name AS project, n_name, n_nationkey FROM nation JOIN region ON r_regionkey = n_regionkey")
+def csv_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One CSV for each project, read together."""
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
+    path, names = scratch.folder(spark, "projects"), [r[0] for r in table(spark, sf_dir, "region").select("r_name").collect()]
+    for name in names:
+        part = rows.where(F.col("r_name") == name).select(F.col("r_name").alias("project"), "n_name", "n_nationkey")
+        sinks.write_csv(part, f"{path}/{name}_methods.csv")
+    return files.csv_table(spark, [f"{path}/{name}_methods.csv" for name in names], "project string, n_name string, n_nationkey int")
+
+
+_ONE_LINE = "replace(replace(text, chr(10), ' '), chr(13), ' ')"
+
+
+def _one_line() -> Column:
+    return F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY item_id, text) - 1 AS line_no, {_ONE_LINE} AS method, 'assert ' || item_id AS statement FROM benchmark WHERE text IS NOT NULL")
+def paired_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files of lines, paired by line number."""
+    rows = table(spark, sf_dir, "benchmark").where("text is not null").orderBy("item_id", "text")
+    path = scratch.folder(spark, "pairs")
+    sinks.write_lines(rows.select(_one_line().alias("text")).coalesce(1), f"{path}/methods")
+    sinks.write_lines(rows.select(F.concat(F.lit("assert "), F.col("item_id").cast("string")).alias("text")).coalesce(1), f"{path}/asserts")
+    return files.paired_lines(spark, f"{path}/methods", f"{path}/asserts").withColumnsRenamed({"left": "method", "right": "statement"})
+
+
+@query("""WITH i AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS line_no, item_id FROM benchmark), p AS (SELECT item_id, unnest(range(3)) AS j FROM benchmark)
+SELECT i.line_no, i.item_id, j::INTEGER AS cand_pos, 'p' || p.item_id || '.' || j AS code FROM i JOIN p ON p.item_id = i.item_id""")
+def predictions_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three predictions follow one another for each input; place alone tells whose they are."""
+    items = table(spark, sf_dir, "benchmark").select("item_id")
+    inputs = order.global_rank(items, order.number_bucket(items, "item_id"), "item_id", name="line_no")
+    made = items.select("item_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j"))
+    flat = order.global_rank(made, order.number_bucket(made, "item_id"), "item_id", "j", name="line_no")
+    flat = flat.select("line_no", F.concat(F.lit("p"), F.col("item_id").cast("string"), F.lit("."), F.col("j").cast("string")).alias("code"))
+    return joins.by_position(inputs, flat, 3).select("line_no", "item_id", "cand_pos", "code")
+
+
+@query("SELECT 'a/' || item_id || '.java' AS path_focal_class, (item_id % 5) || 'f' AS version, item_id::INTEGER AS number_method_by_version, text AS src FROM benchmark")
+def corpus_json_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON document in a folder of its own for each item, its version and number read from the path."""
+    key = F.col("item_id").cast("string")
+    path = F.concat(F.pmod("item_id", F.lit(5)).cast("string"), F.lit("f/methods/"), key, F.lit("/corpus.json"))
+    content = F.to_json(F.struct(F.concat(F.lit("a/"), key, F.lit(".java")).alias("path_focal_class"), F.col("text").alias("src")))
+    folder = scratch.folder(spark, "corpus")
+    sinks.write_files(table(spark, sf_dir, "benchmark").select(path.alias("path"), content.alias("content")), folder)
+    return files.corpus_json(spark, folder).select("path_focal_class", "version", "number_method_by_version", "src")
+
+
+@query("SELECT DISTINCT 'org.' || replace(p_type, ' ', '.') AS class_name FROM part")
+def class_list_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch.folder(spark, "classes")
+    sinks.write_lines(table(spark, sf_dir, "part").select(F.concat(F.lit("org."), F.replace("p_type", F.lit(" "), F.lit(".")), F.lit(" ")).alias("text")), path)
+    return files.class_list(spark, path)
+
+
+@query("SELECT r_name AS project, array_to_string(list('org.' || n_name ORDER BY n_nationkey), ',') AS classes FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY r_name")
+def class_catalogue_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON array of projects with their classes, written as one text; each last class ends in a line break there."""
+    named = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
+    found = named.groupBy(F.col("r_name").alias("project")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("n")).collect()  # five regions
+    listed = [{"project": r["project"], "classes": [f"org.{x['n_name']}" + "\n" * (i == len(r["n"]) - 1) for i, x in enumerate(r["n"])]} for r in found]
+    path = f"{scratch.folder(spark, 'catalogue')}/focal_classes.json"
+    sinks.write_string(spark, json.dumps(listed, indent=1), path)
+    return files.class_catalogue(spark, path).select("project", F.array_join("classes", ",").alias("classes"))
+
+
+@query("SELECT 'documents: ' || count(*) || chr(10) AS content FROM documents")
+def string_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A single text to a file; the second takes the place of the first."""
+    path = f"{scratch.folder(spark, 'string')}/summary.txt"
+    for content in ("an older and longer text " * 9, f"documents: {table(spark, sf_dir, 'documents').count()}\n"):
+        sinks.write_string(spark, content, path)
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("content"))
+
+
+@query("SELECT 'T' || item_id || '_ESTest' AS class, len(string_split(text, chr(10))) AS n_lines, md5(text) AS text_md5 FROM benchmark WHERE text IS NOT NULL AND text <> ''")
+def java_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edited sources to files of a tree, found again; scaffoldings and other files are passed over."""
+    key = F.col("item_id").cast("string")
+    kinds = F.explode(F.array(*map(F.lit, ("_ESTest.java", "_ESTest_scaffolding.java", ".txt")))).alias("kind")
+    rows = table(spark, sf_dir, "benchmark").where("text is not null and text <> ''").select("text", key.alias("key"), kinds)
+    folder = scratch.folder(spark, "sources")
+    sinks.write_files(rows.select(F.concat(F.lit("src/p"), F.right("key", F.lit(1)), F.lit("/T"), "key", "kind").alias("path"), F.col("text").alias("content")), folder)
+    return files.java_sources(spark, folder).select(text.base_name(F.col("path")).alias("class"), F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("text_md5"))
+
+
+_SUFFIX = "CASE p_size % 3 WHEN 0 THEN '_ESTest.java' WHEN 1 THEN '_ESTest_scaffolding.java' ELSE '.java' END"
+
+
+@query(f"SELECT p_partkey, 'out/' || replace(p_type, ' ', '$') || {_SUFFIX} AS path FROM part WHERE p_size % 3 <> 2")
+def test_class_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose name begins with the name of their test class; the class's signs mean themselves."""
+    name, rest = F.replace("p_type", F.lit(" "), F.lit("$")), F.pmod("p_size", F.lit(3))
+    path = F.concat(F.lit("out/"), name, F.when(rest == 0, "_ESTest.java").when(rest == 1, "_ESTest_scaffolding.java").otherwise(".java"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", path.alias("path"), text.test_class(name).alias("test_class"))
+    return files.of_test_class(rows, "path", F.col("test_class")).select("p_partkey", "path")
+
+
+@query("SELECT event_id AS test_id, user_id % 97 AS version_num, row_number() OVER (ORDER BY user_id % 97, event_id) - 1 AS place FROM events")
+def outcomes_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes by version and test, with their place in that order."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("test_id"), F.pmod("user_id", F.lit(97)).alias("version_num"))
+    return outcomes.ordered(order.global_rank(rows, F.col("version_num"), "version_num", "test_id", name="place"))
+
+
+@query("""WITH n AS (SELECT p_partkey, p_size, 'P-' || p_size || 'f-scaffolding.tar.bz2' AS name FROM part) SELECT p_partkey, p_size AS version, name FROM n""")
+def scaffold_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each method's archive, found by project and version; a method without one would raise."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.lit("P").alias("project"), F.col("p_size").alias("version"))
+    listing = part.select("project", "version").distinct().withColumn("name", F.concat(F.lit("P-"), F.col("version").cast("string"), F.lit("f-scaffolding.tar.bz2")))
+    return joins.with_archive(part, listing, "project", "version").select("p_partkey", "version", "name")
+
+
+_METHODS = {
+    "id": "'P_' || p_partkey", "project": "'P'", "version": "p_size", "number_method_by_version": "p_partkey", "modified_class": "'org.' || replace(p_type, ' ', '.')", "focal_class": "p_brand",
+    "path_focal_class_in_project": "'src/' || p_partkey", "test_class": "p_brand || '_ESTest'", "path_test_class_scaffolding": "'t/' || p_partkey", "package_focal_class": "'org'", "imports_focal_class": "p_name",
+    "src_fm_fc_ms_ff": "'say \"' || p_name || '\",' || chr(10) || p_size", "src_fm_fc_dctx": "p_name", "src_fm_fc_dctx_priv": "p_brand",
+}
+
+
+@query("SELECT " + ", ".join(f"CAST({v} AS VARCHAR) AS {k}" for k, v in _METHODS.items()) + " FROM part")
+def methods_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The methods table to CSV and back, from columns in another order."""
+    sql = {k: v.replace("chr(10)", "'\\n'") for k, v in reversed(_METHODS.items())}
+    path = scratch.folder(spark, "methods")
+    sinks.write_methods(table(spark, sf_dir, "part").selectExpr(*[f"CAST({v} AS STRING) AS {k}" for k, v in sql.items()]), path)
+    return files.csv_table(spark, path)
+
+
+@query("""WITH c AS (SELECT l_orderkey, count(*) AS t, count(*) FILTER (WHERE l_returnflag <> 'N') AS c FROM lineitem GROUP BY l_orderkey)
+SELECT 'n' || l_orderkey AS name, t::VARCHAR AS lines_total, c::VARCHAR AS lines_covered, (c * 20000 + t) // (2 * t) // 100 || '.' || lpad(((c * 20000 + t) // (2 * t) % 100)::VARCHAR, 2, '0') AS line_rate, '0.00' AS branch_rate FROM c""")
+def coverage_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage to CSV, rates with two decimals."""
+    counts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines_total"), F.count_if(F.col("l_returnflag") != "N").alias("lines_covered"))
+    rows = counts.select(F.concat(F.lit("n"), F.col("l_orderkey").cast("string")).alias("name"), F.lit("P").alias("project"), F.lit("1f").alias("version"), F.lit(1).alias("test_id"), "lines_total", "lines_covered", F.lit(0).alias("branches_total"), F.lit(0).alias("branches_covered"))
+    path = scratch.folder(spark, "coverage")
+    sinks.write_coverage(outcomes.coverage(rows), path)
+    return files.csv_table(spark, path).select("name", "lines_total", "lines_covered", "line_rate", "branch_rate")
+
+
+@query(f"WITH e AS (SELECT event_id, event_type, {_FLAGS} FROM events) SELECT 'n' || event_id AS name, event_type AS project, '1f' AS version, event_id::VARCHAR AS test_id, " + ", ".join(f"CASE WHEN {c} THEN 'Yes' ELSE 'No' END AS {c}" for c in outcomes.STAGES) + " FROM e")
+def outcomes_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes to CSV as Yes and No, in the report's order of columns."""
+    key = F.col("event_id")
+    rows = _outcomes(spark, sf_dir).withColumns({"name": F.concat(F.lit("n"), key.cast("string")), "version": F.lit("1f"), "test_id": key})
+    path = scratch.folder(spark, "outcomes")
+    sinks.write_outcomes(rows, path)
+    return files.csv_table(spark, path)
+
+
+@query("WITH e AS (SELECT event_type AS project, count(*)::VARCHAR AS total_tests FROM events GROUP BY 1) SELECT * FROM e UNION ALL SELECT * FROM e")
+def summary_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary written twice: appended rows stand twice."""
+    rows = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("project")).agg(F.count("*").alias("total_tests"))
+    path = scratch.folder(spark, "summary")
+    for _ in range(2):
+        sinks.write_summary(rows, path, append=True)
+    return spark.read.option("header", True).csv(path).select("project", "total_tests")
+
+
+@query("SELECT p_partkey, p_type FROM part")
+def cached_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made once, read twice."""
+    path, made = f"{scratch.folder(spark, 'cache')}/part", []
+
+    def make() -> DataFrame:
+        made.append(1)
+        return table(spark, sf_dir, "part").select("p_partkey", "p_type")
+
+    files.cached(path, make, spark)
+    found = files.cached(path, make, spark)
+    if len(made) != 1:
+        raise ValueError("the table was made again")
+    return found
+
+
+@query("SELECT p_type AS chosen, p_partkey FROM part")
+def column_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column named at run time; one that isn't there raises."""
+    return columns.chosen(table(spark, sf_dir, "part"), "p_type", "p_partkey").withColumnRenamed("p_type", "chosen")
+
+
+@query("SELECT o_orderkey, o_orderkey % 6 < 3 AS flag FROM orders")
+def parsed_booleans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.array(*map(F.lit, ("Yes", "ON", "1", "n", "False", "off")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.parsed_boolean(F.get(words, F.pmod("o_orderkey", F.lit(6)).cast("int"))).alias("flag"))
+
+
 # --- extension --------------------------------------------------------------------------
 
 
@@ -651,10 +900,32 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Java text --------------------------------------------------------------------------
 
 
-@query()
+#: Quotes and backslashes would end the literal that holds the text.
+_LITERAL = """replace(translate(text, '"\\', ''), chr(10), ' ')"""
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_LITERAL} AS t FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, doc_id % 6 = 0 AS whole, ' void check' || doc_id || '() {{ int a = f("' || t || '"' || CASE WHEN doc_id % 2 = 0 THEN ');' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE '' END
+ || CASE WHEN doc_id % 2 = 0 THEN '' WHEN doc_id % 3 = 0 THEN ');' ELSE ');' END || '}}' AS body FROM d)
+SELECT doc_id, NOT whole AS had_errors, false AS has_errors, 'check' || doc_id AS method, md5('@Test public void testCheck' || doc_id || substr(body, 12 + length(doc_id::VARCHAR))) AS adapted_md5, md5('/* x */  ' || body) AS bare_md5,
+ md5('/* x */ @Test(expected = A.class)' || body) AS code_md5 FROM c""")
 def java_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The Java functions over documents put into a method's body."""
-    code = F.concat(F.lit("/* x */ @Test(expected = A.class) void check"), F.col("doc_id").cast("string"), F.lit("() { int a = f(\""), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\""), F.when(F.col("doc_id") % 2 == 0, ");").otherwise(""), F.when(F.col("doc_id") % 3 == 0, " }").otherwise(""))
-    rows = table(spark, sf_dir, "documents").select("doc_id", code.alias("code")).withColumn("mended", javasrc.repair("code"))
-    whole = F.col("mended.code")
-    return rows.select("doc_id", javasrc.code_has_errors("code").alias("has_errors"), javasrc.code_has_errors(whole).alias("still_has_errors"), javasrc.get_method_name(whole).alias("method"), F.md5(javasrc.adapt_name(javasrc.clean_comments(whole))).alias("adapted_md5"), F.md5(javasrc.remove_annotations(whole)).alias("bare_md5"))
+    """The Java functions over documents put into a method's body as a literal, with and without the ends of its call and its block."""
+    key = F.col("doc_id")
+    literal = F.replace(F.translate("text", '"\\', ""), F.lit("\n"), F.lit(" "))
+    code = F.concat(F.lit("/* x */ @Test(expected = A.class) void check"), key.cast("string"), F.lit('() { int a = f("'), literal, F.lit('"'), F.when(key % 2 == 0, ");").otherwise(""), F.when(key % 3 == 0, " }").otherwise(""))
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", javasrc.mended(code).alias("m"))
+    digests = [F.md5(F.col(f"m.{c}")).alias(f"{c}_md5") for c in ("adapted", "bare", "code")]
+    return rows.select("doc_id", "m.had_errors", "m.has_errors", "m.method", *digests)
+
+
+_BARE = "translate(text, '*/\"''\\' || chr(10), '')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_BARE} AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, md5('int a;   String s = "' || t || '";  ' || chr(10) || 'int b;  ') AS bare_md5 FROM d""")
+def java_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments of either kind around each document, which also stands in a literal."""
+    bare = F.translate("text", "*/\"'\\\n", "")
+    code = F.concat(F.lit("int a; /* "), bare, F.lit(' */ String s = "'), bare, F.lit('"; // '), bare, F.lit("\nint b; // end"))
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(javasrc.clean_comments(code)).alias("bare_md5"))
