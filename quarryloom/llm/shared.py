@@ -17,12 +17,17 @@ PIECE_BYTES = 512 << 10
 #: would fill a worker's memory.
 BATCH_ROWS = 1000
 BATCH_BYTES = 4 << 20
-#: Tasks, and so files, that a core gets of a table written in few files.
-TASKS_PER_CORE = 4
+#: A table in few files has this many for each core, or one for so many shuffle partitions if that is more.
+TASKS_PER_CORE, PARTITIONS_PER_TASK = 4, 8
+_made: list[str] = []
 
 
 def arrow_limits(spark: SparkSession) -> None:
-    """Sets the rows and bytes of an Arrow batch to BATCH_ROWS and BATCH_BYTES, if they are larger."""
+    """Sets the rows and bytes of an Arrow batch to BATCH_ROWS and BATCH_BYTES, if they are larger.
+
+    The session keeps these settings: Spark reads them when a plan runs, which is after the
+    operator has returned it.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
@@ -49,6 +54,7 @@ def scratch(spark: SparkSession, tag: str) -> str:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    _made.append(path)
     return path
 
 
@@ -64,11 +70,27 @@ def written(df: DataFrame, tag: str, few: bool = False) -> DataFrame:
 
 
 def few_tasks(df: DataFrame) -> DataFrame:
-    """df with at most TASKS_PER_CORE partitions a core, for tables that would else be written as very many small files.
+    """df with fewer partitions, for tables that would else be written as very many small files.
 
-    Partitions are taken one after another, so a task needs no more memory than before.
+    Their number grows with that of the shuffle partitions, so a task's share doesn't grow
+    with the input. Partitions are taken one after another: a task needs no more memory.
     """
-    return df.coalesce(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+    spark = df.sparkSession
+    return df.coalesce(max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, partitions(spark) // PARTITIONS_PER_TASK))
+
+
+def made() -> list[str]:
+    """The folders that scratch has named so far."""
+    return list(_made)
+
+
+def drop(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes folders that no table in use needs any more."""
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if folder in _made:
+            _made.remove(folder)
 
 
 def fold(id_col: Column, modulus: int) -> Column:
