@@ -234,10 +234,14 @@ def read_pages(spark: SparkSession, folder: str, files: DataFrame, payload: bool
     """A row for each response and revisit of the listed files, with the payload if asked for.
 
     valid is false where segments are missing or doubled, where their length isn't the
-    total, or where the payload hasn't the digest that its record names.
+    total, where the payload hasn't the digest that its record names, and for a revisit
+    of a page that has no valid response with its digest among the files.
     """
     found = store.finished(spark, folder, files.select("name")).select("content")
     more = "origin string, number int, total long, headers map<string,string>, block binary"
     parsed = shared.written(shared.map_arrow(found, _parse(payload), f"{PAYLOAD}, {more}"), "records")
     segments = parsed.where("origin is not null").groupBy("origin").agg(F.collect_list(F.struct("number", "total", "headers", "block")).alias("parts")).select("parts")
-    return parsed.where("origin is null").select(*_NAMES).union(shared.map_arrow(segments, _assemble(payload), PAYLOAD))
+    whole = shared.written(parsed.where("origin is null").select(*_NAMES).union(shared.map_arrow(segments, _assemble(payload), PAYLOAD)), "pages")
+    known = whole.where("record_type = 'response' and valid").select(F.col("page_id").alias("refers_to"), "payload_digest", F.lit(True).alias("same")).distinct()
+    revisits = whole.where("record_type = 'revisit'").drop("valid").join(known, ["refers_to", "payload_digest"], "left").withColumn("valid", F.coalesce("same", F.lit(False)))
+    return whole.where("record_type is null or record_type <> 'revisit'").union(revisits.select(*_NAMES))

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from quarryloom.llm import ann, shared, warc
+from quarryloom.llm import ann, shared, store, warc
 
 
 def pages(seed=1):
@@ -62,6 +62,17 @@ def test_chunked_framing():
             warc.dechunked(bad)
 
 
+def test_a_revisit_of_a_lost_page_is_not_valid(spark):
+    folder = shared.scratch(spark, "test")
+    listed = warc.write_pages(spark.createDataFrame([(1, "u", "same"), (2, "v", "same"), (3, "w", "other")], "page_id long, url string, html string").coalesce(1), folder)
+    assert {r["page_id"]: (r["record_type"], r["valid"]) for r in warc.read_pages(spark, folder, listed).collect()} == {1: ("revisit", True), 2: ("response", True), 3: ("response", True)}
+    alone = store.put(folder, "alone", b"".join(warc.page_records("x", 9, None, b"gone", 8, True)))
+    wrong = store.put(folder, "wrong", b"".join(warc.page_records("y", 10, None, b"not the same", 2, True)))
+    more = listed.select("name").union(spark.createDataFrame([(alone,), (wrong,)], "name string"))
+    got = {r["page_id"]: r["valid"] for r in warc.read_pages(spark, folder, more).collect()}
+    assert got == {1: True, 2: True, 3: True, 9: False, 10: False}
+
+
 def test_no_pages(spark):
     folder = shared.scratch(spark, "test")
     listed = warc.write_pages(spark.createDataFrame([], "page_id long, url string, html string"), folder)
