@@ -204,21 +204,21 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     fits = _filters(num, den)
     first = _side(met.where("is_hub"), "a").join(_side(met.where("not is_hub"), "b"), "token").where(fits & (F.col("a") != F.col("b")))
     tried = shared.written(_suffix_filter(first.select("a", "b"), parts, num, den), "pairs", few=True)
-    links = shared.written(_linked(tried, usable, size, num, den), "links", few=True)
+    links = shared.written(_linked(tried, usable, size, num, den), "links")
 
     found = shared.written(components.components(links), "components", few=True)
     placed = met.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = shared.written(placed, "placed", few=True)
+    placed = shared.written(placed, "placed")
     home = placed.where("is_hub").groupBy("token").agg(F.min("component").alias("home"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("posts")).where("lo <> hi")
     # the classes of a frequent shingle are dealt to several tasks, each of which meets all others
     shares = F.ceil(F.col("posts") / MEETING)
-    split = shared.written(placed.join(mixed.select("token", shares.alias("shares")), "token").join(home, "token"), "split", few=True)
+    split = shared.written(placed.join(mixed.select("token", shares.alias("shares")), "token").join(home, "token"), "split")
     strange = _side(split.where("component <> home"), "a", F.col("component").alias("ca"), F.pmod(F.xxhash64("id"), F.col("shares")).alias("share"))
     every = _side(split, "b", F.col("component").alias("cb"), "home", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
     second = strange.join(every, ["token", "share"]).where(fits & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("home")) | (F.col("a") < F.col("b"))))
     rest = _suffix_filter(second.select("a", "b"), parts, num, den).join(tried, ["a", "b"], "left_anti")
-    more = shared.written(_linked(shared.written(rest, "pairs", few=True), usable, size, num, den), "links", few=True)
+    more = shared.written(_linked(shared.written(rest, "pairs", few=True), usable, size, num, den), "links")
 
     # the links found last join components, so only these are joined anew
     for x in "ab":
