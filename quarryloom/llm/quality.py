@@ -4,6 +4,9 @@ Each labeller calls a text bad or good, or abstains. Expectation-maximisation ov
 counts of vote patterns of all documents estimates each labeller's accuracies, without any
 label. The posterior of a document's pattern is its soft label; a logistic scorer over
 hashed words and word shapes learns from the soft labels of a bounded hash sample.
+
+Form says nothing of insults: given a table of toxicity labels, words that mostly stand in
+toxic texts are learned from a bounded sample of its rows and scored beside the quality.
 """
 
 from __future__ import annotations
@@ -28,6 +31,10 @@ ROUNDS, PASSES = 200, 300
 #: Added to a text's number of features (three a word), so that a few words alone decide little.
 SMOOTH = 60
 
+#: Labelled ids that toxic words are learned from, about, drawn by a hash. A word marks toxic texts if the lower bound of
+#: its share of them, at MARK_ERRORS standard errors (Wilson's interval), is above a half; the surest MARK_WORDS are used.
+TOXIC_DOCS, MARK_ERRORS, MARK_WORDS = 10_000, 2.576, 10_000
+
 _symbol = np.array([33 <= b <= 126 and not chr(b).isalnum() for b in range(256)])
 _letter = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 _upper = np.array([65 <= b <= 90 for b in range(256)])
@@ -163,7 +170,56 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pattern(votes)), pa.array(loads, pa.binary())], ["pattern", "load"])
 
 
-def _score(label: LabelModel, handle):
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different words of each text, with its least hash of five words, which most near copies share, and its label."""
+    for piece in shared.text_pieces(batches):
+        w = words.split(piece.column("text"), "alnum", lower=True)
+        h, doc = w.hashes(), w.text_of()
+        first, runs = words.windows(h, w.at, 5)
+        key, alone = (np.full(piece.num_rows, np.iinfo(np.uint64).max) for _ in range(2))
+        np.minimum.at(key, doc[first], runs)
+        np.minimum.at(alone, doc, h)
+        key = np.where(np.diff(w.at) < 5, alone, key)
+        order = np.lexsort((h, doc))
+        new = np.ones(len(h), bool)
+        new[1:] = (np.diff(doc[order]) != 0) | (h[order][1:] != h[order][:-1])
+        at = order[new]
+        yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(key[doc[at]].view(np.int64)), piece.column("toxic").take(pa.array(doc[at]))], ["word", "key", "toxic"])
+
+
+def toxic_words(rows: DataFrame, labels: DataFrame, label_docs: int = TOXIC_DOCS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words that mark toxic texts, ascending, and the lower bounds of their shares.
+
+    rows: (id, text); labels: (id, toxic). Null ids and labels take no part; an id with both labels is toxic. Texts of a
+    label that share their least hash of five words count once, so that copies of one text teach no word of it.
+    """
+    known = labels.where("id IS NOT NULL AND toxic IS NOT NULL").groupBy("id").agg(F.max("toxic").alias("toxic"))
+    part = min(1 << 30, (label_docs << 30) // max(1, known.count()))
+    drawn = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < part)  # label_docs rows, about: few enough to send
+    held = shared.map_arrow(rows.join(F.broadcast(drawn), "id").select("text", "toxic"), _held, "word long, key long, toxic boolean")
+    n, z = F.col("n"), MARK_ERRORS
+    share = F.col("n_toxic") / n
+    low = (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    counts = held.distinct().groupBy("word").agg(F.count("*").alias("n"), F.count_if("toxic").alias("n_toxic"))
+    found = counts.select("word", low.alias("low")).where("low > 0.5").orderBy(F.desc("low"), "word").limit(MARK_WORDS).toPandas()
+    marks = found["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(marks)
+    return marks[order], found["low"].to_numpy(np.float64)[order]
+
+
+def toxicity(texts: pa.Array, marks: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """1 less the product of 1 - low over the different marks that a text holds; 0 without any."""
+    w = words.split(texts, "alnum", lower=True)
+    if not len(marks) or not len(w.starts):
+        return np.zeros(len(texts))
+    h = w.hashes()
+    at = np.minimum(np.searchsorted(marks, h), len(marks) - 1)
+    hit = np.flatnonzero(marks[at] == h)
+    pairs = np.unique(w.text_of()[hit] * len(marks) + at[hit])
+    return 1 - np.exp(np.bincount(pairs // len(marks), np.log1p(-low)[pairs % len(marks)], len(texts)))
+
+
+def _score(label: LabelModel, handle, marks=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in shared.text_pieces(batches):
             votes, index, at = features(piece.column("text"))
@@ -172,7 +228,11 @@ def _score(label: LabelModel, handle):
             z = np.bincount(np.repeat(np.arange(len(n)), n), weights[index], len(n)) / (SMOOTH + n) + weights[-1]
             score = np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -50, 50))), 0.0)
             columns = [piece.column("row"), pa.array((votes != ABSTAIN).sum(axis=1).astype(np.int64)), pa.array(label.posterior(votes)), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "n_votes", "weak_score", "score"])
+            names = ["row", "n_votes", "weak_score", "score"]
+            if marks:
+                columns.append(pa.array(toxicity(piece.column("text"), *marks.value)))
+                names.append("toxic_score")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -181,13 +241,21 @@ def unpacked(patterns: np.ndarray) -> np.ndarray:
     return patterns[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
 
 
-def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """For each row of docs: row, n_votes, weak_score, score and keep.
+def classified(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, train_docs: int = TRAIN_DOCS,
+    labels: DataFrame | None = None, label_id: str = "doc_id", label_col: str = "toxic",
+) -> DataFrame:
+    """For each row of docs: row, n_votes, weak_score, score and keep; with labels also toxic_score and toxic.
 
     weak_score: the posterior that the text is good, from its labellers' votes. score: the
     linear scorer's, from 0 to 1; keep: it is at least one half. A null text and one
     without words score 0. The scorer is fitted on about train_docs rows, those whose hash of
     id and text is lowest, each different one once; label counts cover all rows.
+
+    labels: label_col is above 0 for a toxic text of the id label_id. toxic_score is that of
+    toxicity, by words that toxic_words learns; toxic: it is at least one half. Quality says
+    nothing of it: who wants neither takes the rows with keep and without toxic. Without
+    labelled texts nothing is toxic, nor is a null text.
     """
     spark = docs.sparkSession
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -205,4 +273,10 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     soft = label.posterior(unpacked(found.column("pattern").to_numpy().astype(np.int64)))
     handle = spark.sparkContext.broadcast(fit_scorer(index, share, np.repeat(np.arange(len(loads)), sizes), soft))
     schema = StructType().add(rows.schema["row"]).add("n_votes", LongType()).add("weak_score", DoubleType()).add("score", DoubleType())
-    return shared.map_arrow(rows.select("row", "text"), _score(label, handle), schema).withColumn("keep", F.col("score") >= 0.5)
+    marks = None
+    if labels is not None:
+        given = labels.select(F.col(f"`{label_id}`").cast("string").alias("id"), (F.col(f"`{label_col}`").cast("int") > 0).alias("toxic"))
+        marks = spark.sparkContext.broadcast(toxic_words(rows.select("id", "text"), given))
+        schema = schema.add("toxic_score", DoubleType())
+    done = shared.map_arrow(rows.select("row", "text"), _score(label, handle, marks), schema).withColumn("keep", F.col("score") >= 0.5)
+    return done.withColumn("toxic", F.col("toxic_score") >= 0.5) if marks else done

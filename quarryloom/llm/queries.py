@@ -64,8 +64,8 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.classified(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    return found.select(F.col("row.doc_id").alias("doc_id"), "n_votes", "weak_score", "score", "keep")
+    found = quality.classified(table(spark, sf_dir, "documents"), keep=["doc_id"], labels=table(spark, sf_dir, "labels"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_votes", "weak_score", "score", "keep", "toxic_score", "toxic")
 
 
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

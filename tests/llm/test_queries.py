@@ -27,13 +27,13 @@ COLUMNS = {
     "op6_substring_dedup": "doc_id n_words n_removed kept_sha256",
     "op7_warc": "page_id payload_bytes payload_digest record_type refers_to",
     "op8_lm_scoring": "doc_id held_out n_tokens n_known train_tokens base_score score",
-    "op9_quality": "doc_id n_votes weak_score score keep",
+    "op9_quality": "doc_id n_votes weak_score score keep toxic_score toxic",
     "op10_token_ids": "doc_id start n_tokens ids_crc32",
 }
 
 
-def tables(spark, folder, docs, pages=(), bench=(), vectors=()):
-    for name, rows, schema in (("documents", docs, SCHEMA), ("pages", pages, "page_id long, url string, html string"), ("benchmark", bench, "item_id long, text string"), ("embeddings", vectors, "vec_id long, embedding array<float>, label int")):
+def tables(spark, folder, docs, pages=(), bench=(), vectors=(), labels=()):
+    for name, rows, schema in (("documents", docs, SCHEMA), ("pages", pages, "page_id long, url string, html string"), ("benchmark", bench, "item_id long, text string"), ("embeddings", vectors, "vec_id long, embedding array<float>, label int"), ("labels", labels, "doc_id long, quality int, toxic int")):
         df = spark.createDataFrame(list(rows), schema)
         for own in OWN:  # names that operators use within
             df = df.selectExpr("*", f"'own' AS `{own}`")
@@ -68,7 +68,7 @@ def test_all_queries_on_odd_rows(spark, tmp_path):
     rows = odd()
     pages = [(1, "u", "x"), (1, "u", "x"), (2, None, None), (None, "v", "x"), (4, "w", ""), (5, "y", "z" * 2_000_000)]
     vectors = [(i, [1.0, float(i % 7), 2.0], 0) for i in range(60)] + [(50, None, 0), (None, [1.0, 1.0, 1.0], 0), (61, [0.0, 0.0, 0.0], None)]
-    sf = tables(spark, tmp_path, rows, pages, [(1, rows[3][1]), (None, "the of and"), (2, None), (1, rows[3][1])], vectors)
+    sf = tables(spark, tmp_path, rows, pages, [(1, rows[3][1]), (None, "the of and"), (2, None), (1, rows[3][1])], vectors, [(7, 1, 1), (7, 1, 0), (None, 1, 1), (3, None, None), (900, 0, 1), (1, 1, 0)])
     for name, query in queries.queries().items():
         found = query(spark, sf).collect()
         if name in PER_DOCUMENT:
@@ -219,3 +219,39 @@ def test_quality_rows_against_brute_force(spark, tmp_path):
         assert r["weak_score"] == pytest.approx(good[i], abs=1e-6)
         assert r["score"] == pytest.approx(0 if empty else score[k], abs=1e-3)
         assert r["keep"] == (r["score"] >= 0.5)
+
+
+def test_toxic_words_against_brute_force(spark, tmp_path):
+    rows = junk(5, 160)
+    rows = [(i, t + " You MORON, scum!" if i % 4 == 0 else t, *rest) for i, t, *rest in rows]
+    rows += [(300 + k, rows[0][1] + " copied", "en", "s", 0) for k in range(30)]  # copies teach no word of their own
+    rows += [(400, None, None, None, None), (401, "", None, None, None), (402, "scum", None, None, None), (403, "a moronic act", None, None, None)]
+    labels = [(i, 1, int(i % 4 == 0 or 300 <= i < 330)) for i, *_ in rows if i % 8 < 6 and i < 400] + [(2, 1, None), (None, 1, 1), (9, 0, 0), (9, 1, 1)]
+    got = {r["doc_id"]: r for r in queries.op9_quality(spark, tables(spark, tmp_path, rows, labels=labels)).collect()}
+    assert len(got) == len(rows)
+    word = lambda t: re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+    known = {}
+    for i, _, x in labels:
+        if x is not None:
+            known[i] = max(x, known.get(i, 0))
+    texts = {"".join(chr(b) for b in b" ".join(word(t))): word(t) for _, t, *_ in rows}
+    least = {}  # the key of a text: its least shingle by the engine's hash, recomputed one shingle at a time
+    for name, w in texts.items():
+        h = [words.split(pa.array([x]), "alnum").hashes()[0] for x in w]
+        runs = [int(words.windows(np.array(h[k : k + 5], np.uint64), np.array([0, 5]), 5)[1][0]) for k in range(len(h) - 4)] or [int(x) for x in h]
+        least[name] = min(runs, default=0)
+    keys = {(v, least["".join(chr(b) for b in b" ".join(word(t)))], known[i]) for i, t, *_ in rows if i in known for v in word(t)}
+    z, marks = quality.MARK_ERRORS, {}
+    for v in {v for v, *_ in keys}:
+        n, a = sum(k[0] == v for k in keys), sum(k[0] == v and k[2] for k in keys)
+        p = a / n
+        low = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+        if low > 0.5:
+            marks[v] = low
+    assert {b"moron", b"scum"} <= set(marks) and b"copied" not in marks
+    for i, t, *_ in rows:
+        right = 1 - math.prod(1 - marks[v] for v in set(word(t)) & set(marks))
+        assert got[i]["toxic_score"] == pytest.approx(right, abs=1e-9), i
+        assert got[i]["toxic"] == (right >= 0.5), i
+    assert all(got[i]["toxic"] == (i % 4 == 0) for i in range(160))
+    assert got[402]["toxic"] and not got[400]["toxic"] and not got[401]["toxic"] and not got[403]["toxic"]
