@@ -33,7 +33,8 @@ SMOOTH = 60
 
 #: Labelled ids that toxic words are learned from, about, drawn by a hash. A word marks toxic texts if the lower bound of
 #: its share of them, at MARK_ERRORS standard errors (Wilson's interval), is above a half; the surest MARK_WORDS are used.
-TOXIC_DOCS, MARK_ERRORS, MARK_WORDS = 10_000, 2.576, 10_000
+#: A text is toxic from a score of TOXIC on: one sure word or several less sure ones.
+TOXIC_DOCS, MARK_ERRORS, MARK_WORDS, TOXIC = 10_000, 2.0, 10_000, 0.8
 
 _symbol = np.array([33 <= b <= 126 and not chr(b).isalnum() for b in range(256)])
 _letter = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
@@ -253,7 +254,7 @@ def classified(
     id and text is lowest, each different one once; label counts cover all rows.
 
     labels: label_col is above 0 for a toxic text of the id label_id. toxic_score is that of
-    toxicity, by words that toxic_words learns; toxic: it is at least one half. Quality says
+    toxicity, by words that toxic_words learns; toxic: it is at least TOXIC. Quality says
     nothing of it: who wants neither takes the rows with keep and without toxic. Without
     labelled texts nothing is toxic, nor is a null text.
     """
@@ -279,4 +280,4 @@ def classified(
         marks = spark.sparkContext.broadcast(toxic_words(rows.select("id", "text"), given))
         schema = schema.add("toxic_score", DoubleType())
     done = shared.map_arrow(rows.select("row", "text"), _score(label, handle, marks), schema).withColumn("keep", F.col("score") >= 0.5)
-    return done.withColumn("toxic", F.col("toxic_score") >= 0.5) if marks else done
+    return done.withColumn("toxic", F.col("toxic_score") >= TOXIC) if marks else done

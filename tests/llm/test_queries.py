@@ -252,6 +252,6 @@ def test_toxic_words_against_brute_force(spark, tmp_path):
     for i, t, *_ in rows:
         right = 1 - math.prod(1 - marks[v] for v in set(word(t)) & set(marks))
         assert got[i]["toxic_score"] == pytest.approx(right, abs=1e-9), i
-        assert got[i]["toxic"] == (right >= 0.5), i
+        assert got[i]["toxic"] == (right >= quality.TOXIC), i
     assert all(got[i]["toxic"] == (i % 4 == 0) for i in range(160))
     assert got[402]["toxic"] and not got[400]["toxic"] and not got[401]["toxic"] and not got[403]["toxic"]
