@@ -42,3 +42,36 @@ q AS (SELECT *, array_to_string(list_transform(range(0, 32), lambda j: substr('A
   CAST(list_sum(list_transform(range(0, 5), lambda t: CAST(substr(bits, j * 5 + t + 1, 1) AS INTEGER) * CAST(power(2, 4 - t) AS INTEGER))) AS INTEGER) + 1, 1)), '') AS digest FROM b)
 SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
  CASE WHEN page_id <> last THEN last END AS refers_to, true AS valid FROM q"""
+
+EMBEDDING = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9::DOUBLE),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), n AS (SELECT a, count(*) AS n FROM e GROUP BY a),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept FROM v LEFT JOIN n ON n.a = v.vec_id JOIN c ON c.vec_id = v.vec_id"""
+
+PRICE_BAND = """WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS t),
+i AS (SELECT row_number() OVER () AS k, item_id, CAST(floor(100 * price + 0.5::DOUBLE) AS BIGINT) AS p FROM items),
+s AS (SELECT sale_id, CAST(line_no AS BIGINT) AS line_no, item_id AS line_item_id, CAST(floor(100 * amount + 0.5::DOUBLE) AS BIGINT) AS a, CAST(quantity AS BIGINT) AS q FROM sale_lines
+  WHERE sale_id IS NOT NULL AND item_id IS NOT NULL AND quantity IS NOT NULL AND amount IS NOT NULL),
+l AS (SELECT sale_id, line_no, line_item_id, (2 * a + q) // (2 * q) AS u, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(sale_id || ',' || line_no || ',' || line_item_id, ''), lambda h: ascii(h)::BIGINT)),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS crc FROM s, tab),
+m AS (SELECT i.k, i.item_id, abs(l.u - i.p) AS gap, l.* FROM i JOIN l ON l.line_item_id <> i.item_id AND (abs(l.u - i.p) <= 50 OR 1000 * abs(l.u - i.p) <= 5 * least(l.u, i.p))),
+z AS (SELECT k, count(*) AS n_pairs, CAST(sum(gap) AS BIGINT) AS gap_sum, CAST(sum(crc) AS BIGINT) AS lines_crc FROM m GROUP BY k),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY gap, u, sale_id, line_no, line_item_id) AS rank FROM m) WHERE rank <= 10)
+SELECT i.item_id, CAST(coalesce(f.rank, 0) AS INTEGER) AS rank, f.gap, f.u, f.sale_id, f.line_no, f.line_item_id, coalesce(z.n_pairs, 0) AS n_pairs, coalesce(z.gap_sum, 0) AS gap_sum, coalesce(z.lines_crc, 0) AS lines_crc
+FROM i LEFT JOIN z ON z.k = i.k LEFT JOIN f ON f.k = i.k"""
+
+FILTER_AUDIT = f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, part, t, {_WORDS.format(x="t")} AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+q AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+x AS (SELECT part, CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) THEN 'C' ELSE '' END
+  || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN w.doc_id > first THEN 'E' ELSE '' END AS fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM w LEFT JOIN q ON q.doc_id = w.doc_id),
+g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM x GROUP BY ALL),
+o AS (SELECT '' AS p UNION ALL SELECT p || c FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) WHERE strpos(p, c) = 0),
+k AS (SELECT p AS filter_order, unnest(range(1, 6)) AS step FROM o WHERE length(p) = 5),
+s AS (SELECT g.*, filter_order, step, substr(filter_order, step, 1) AS f, length(translate(left(filter_order, step - 1), fails, '')) < step - 1 AS gone FROM g, k),
+v AS (SELECT part, filter_order, step, f, sum(n) FILTER (WHERE NOT gone AND strpos(fails, f) = 0) AS kept, sum(n) FILTER (WHERE NOT gone AND strpos(fails, f) > 0) AS removed, sum(n) FILTER (WHERE gone AND strpos(fails, f) > 0) AS redundant,
+  sum(n) FILTER (WHERE fails = f) AS unique_fails, sum(good) FILTER (WHERE NOT gone AND strpos(fails, f) > 0) AS good_lost, sum(toxic) FILTER (WHERE NOT gone AND strpos(fails, f) > 0) AS toxic_lost FROM s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+ CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM v"""

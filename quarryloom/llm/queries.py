@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryloom.llm import ann, decontam, jaccard, langid, lm, oracles, packing, quality, shared, substring, token_store, warc
+from quarryloom.llm import ann, band_join, decontam, filter_audit, int8_links, jaccard, langid, lm, oracles, packing, quality, shared, substring, token_store, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,10 +74,30 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_ids(spark, folder, files, digest=True)
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return int8_links.grouped(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op12_price_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return band_join.near_lines(table(spark, sf_dir, "items"), table(spark, sf_dir, "sale_lines"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = filter_audit.flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit.interactions(filter_audit.joint_failures(rows))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_nearest_neighbours, op3_decontamination, op4_language_id, op5_jaccard_join, op6_substring_dedup, op7_warc, op8_lm_scoring, op9_quality, op10_token_ids)}
+    all_ = (
+        op1_packing, op2_nearest_neighbours, op3_decontamination, op4_language_id, op5_jaccard_join, op6_substring_dedup, op7_warc, op8_lm_scoring, op9_quality, op10_token_ids,
+        op11_embedding_dedup, op12_price_band_join, op13_filter_audit,
+    )
+    return {f.__name__: f for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:
     """Packing, neighbours, language, scores, quality and tokens go beyond SQL: tests hold them against brute force."""
-    return {"op3_decontamination": oracles.DECONTAMINATION, "op5_jaccard_join": oracles.JACCARD, "op6_substring_dedup": oracles.SUBSTRING, "op7_warc": oracles.WARC}
+    return {
+        "op3_decontamination": oracles.DECONTAMINATION, "op5_jaccard_join": oracles.JACCARD, "op6_substring_dedup": oracles.SUBSTRING, "op7_warc": oracles.WARC,
+        "op11_embedding_dedup": oracles.EMBEDDING, "op12_price_band_join": oracles.PRICE_BAND, "op13_filter_audit": oracles.FILTER_AUDIT,
+    }
