@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from functools import reduce
 from itertools import permutations
 from math import factorial
 
@@ -79,17 +78,14 @@ def flagged(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc
 def joint_failures(rows: DataFrame, filters: Sequence[str] = FILTERS, measures: Sequence[str] = MEASURES, part: str = "part") -> DataFrame:
     """(part, one array for each measure): entry S is the sum over rows that fail every filter of the bit set S, as a product of flags."""
     sets = range(1 << len(filters))
-
-    def joint(measure: str, s: int) -> Column:
-        return F.sum(reduce(lambda x, f: x * F.col(f), [f for i, f in enumerate(filters) if s >> i & 1], F.col(measure)))
-
-    sums = rows.groupBy(part).agg(*[joint(m, s).alias(f"{m}_{s}") for m in measures for s in sets])
+    joint = lambda m, s: f"sum({' * '.join([m, *[f for i, f in enumerate(filters) if s >> i & 1]])}) AS {m}_{s}"
+    sums = rows.groupBy(part).agg(*[F.expr(joint(m, s)) for m in measures for s in sets])
     return sums.select(part, *[F.array(*[f"{m}_{s}" for s in sets]).alias(m) for m in measures])
 
 
-def _signed(array: str, sets: dict[int, int]) -> Column:
-    """The sum of entries of an array, each with its factor."""
-    return reduce(lambda x, y: x + y, [F.col(array)[s] * F.lit(k).cast("long") for s, k in sets.items()])
+def _signed(array: str, sets: dict[int, int]) -> str:
+    """SQL of the sum of entries of an array, each with its factor."""
+    return " + ".join(f"{array}[{s}] * {k}L" for s, k in sets.items())
 
 
 def interactions(joint: DataFrame, filters: Sequence[str] = FILTERS, measures: Sequence[str] = MEASURES, part: str = "part") -> DataFrame:
@@ -104,19 +100,21 @@ def interactions(joint: DataFrame, filters: Sequence[str] = FILTERS, measures: S
     sets = range(1 << k)
     inside = lambda s: [t for t in sets if t & s == t]
     sign = lambda t: -1 if t.bit_count() % 2 else 1
-    survivors = {m: F.array(*[_signed(m, {t: sign(t) for t in inside(s)}) for s in sets]) for m in measures}
+    array = lambda entries, name: f"array({', '.join(entries)}) AS {name}"
+    survivors = [array([_signed(m, {t: sign(t) for t in inside(s)}) for s in sets], m) for m in measures]
     n = measures[0]
-    fails = F.array(*[F.col(n)[1 << i] for i in range(k)])
-    alone = F.array(*[_signed(n, {s: -sign(s) for s in sets if s >> i & 1}) for i in range(k)])
+    own = [[s for s in sets if s >> i & 1] for i in range(k)]
+    fails = array([f"{n}[{1 << i}]" for i in range(k)], "fails")
+    alone = array([_signed(n, {s: -sign(s) for s in own[i]}) for i in range(k)], "alone")
     # the share of a dividend, times the number of orders: whole, as |S| divides k!
-    shapley = F.array(*[_signed(n, {s: -sign(s) * factorial(k) // s.bit_count() for s in sets if s >> i & 1}) for i in range(k)])
+    shares = array([_signed(n, {s: -sign(s) * factorial(k) // s.bit_count() for s in own[i]}) for i in range(k)], "shares")
     steps = []
     for order in permutations(range(k)):
         name, gone = "".join(filters[i] for i in order), 0
         for step, i in enumerate(order, 1):
             steps.append({"filter_order": name, "step": step, "i": i, "before": gone, "after": gone | 1 << i})
             gone |= 1 << i
-    rows = joint.select(part, *[v.alias(m) for m, v in survivors.items()], fails.alias("fails"), alone.alias("alone"), shapley.alias("shares"))
+    rows = joint.selectExpr(part, *survivors, fails, alone, shares)
     listed = F.from_json(F.lit(json.dumps(steps)), "array<struct<filter_order: string, step: int, i: int, before: int, after: int>>")
     rows = rows.select("*", F.inline(listed))
     lost = {m: F.col(m)[F.col("before")] - F.col(m)[F.col("after")] for m in measures}
