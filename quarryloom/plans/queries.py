@@ -595,12 +595,12 @@ _GRAMS = " UNION ALL ".join(
 
 
 def _against_turn_1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turn 1 of a conversation is the reference, every other turn a candidate at its position."""
+    """Turn 1 of a conversation is the reference, every other turn a candidate at its position; without a turn 1 the reference is empty."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("position"), F.split("text", r"\s+").alias("c"))
-    return turns.where("position <> 1").join(turns.where("position = 1").select("conv_id", F.col("c").alias("r")), "conv_id")
+    return turns.where("position <> 1").join(turns.where("position = 1").select("conv_id", F.col("c").alias("r")), "conv_id", "left")
 
 
-_PAIRS = r"""p AS (SELECT a.conv_id, a.turn AS position, string_split_regex(a.text, '\s+') AS c, string_split_regex(b.text, '\s+') AS r FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn <> 1 AND b.turn = 1)"""
+_PAIRS = r"""p AS (SELECT a.conv_id, a.turn AS position, string_split_regex(a.text, '\s+') AS c, string_split_regex(b.text, '\s+') AS r FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = 1 WHERE a.turn <> 1)"""
 
 
 @query(rf"""WITH {_PAIRS},
@@ -611,7 +611,7 @@ z AS (SELECT position, sum(len(c))::DOUBLE AS nc, sum(len(r))::DOUBLE AS nr FROM
 SELECT position, round(CASE WHEN least(p1, p2, p3, p4) > 0 THEN (CASE WHEN nc >= nr THEN 1 ELSE exp(1 - nr / nc) END) * exp((ln(nullif(p1, 0)) + ln(nullif(p2, 0)) + ln(nullif(p3, 0)) + ln(nullif(p4, 0))) / 4) ELSE 0 END, 9)::DOUBLE AS bleu,
  round(p1, 9)::DOUBLE AS p1, round(p2, 9)::DOUBLE AS p2, round(p3, 9)::DOUBLE AS p3, round(p4, 9)::DOUBLE AS p4, round(nc / nr, 9)::DOUBLE AS length_ratio FROM q JOIN z USING (position)""")
 def bleu_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = metrics.corpus_bleu(_against_turn_1(spark, sf_dir), "conv_id", "c", "r", by=("position",))
+    rows = metrics.corpus_bleu(_against_turn_1(spark, sf_dir), "c", "r", by=("position",))
     return rows.select("position", *[F.round(c, 9).alias(c) for c in rows.columns[1:]])
 
 
@@ -631,8 +631,7 @@ s AS (SELECT position, n, sum(least(c, r) * weight)::DOUBLE / nullif(sum(c * wei
 SELECT position, {", ".join(f"round(coalesce(max(p) FILTER (WHERE n = {n}), 0), 9)::DOUBLE AS p{n}" for n in range(1, 5))} FROM s GROUP BY position""")
 def weighted_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weighted precisions of every candidate position: keywords weigh more among unigrams, longer n-grams weigh alike."""
-    weights = spark.createDataFrame([(k, 1.0) for k in JAVA_KEYWORDS], "token string, weight double")
-    rows = metrics.corpus_bleu(_against_turn_1(spark, sf_dir), "conv_id", "c", "r", weights, by=("position",))
+    rows = metrics.corpus_bleu(_against_turn_1(spark, sf_dir), "c", "r", dict.fromkeys(JAVA_KEYWORDS, 1.0), by=("position",))
     return rows.select("position", *[F.round(f"p{n}", 9).alias(f"p{n}") for n in range(1, 5)])
 
 
