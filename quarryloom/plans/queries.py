@@ -928,3 +928,8 @@ def java_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = F.translate("text", "*/\"'\\\n", "")
     code = F.concat(F.lit("int a; /* "), bare, F.lit(' */ String s = "'), bare, F.lit('"; // '), bare, F.lit("\nint b; // end"))
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(javasrc.clean_comments(code)).alias("bare_md5"))
+
+
+# --- queries in modules of their own ----------------------------------------------------
+
+from quarryloom.plans import code as _code  # noqa: E402, F401
