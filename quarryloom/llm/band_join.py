@@ -127,15 +127,16 @@ def near_lines(items: DataFrame, lines: DataFrame, k: int = K, absolute: int = A
     a = cents(F.col("amount"))
     sold = lines.select(F.col("item_id").cast("long").alias("item"), F.col("sale_id").cast("long").alias("sale"), F.col("line_no").cast("long").alias("line_no"), unit_price(a, F.col("quantity")).alias("u"))
     sold = sold.where("item is not null and sale is not null and u is not null")
-    text = F.concat_ws(",", F.col("sale").cast("string"), F.coalesce(F.col("line_no").cast("string"), F.lit("")), F.col("item").cast("string"))
-    counted = sold.select("u", "item", F.crc32(text.cast("binary")).alias("crc"))
+    text = F.concat(F.col("sale").cast("string"), F.lit(","), F.coalesce(F.col("line_no").cast("string"), F.lit("")), F.lit(","), F.col("item").cast("string"))
+    sold = shared.written(sold.withColumn("crc", F.crc32(text.cast("binary"))), "sold")  # read three times
+    counted = sold.select("u", "item", "crc")
     units = counted.groupBy("u").agg(F.count("*").alias("n"), F.sum("crc").alias("crc"))
 
     wanted = items.select(F.col("item_id").cast("long").alias("item_id"), cents(F.col("price")).alias("p"))
     prices = wanted.where("item_id is not null and p is not null").select("p").distinct()
     tops = shared.written(first_lines(sold, k), "tops", few=True)
     # of each unit price: lines that are there whichever item's are left out
-    right = units.join(tops.select("u", (F.size("lines") - F.col("most.n")).alias("safe")), "u")
+    right = shared.written(units.join(tops.select("u", (F.size("lines") - F.col("most.n")).alias("safe")), "u"), "units", few=True)
     pairs = band_join(prices, right, "p", "u", absolute, numerator, denominator)
     pairs = pairs.select("left.p", "right.*", "gap")
     whole = Window.partitionBy("p")
@@ -145,6 +146,7 @@ def near_lines(items: DataFrame, lines: DataFrame, k: int = K, absolute: int = A
     listed = F.transform("lines", lambda x: F.struct(F.col("gap").alias("gap"), F.col("u").alias("u"), x["sale"].alias("sale_id"), x["unnumbered"].alias("unnumbered"), x["line_no"].alias("line_no"), x["item"].alias("line_item_id")))
     near = near.join(tops.select("u", "lines"), "u").select("p", *totals, listed.alias("lines"))
     near = near.groupBy("p").agg(*[F.first(c).alias(c) for c in totals], F.array_sort(F.flatten(F.collect_list("lines"))).alias("lines"))
+    near = shared.written(near, "near", few=True)  # so that Spark can split a price that very many items have
 
     # an item's own lines are no pairs of it
     own = counted.withColumnRenamed("item", "item_id").join(wanted.where("p is not null").distinct().hint("shuffle_hash"), "item_id").where(in_band(F.col("p"), F.col("u"), absolute, numerator, denominator))
