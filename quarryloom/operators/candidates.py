@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quarryloom.operators.columns import as_row
+from quarryloom.sources import scratch
+
+#: Most columns of pivoted.
+MOST_COLUMNS = 2000
 
 
 def judged(df: DataFrame, raw_ok: Column, fixed: Column, fixed_ok: Column) -> DataFrame:
     """df with raw_ok, fixed and fixed_ok. Nulls count as not valid."""
+    as_row(df, "raw_ok", "fixed", "fixed_ok")
     return df.withColumns({"raw_ok": F.coalesce(raw_ok, F.lit(False)), "fixed": fixed, "fixed_ok": F.coalesce(fixed_ok, F.lit(False))})
 
 
@@ -26,6 +35,44 @@ def first_valid(df: DataFrame, key: str, pos: str, code: str) -> DataFrame:
     return found.select(key, chosen["pos"].alias("chosen_pos"), chosen["code"].alias("chosen"), chosen["used_repair"].alias("used_repair"), F.col("best").isNull().alias("fell_back"))
 
 
+def first_valid_lazily(df: DataFrame, key: str, pos: str, code: str, judge: Callable[[DataFrame], DataFrame], step: int = 1) -> DataFrame:
+    """first_valid, but judge sees a candidate only while its input has none valid before it.
+
+    judge: adds raw_ok, fixed and fixed_ok to rows, as judged does; it may be costly. In each
+    round the next ``step`` positions of the inputs still open are judged, and what they
+    give is written; inputs with a valid one leave. There are as many rounds as steps to the last first
+    valid candidate. Positions count by rank, so gaps cost nothing; equal positions are
+    judged together.
+    """
+    spark = df.sparkSession
+
+    def written(rows: DataFrame) -> DataFrame:
+        path = scratch.folder(spark, "round")
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    nth = F.floor((F.dense_rank().over(Window.partitionBy(key).orderBy(pos)) - 1) / step)
+    rows = written(df.withColumn("_round", nth))
+    last = rows.agg(F.max("_round")).first()[0]
+    # what every input falls back on, and the first valid ones found so far
+    heads = rows.where("_round = 0").groupBy(key).agg(F.min(F.struct(F.col(pos).alias("pos"), F.col(code).alias("code"))).alias("_head"))
+    todo, found = heads.select(key), []
+    for n in range(-1 if last is None else int(last) + 1):
+        # written before anything is asked of it: a condition on judge's columns would else be tried on closed inputs too, and twice
+        judged_ = written(judge(rows.where(F.col("_round") == n).join(todo, key, "left_semi").drop("_round")))
+        ok = judged_.where(F.col("raw_ok") | F.col("fixed_ok"))
+        best = written(first_valid(ok, key, pos, code))
+        found.append(best)
+        todo = written(rows.where(F.col("_round") > n).select(key).distinct().join(todo, key, "left_semi").join(best, key, "left_anti"))
+        if not todo.limit(1).count():
+            break
+    none = heads.select(key, F.col("_head.pos").alias("chosen_pos"), F.col("_head.code").alias("chosen"), F.lit(False).alias("used_repair"), F.lit(True).alias("fell_back"))
+    if not found:
+        return none
+    chosen = reduce(DataFrame.unionByName, found)
+    return chosen.unionByName(none.join(chosen, key, "left_anti"))
+
+
 def edited(chosen: DataFrame, edit: Callable[[Column], Column] | None, column: str = "chosen") -> DataFrame:
     """chosen with each chosen candidate edited, such as renamed and annotated; what a fallback left stays as it was. No edit: as it is."""
     if edit is None:
@@ -56,14 +103,19 @@ def width(df: DataFrame, pos: str) -> int:
 
 
 def pivoted(df: DataFrame, key: str, pos: str, code: str, k: int, prefix: str = "generated_test_") -> DataFrame:
-    """One row for each input with num_results and k columns; a missing candidate is null.
+    """One row for each input with num_results and k columns, MOST_COLUMNS at most; a missing candidate is null.
 
-    A position of null, of less than 0 or of k or more raises.
+    A position of null, of less than 0 or of k or more raises. Of several candidates at one
+    position the greatest stays.
     """
+    if k > MOST_COLUMNS:
+        raise ValueError(f"{k} positions are more than the {MOST_COLUMNS} columns of a wide table: keep the long form")
     placed = F.coalesce(F.col(pos).between(0, k - 1), F.lit(False))
     lost = F.raise_error(F.concat(F.lit(f"no column of {k} for position "), F.coalesce(F.col(pos).cast("string"), F.lit("null"))))
-    wide = [F.max(F.when(F.col(pos) == i, F.col(code))).alias(f"{prefix}{i + 1}") for i in range(k)]
-    return df.where(F.when(placed, F.lit(True)).otherwise(lost.cast("boolean"))).groupBy(key).agg(*wide).select(key, F.lit(k).alias("num_results"), *[f"{prefix}{i + 1}" for i in range(k)])
+    kept = df.where(F.when(placed, F.lit(True)).otherwise(lost.cast("boolean")))
+    each = kept.groupBy(key, pos).agg(F.max(code).alias("_code"))
+    wide = each.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col(pos).cast("int"), "_code"))).alias("_at"))  # k entries at most
+    return wide.select(key, F.lit(k).alias("num_results"), *[F.col("_at")[i].alias(f"{prefix}{i + 1}") for i in range(k)])
 
 
 def unpivoted(df: DataFrame, key: str, k: int, prefix: str = "generated_test_") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryloom.operators.columns import as_row
+
 #: How far a test came: each stage includes the ones before.
 STAGES = ("correct_syntax", "compilable", "executable", "passing_test", "correct_test")
 
@@ -56,6 +58,7 @@ def any_of_k(df: DataFrame, by: list[str], method: list[str], order: str) -> Dat
 
 def coverage(df: DataFrame) -> DataFrame:
     """df with line_rate and branch_rate: no branches count as 0, no lines as null."""
+    as_row(df, "line_rate", "branch_rate")
     return df.withColumns({
         "line_rate": rate(F.col("lines_covered"), F.col("lines_total")),
         "branch_rate": F.when(F.col("branches_total") == 0, F.lit(0.0)).otherwise(rate(F.col("branches_covered"), F.col("branches_total"))),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,6 +63,14 @@ def first_valid_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chosen(spark, sf_dir)
 
 
+@query(f"{CHOSEN} SELECT conv_id, chosen_pos, chosen, used_repair, fell_back FROM chosen")
+def first_valid_early_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same choice where a candidate is judged only while its input has none valid before it."""
+    fixed = F.regexp_replace("text", r"[(){}\[\]]", "")
+    judge = lambda df: candidates.judged(df, text.is_balanced(F.col("text")) & (F.length("text") < 120), fixed, F.length(fixed) < 140)
+    return candidates.first_valid_lazily(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text", judge)
+
+
 @query(f"""{CHOSEN} SELECT r.pos, count(*) FILTER (WHERE c.conv_id IS NOT NULL AND NOT used_repair) AS n_raw, count(*) FILTER (WHERE used_repair) AS n_repaired
 FROM {POSITIONS} r LEFT JOIN (SELECT * FROM chosen WHERE NOT fell_back) c ON c.chosen_pos = r.pos GROUP BY r.pos""")
 def candidate_position_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,8 +89,9 @@ def candidate_validate_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.validity_by_position(rows, "turn", candidates.width(rows, "turn"))
 
 
-@query("""PIVOT (SELECT conv_id, text, 'generated_test_' || (turn + 1) AS name, CAST((SELECT max(turn) + 1 FROM conversations) AS INTEGER) AS num_results FROM conversations)
-ON name USING max(text) GROUP BY conv_id, num_results""")
+#: A view needs a fixed list of names: the conversations of the tables up to sf0.1 have eight turns.
+@query(f"""SELECT * FROM (SELECT conv_id, text, 'generated_test_' || (turn + 1) AS name, CAST((SELECT max(turn) + 1 FROM conversations) AS INTEGER) AS num_results FROM conversations)
+PIVOT (max(text) FOR name IN ({", ".join(f"'generated_test_{i}'" for i in range(1, 9))}) GROUP BY conv_id, num_results)""")
 def candidate_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many columns as the longest conversation has turns."""
     turns = table(spark, sf_dir, "conversations")
@@ -144,8 +152,10 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cut_sql(kind: str, size: str) -> str:
-    ranked = f"list_sort(list_transform(range(1, greatest({size}, 2)), lambda i: md5('42|{kind}|' || doc_id || '|' || i) || '|' || i))"
-    return f"CASE WHEN k > 1 THEN list_concat(list_concat([0], list_sort(list_transform(({ranked})[1:k - 1], lambda x: CAST(split_part(x, '|', 2) AS INTEGER)))), [{size}]) ELSE [0, {size}] END"
+    draws = f"list_transform(range({size} - k + 1, {size}), lambda i: i || ':' || (CAST('0x' || left(md5('42|{kind}|' || doc_id || '|' || i), 15) AS BIGINT) % i + 1))"
+    chosen = f"list_reduce(list_prepend(',', {draws}), lambda a, x: a || split_part(x, ':', CASE WHEN contains(a, ',' || split_part(x, ':', 2) || ',') THEN 1 ELSE 2 END) || ',')"
+    numbers = f"list_sort(list_transform(list_filter(string_split({chosen}, ','), lambda x: x <> ''), lambda x: CAST(x AS INTEGER)))"
+    return f"CASE WHEN k > 1 THEN list_concat(list_concat([0], {numbers}), [{size}]) ELSE [0, {size}] END"
 
 
 @query(f"""WITH t AS (SELECT doc_id, list_concat(['<s>'], ({TOKENS})[1:1024]) AS ids FROM documents),
@@ -210,14 +220,20 @@ def noise_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", spans.span_counts(F.col("n"), 0.15, 3.0)[0].alias("n_noise"))
 
 
-@query("""WITH c AS (SELECT l, d FROM (SELECT unnest(range(16, 2049, 16)) AS l) a, (SELECT unnest([0.15::DOUBLE, 0.3::DOUBLE, 0.5::DOUBLE]) AS d) b),
+_DENSITIES = (0.15, 0.3, 0.5)
+
+
+@query(r"""WITH w AS (SELECT conv_id, turn, greatest(16, len(string_split_regex(coalesce(text, ''), '\s+'))) AS l FROM conversations),
+c AS (SELECT l, d FROM (SELECT DISTINCT l FROM w) a, (SELECT unnest([0.15::DOUBLE, 0.3::DOUBLE, 0.5::DOUBLE]) AS d) b),
 n AS (SELECT l, d, unnest(range(l, 3 * l + 8)) AS n FROM c), x AS (SELECT *, round_even(n * d, 0)::BIGINT AS noise FROM n), y AS (SELECT *, round_even(noise / 3.0::DOUBLE, 0)::BIGINT AS spans FROM x),
 m AS (SELECT l, d, max(n) FILTER (WHERE n = l OR n - noise + spans + 1 <= l) AS n FROM y GROUP BY ALL), r AS (SELECT y.*, noise + spans + 1 AS t, n - noise + spans + 1 AS i FROM y JOIN m USING (l, d, n))
-SELECT CAST(l AS INTEGER) AS inputs_length, d AS density, CAST(n - CASE WHEN d = 0.5 AND t > i THEN 1 ELSE 0 END AS INTEGER) AS tokens_length, CAST(t - CASE WHEN d = 0.5 AND t > i THEN 1 ELSE 0 END AS INTEGER) AS targets_length FROM r""")
+SELECT conv_id, turn, CAST(l AS INTEGER) AS inputs_length, d AS density, CAST(n - CASE WHEN d = 0.5 AND t > i THEN 1 ELSE 0 END AS INTEGER) AS tokens_length, CAST(t - CASE WHEN d = 0.5 AND t > i THEN 1 ELSE 0 END AS INTEGER) AS targets_length FROM w JOIN r USING (l)""")
 def target_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw and target lengths for many sequence lengths: a scalar computation of the configuration, which reads no table."""
-    rows = [(n, d, *spans.raw_and_target_lengths(n, d, 3.0)) for n in range(16, 2049, 16) for d in (0.15, 0.3, 0.5)]
-    return spark.createDataFrame(rows, "inputs_length int, density double, tokens_length int, targets_length int")
+    """Raw and target lengths where inputs are to be as long as each turn, 16 at least."""
+    n = F.greatest(F.lit(16), F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", n.alias("inputs_length"), F.explode(F.array(*map(F.lit, _DENSITIES))).alias("density"))
+    found = spans.target_lengths(F.col("inputs_length"), F.col("density"), 3.0)
+    return rows.withColumn("x", found).select("conv_id", "turn", "inputs_length", "density", "x.tokens_length", "x.targets_length")
 
 
 #: Raw tokens whose corrupted inputs have 128 tokens, and their labels' length.
@@ -325,14 +341,16 @@ def format_code_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT doc_id, text || ' "<AssertPlaceHolder>" ' || source || '"<AssertPlaceHolder>"' AS method FROM documents)
-SELECT d.doc_id, md5(replace(method, '"<AssertPlaceHolder>"', regexp_replace(chr(10) || ' ' || b.text || ' ', '^\\s+|\\s+$', '', 'g'))) AS filled_md5 FROM d JOIN benchmark b ON b.item_id = (SELECT min(item_id) FROM benchmark) + d.doc_id % (SELECT count(*) FROM benchmark)""")
+SELECT d.doc_id, md5(replace(method, '"<AssertPlaceHolder>"', regexp_replace(chr(10) || ' ' || b.text || ' ', '^\\s+|\\s+$', '', 'g'))) AS filled_md5 FROM d JOIN (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS place FROM benchmark) b ON b.place = d.doc_id % (SELECT count(*) FROM benchmark)""")
 def placeholder_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's statement is that of the item at its place among the items."""
     mark = F.lit(text.PLACEHOLDER)
-    items = table(spark, sf_dir, "benchmark").agg(F.min("item_id").alias("low"), F.count("*").alias("n")).first()
-    item = F.lit(items["low"]) + F.pmod(F.col("doc_id"), F.lit(max(1, items["n"])))
-    d = table(spark, sf_dir, "documents").select("doc_id", item.alias("item_id"), F.concat("text", F.lit(" "), mark, F.lit(" "), "source", mark).alias("method"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("\n "), "text", F.lit(" ")).alias("statement"))
-    return d.join(b, "item_id").select("doc_id", F.md5(text.fill_placeholder(F.col("method"), F.col("statement"))).alias("filled_md5"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    items = order.ranked(items, "item_id", "text", name="place")
+    place = F.pmod(F.col("doc_id"), F.lit(max(1, items.count())))
+    d = table(spark, sf_dir, "documents").select("doc_id", place.alias("place"), F.concat("text", F.lit(" "), mark, F.lit(" "), "source", mark).alias("method"))
+    b = items.select("place", F.concat(F.lit("\n "), "text", F.lit(" ")).alias("statement"))
+    return d.join(b, "place").select("doc_id", F.md5(text.fill_placeholder(F.col("method"), F.col("statement"))).alias("filled_md5"))
 
 
 @query(f"SELECT page_id, {BALANCED.format(x='html')} AS balanced FROM pages")
@@ -473,6 +491,17 @@ def asof_enclosing_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.enclosing(lines, "doc_id", name).select("doc_id", "line_no", "enclosing")
 
 
+@query("""WITH o AS (SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE o_custkey END AS file, CASE WHEN o_orderstatus = 'F' AND (o_custkey % 3 = 0 OR o_orderkey % 3 = 0) THEN 'm' || o_orderkey END AS m FROM orders),
+w AS (SELECT *, last_value(m IGNORE NULLS) OVER (PARTITION BY file ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS before, count(m) OVER (PARTITION BY file) AS n, min(m) OVER (PARTITION BY file) AS sole FROM o)
+SELECT o_orderkey, CASE WHEN n = 1 THEN sole ELSE before END AS method, n AS n_methods FROM w""")
+def error_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The method of each error's line from a table of errors and one of methods; a third of both are in one file."""
+    file = F.when(F.col("o_custkey") % 3 == 0, 0).otherwise(F.col("o_custkey"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey", file.alias("file"), F.col("o_orderkey").alias("line"))
+    methods = orders.where("o_orderstatus = 'F' and (o_custkey % 3 = 0 or o_orderkey % 3 = 0)").select("file", "line", F.concat(F.lit("m"), F.col("o_orderkey").cast("string")).alias("name"))
+    return joins.located(orders.select("o_orderkey", "file", "line"), methods).select("o_orderkey", "method", "n_methods")
+
+
 @query("""SELECT l_returnflag, l_linestatus, l_linenumber, l_suppkey, count(*) AS n, sum(l_orderkey) AS keys, array_to_string(list(l_orderkey ORDER BY l_orderkey), ' ') AS orders FROM lineitem GROUP BY ALL""")
 def group_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ("l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey")
@@ -692,18 +721,16 @@ def archive_listing_of_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = table(spark, sf_dir, "benchmark").select(F.explode(F.array(name, F.concat(key.cast("string"), F.lit(".txt")), F.concat(F.lit("x"), key.cast("string"), F.lit(".tar.bz2")))).alias("path"), F.lit("").alias("content"))
     sinks.write_files(both, path)
     found = files.archive_listing(spark, path, of_k=True)
-    return order.global_rank(found, F.col("vid_num"), "vid_num", "tid", "sid", name="place")
+    return order.ranked(found, "vid_num", "tid", "sid", name="place")
 
 
 @query("SELECT r_name AS project, n_name, n_nationkey FROM nation JOIN region ON r_regionkey = n_regionkey")
 def csv_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One CSV for each project, read together."""
     rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
-    path, names = scratch.folder(spark, "projects"), [r[0] for r in table(spark, sf_dir, "region").select("r_name").collect()]
-    for name in names:
-        part = rows.where(F.col("r_name") == name).select(F.col("r_name").alias("project"), "n_name", "n_nationkey")
-        sinks.write_csv(part, f"{path}/{name}_methods.csv")
-    return files.csv_table(spark, [f"{path}/{name}_methods.csv" for name in names], "project string, n_name string, n_nationkey int")
+    path = scratch.folder(spark, "projects")
+    sinks.write_csv(rows.select(F.col("r_name").alias("project"), "n_name", "n_nationkey"), path, by="project")
+    return files.csv_table(spark, path, "n_name string, n_nationkey int, project string").select("project", "n_name", "n_nationkey")
 
 
 _ONE_LINE = "replace(replace(text, chr(10), ' '), chr(13), ' ')"
@@ -715,11 +742,11 @@ def _one_line() -> Column:
 
 @query(f"SELECT row_number() OVER (ORDER BY item_id, text) - 1 AS line_no, {_ONE_LINE} AS method, 'assert ' || item_id AS statement FROM benchmark WHERE text IS NOT NULL")
 def paired_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two files of lines, paired by line number."""
+    """Two folders of lines in one order, written by many tasks, and paired by line number."""
     rows = table(spark, sf_dir, "benchmark").where("text is not null").orderBy("item_id", "text")
     path = scratch.folder(spark, "pairs")
-    sinks.write_lines(rows.select(_one_line().alias("text")).coalesce(1), f"{path}/methods")
-    sinks.write_lines(rows.select(F.concat(F.lit("assert "), F.col("item_id").cast("string")).alias("text")).coalesce(1), f"{path}/asserts")
+    sinks.write_lines(rows.select(_one_line().alias("text")), f"{path}/methods")
+    sinks.write_lines(rows.select(F.concat(F.lit("assert "), F.col("item_id").cast("string")).alias("text")), f"{path}/asserts")
     return files.paired_lines(spark, f"{path}/methods", f"{path}/asserts").withColumnsRenamed({"left": "method", "right": "statement"})
 
 
@@ -728,9 +755,9 @@ SELECT i.line_no, i.item_id, j::INTEGER AS cand_pos, 'p' || p.item_id || '.' ||
 def predictions_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three predictions follow one another for each input; place alone tells whose they are."""
     items = table(spark, sf_dir, "benchmark").select("item_id")
-    inputs = order.global_rank(items, order.number_bucket(items, "item_id"), "item_id", name="line_no")
+    inputs = order.ranked(items, "item_id", name="line_no")
     made = items.select("item_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j"))
-    flat = order.global_rank(made, order.number_bucket(made, "item_id"), "item_id", "j", name="line_no")
+    flat = order.ranked(made, "item_id", "j", name="line_no")
     flat = flat.select("line_no", F.concat(F.lit("p"), F.col("item_id").cast("string"), F.lit("."), F.col("j").cast("string")).alias("code"))
     return joins.by_position(inputs, flat, 3).select("line_no", "item_id", "cand_pos", "code")
 
@@ -753,14 +780,15 @@ def class_list_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.class_list(spark, path)
 
 
-@query("SELECT r_name AS project, array_to_string(list('org.' || n_name ORDER BY n_nationkey), ',') AS classes FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY r_name")
+@query("SELECT p_brand AS project, array_to_string(list(DISTINCT 'org.' || replace(p_name, ' ', '.') ORDER BY 'org.' || replace(p_name, ' ', '.')), ',') AS classes FROM part GROUP BY p_brand")
 def class_catalogue_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON array of projects with their classes, written as one text; each last class ends in a line break there."""
-    named = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
-    found = named.groupBy(F.col("r_name").alias("project")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("n")).collect()  # five regions
-    listed = [{"project": r["project"], "classes": [f"org.{x['n_name']}" + "\n" * (i == len(r["n"]) - 1) for i, x in enumerate(r["n"])]} for r in found]
-    path = f"{scratch.folder(spark, 'catalogue')}/focal_classes.json"
-    sinks.write_string(spark, json.dumps(listed, indent=1), path)
+    """JSON arrays of projects with their classes, a file for each brand; the last class of each ends in a line break there."""
+    named = table(spark, sf_dir, "part").select(F.col("p_brand").alias("project"), F.concat(F.lit("org."), F.replace("p_name", F.lit(" "), F.lit("."))).alias("c")).distinct()
+    each = named.groupBy("project").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    ended = F.transform("c", lambda x, i: F.when(i == F.size("c") - 1, F.concat(x, F.lit("\n"))).otherwise(x))
+    content = F.to_json(F.array(F.struct("project", ended.alias("classes"))))
+    path = scratch.folder(spark, "catalogue")
+    sinks.write_files(each.select(F.concat(F.md5("project"), F.lit(".json")).alias("path"), content.alias("content")), path)
     return files.class_catalogue(spark, path).select("project", F.array_join("classes", ",").alias("classes"))
 
 
@@ -800,7 +828,7 @@ def test_class_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def outcomes_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes by version and test, with their place in that order."""
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("test_id"), F.pmod("user_id", F.lit(97)).alias("version_num"))
-    return outcomes.ordered(order.global_rank(rows, F.col("version_num"), "version_num", "test_id", name="place"))
+    return outcomes.ordered(order.ranked(rows, "version_num", "test_id", name="place"))
 
 
 @query("""WITH n AS (SELECT p_partkey, p_size, 'P-' || p_size || 'f-scaffolding.tar.bz2' AS name FROM part) SELECT p_partkey, p_size AS version, name FROM n""")

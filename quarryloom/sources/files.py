@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import bz2
+import hashlib
 import io
+import re
 import tarfile
 from collections.abc import Callable, Iterator
 
@@ -127,6 +129,30 @@ def of_test_class(df: DataFrame, path: str, test_class: Column) -> DataFrame:
     return df.where(F.startswith(name, test_class))
 
 
+def fingerprint(df: DataFrame, **parameters) -> str:
+    """A digest of what df is made from: its normalised plan, its input files with sizes and times of change, and parameters.
+
+    Two plans that differ in the numbers that Spark gives columns alone are the same.
+    """
+    spark = df.sparkSession
+    plan = re.sub(r"#\d+L?|\bplan_id=\d+|\[id=#?\d+\]", "", df._jdf.queryExecution().optimizedPlan().canonicalized().treeString())
+    conf, known = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for name in sorted(df.inputFiles()):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        known.append((name, status.getLen(), status.getModificationTime()))
+    return hashlib.sha256(repr((plan, known, sorted(parameters.items()))).encode()).hexdigest()
+
+
+def cached_by_content(folder: str, df: DataFrame, **parameters) -> DataFrame:
+    """The rows of df, from the table that an earlier call with the same plan, inputs and parameters wrote below folder; else written now.
+
+    A changed input, plan or parameter has another fingerprint, so an old table is never
+    taken for it. Two runs at once write the same table; the later one takes the place of the first.
+    """
+    return cached(f"{folder.rstrip('/')}/{fingerprint(df, **parameters)}", lambda: df, df.sparkSession)
+
+
 def cached(path: str, make: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
     """The table written at path; made and written first where it isn't there whole."""
     done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")

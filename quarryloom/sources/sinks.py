@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarryloom.functions.text import yes_no
 
+# The columns of the methods, outcome and coverage files.
 METHODS = (
     "id", "project", "version", "number_method_by_version", "modified_class", "focal_class", "path_focal_class_in_project", "test_class",
     "path_test_class_scaffolding", "package_focal_class", "imports_focal_class", "src_fm_fc_ms_ff", "src_fm_fc_dctx", "src_fm_fc_dctx_priv",
@@ -28,9 +29,10 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_csv(df: DataFrame, path: str, columns: tuple[str, ...] | None = None) -> None:
-    """UTF-8 CSV with a header and doubled quotes, columns in the given order."""
-    (df.select(*columns) if columns else df).write.mode("overwrite").options(header=True, quote='"', escape='"', encoding="UTF-8").csv(path)
+def write_csv(df: DataFrame, path: str, columns: tuple[str, ...] | None = None, by: str | None = None) -> None:
+    """UTF-8 CSV with a header and doubled quotes, columns in the given order; by: a folder for each value of this column."""
+    out = (df.select(*columns) if columns else df).write.mode("overwrite").options(header=True, quote='"', escape='"', encoding="UTF-8")
+    (out.partitionBy(by) if by else out).csv(path)
 
 
 def write_outcomes(df: DataFrame, path: str) -> None:

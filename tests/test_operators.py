@@ -69,8 +69,6 @@ def test_batches_keep_null_keys_and_outliers(spark):
     spread = spark.range(3000).selectExpr("case when id = 7 then 1000000000000000 else id end as id")
     got = {r["id"]: r["batch_id"] for r in order.batches(spread, "id", 100).collect()}
     assert got == {x: k // 100 for k, x in enumerate(sorted(got))} and len(got) == 3000
-    sizes = spread.select(order.number_bucket(spread, "id").alias("b")).groupBy("b").count().agg(F.max("count")).first()[0]
-    assert sizes <= 30
     same = spark.range(50).selectExpr("3 as id")
     assert order.batches(same, "id", 10).groupBy("batch_id").count().where("count = 10").count() == 5
 
@@ -78,7 +76,7 @@ def test_batches_keep_null_keys_and_outliers(spark):
 def test_no_column_of_the_caller_is_lost(spark):
     own = [f"'own' AS `{c}`" for c in ("rank", "digest", "bucket", "key", "key0", "start", "inside", "row", "z", "k", "ids", "a.b")]
     df = spark.range(20).selectExpr("id", *own)
-    for got, new in ((order.train_valid_test(df, "id"), "split"), (order.batches(df, "id", 5), "batch_id"), (order.global_rank(df.drop("rank"), F.col("id"), "id"), "rank")):
+    for got, new in ((order.train_valid_test(df, "id"), "split"), (order.batches(df, "id", 5), "batch_id"), (order.ranked(df.drop("rank"), "id"), "rank")):
         assert got.columns[-1] == new and got.count() == 20
         assert all(r[c] == "own" for r in got.collect() for c in got.columns[1:-1])
     tokens = df.withColumn("tokens", F.array(*[F.lit(str(i)) for i in range(9)]))
