@@ -9,17 +9,21 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from quarryloom.llm import shared
 
 PROFILE = 300
 SIZES = (1, 2, 3)
+#: Most languages whose profiles are broadcast: 40 MB; those of more are joined.
+LANGUAGES = 4096
 #: Distinct n-grams that a map task holds before it sends them on.
 HELD = 1_000_000
 #: A document whose score is lower is rejected: it resembles no learned language.
@@ -121,49 +125,108 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", profi
     return counts.withColumn("nth", nth).where(F.col("nth") <= profile).select("lang", "code", (F.col("nth") - 1).alias("rank"))
 
 
-def _predict(names: list[str], codes: np.ndarray, ranks: np.ndarray, profile: int, with_text: bool):
+@dataclass
+class Profiles:
+    """For each n-gram of any profile, in order, the languages that have it and its ranks there: codes[i] has the entries from starts[i] to starts[i + 1]."""
+
+    names: list[str]
+    codes: np.ndarray
+    starts: np.ndarray
+    langs: np.ndarray
+    ranks: np.ndarray
+
+    @staticmethod
+    def of(rows: pa.Table) -> Profiles:
+        named = rows.column("lang").combine_chunks().dictionary_encode()
+        names = named.dictionary.to_pylist()
+        order = sorted(range(len(names)), key=names.__getitem__)
+        place = np.empty(len(names), np.int64)
+        place[order] = np.arange(len(names))
+        langs, code = place[named.indices.to_numpy()] if names else np.zeros(0, np.int64), rows.column("code").to_numpy().view(np.uint64)
+        sort = np.argsort(code, kind="stable")
+        codes, first = np.unique(code[sort], return_index=True)
+        return Profiles([names[i] for i in order], codes, np.r_[first, len(code)], langs[sort], rows.column("rank").to_numpy()[sort].astype(np.int64))
+
+    def nearness(self, mine: np.ndarray, profile: int) -> np.ndarray:
+        """By how much each language is nearer to the n-grams than one that has none of them."""
+        spot = np.minimum(np.searchsorted(self.codes, mine), len(self.codes) - 1)
+        place = np.flatnonzero(self.codes[spot] == mine)
+        low, n = self.starts[spot[place]], np.diff(self.starts)[spot[place]]
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        near = np.maximum(profile - np.abs(self.ranks[at] - np.repeat(place, n)), 0)
+        return np.bincount(self.langs[at], near, len(self.names)).astype(np.int64)
+
+
+def _ranked(profile: int, with_text: bool):
+    """Each text with its most frequent n-grams in order and a number of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        key = TaskContext.get().partitionId() << 40
+        for piece in shared.text_pieces(batches):
+            grams, at = ngrams(piece.column("text").to_pylist())
+            mine = [_profile(_of_text(grams, at[i], at[i + 1]), profile).view(np.int64) for i in range(piece.num_rows)]
+            kept = ["row", "text"] if with_text else ["row"]
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), pa.array(range(key, key + len(mine)), pa.int64()), pa.array(mine, pa.list_(pa.int64()))], [*kept, "key", "codes"])
+            key += len(mine)
+
+    return run
+
+
+def _joined(rows: DataFrame, profiles: DataFrame, profile: int, kept: list[str]) -> DataFrame:
+    """predict's rows for more languages than are broadcast: n-grams meet the profiles that have them in joins."""
+    schema = StructType([*[rows.schema[c] for c in kept], *StructType.fromDDL("key bigint, codes array<bigint>")])
+    ranked = shared.written(shared.map_arrow(rows, _ranked(profile, "text" in kept), schema), "ranked")
+    each = ranked.select("key", F.posexplode("codes").alias("place", "code")).join(profiles, "code")
+    near = each.groupBy("key", "lang").agg(F.sum(F.greatest(F.lit(profile) - F.abs(F.col("rank") - F.col("place")), F.lit(0))).alias("near"))
+    best = near.groupBy("key").agg(F.min(F.struct((-F.col("near")).alias("near"), "lang")).alias("best"))
+    first, n = F.lit(profiles.agg(F.min("lang")).first()[0]), F.size("codes")
+    found = ranked.join(best, "key", "left")
+    lang = F.when(n == 0, F.lit("und")).otherwise(F.when(F.coalesce(F.col("best.near"), F.lit(0)) < 0, F.col("best.lang")).otherwise(first))
+    score = F.when(n == 0, F.lit(0.0)).otherwise(-F.coalesce(F.col("best.near"), F.lit(0)) / (F.lit(float(profile)) * n))
+    return found.select(*kept, lang.alias("lang_pred"), score.alias("score"))
+
+
+def _predict(handle, profile: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = np.arange(profile)
+        profiles: Profiles = handle.value
         for piece in shared.text_pieces(batches):
             grams, at = ngrams(piece.column("text").to_pylist())
             langs, scores = [], []
             for i in range(piece.num_rows):
                 mine = _profile(_of_text(grams, at[i], at[i + 1]), profile)
-                if not len(mine) or not names:
+                if not len(mine) or not profiles.names:
                     langs.append("und")
                     scores.append(0.0)
                     continue
-                spot = np.minimum(np.searchsorted(codes, mine), len(codes) - 1)
-                known = codes[spot] == mine
-                far = np.where(known, np.minimum(np.abs(ranks[:, spot] - places[: len(mine)]), profile), profile)
-                distance = far.sum(axis=1)
-                best = int(np.argmin(distance))
-                langs.append(names[best])
-                scores.append(1 - float(distance[best]) / (profile * len(mine)))
+                near = profiles.nearness(mine, profile)
+                best = int(np.argmax(near))
+                langs.append(profiles.names[best])
+                scores.append(float(near[best]) / (profile * len(mine)))
             kept = ["row", "text"] if with_text else ["row"]
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
 
     return run
 
 
-def predict(docs: DataFrame, profiles: DataFrame, text_col: str = "text", keep: list[str] | None = None, profile: int = PROFILE) -> DataFrame:
+def predict(docs: DataFrame, profiles: DataFrame, text_col: str = "text", keep: list[str] | None = None, profile: int = PROFILE, languages: int = LANGUAGES) -> DataFrame:
     """For each row of docs: row (its kept columns but the text), the text if it is kept, lang_pred and score.
 
     score is 1 less the distance to the nearest profile over the largest possible one; of
     equally near languages the first by name is taken. A text that is null or has no
     letter is ``und`` with score 0, as is every text if no language was learned. The
-    profiles, some hundred rows for each language, travel with the tasks.
+    profiles of at most `languages` languages, some hundred rows each, are broadcast; those of more are joined.
     """
-    found = profiles.toPandas()
-    names = sorted(found["lang"].unique())
-    codes = np.unique(found["code"].to_numpy(np.int64).view(np.uint64))
-    ranks = np.full((len(names), len(codes)), 2 * profile, np.int64)
-    place = {x: i for i, x in enumerate(names)}
-    ranks[found["lang"].map(place).to_numpy(int), np.searchsorted(codes, found["code"].to_numpy(np.int64).view(np.uint64))] = found["rank"].to_numpy(int)
     keep = keep or docs.columns
     rows = shared.as_rows(docs, text_col, text_col, keep).select("row", "text")
-    schema = rows.select(*(["row", "text"] if text_col in keep else ["row"])).schema.add("lang_pred", "string").add("score", "double")
-    return shared.map_arrow(rows, _predict(names, codes, ranks, profile, text_col in keep), schema)
+    kept = ["row", "text"] if text_col in keep else ["row"]
+    profiles = shared.written(profiles, "profiles", few=True)
+    if profiles.select("lang").distinct().count() > languages:
+        return _joined(rows, profiles, profile, kept)
+    handle = docs.sparkSession.sparkContext.broadcast(Profiles.of(profiles.select("lang", "code", "rank").toArrow()))
+    schema = rows.select(*kept).schema.add("lang_pred", "string").add("score", "double")
+    return shared.map_arrow(rows, _predict(handle, profile, text_col in keep), schema)
 
 
 def held_out(id_col: Column) -> Column:

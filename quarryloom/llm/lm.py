@@ -107,15 +107,24 @@ def _learn(order: int):
     return run
 
 
+#: Counts are told apart by their first so many bits, which bounds the steps that the driver sees.
+STEP_BITS = 10
+
+
 def at_least(counts: DataFrame, most: int) -> int:
-    """The least number n so that at most `most` keys have a count of n or more."""
-    steps = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("keys")).orderBy(F.desc("n")).collect()
-    total, least = 0, 100_001
-    for row in steps:
-        total += row["keys"]
+    """A number n so that at most `most` keys have a count of n or more: the least among steps of a thousandth.
+
+    Keys of the largest step that don't fit all stay below it: then n is more than every count.
+    """
+    bits = F.greatest(F.length(F.bin("n")) - F.lit(STEP_BITS), F.lit(0))
+    steps = counts.withColumn("bits", bits).groupBy("bits", F.expr("shiftright(n, bits)").alias("step")).agg(F.count("*").alias("keys"))
+    found = sorted(((r["step"] << r["bits"], r["bits"], r["keys"]) for r in steps.collect()), reverse=True)
+    total, least = 0, found[0][0] + (1 << found[0][1]) if found else 1
+    for low, _, keys in found:
+        total += keys
         if total > most:
             return least
-        least = row["n"]
+        least = low
     return 1
 
 

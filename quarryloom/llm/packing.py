@@ -113,10 +113,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
     """pieces with sequence_id and offset: sequences of at most capacity, gapless from 0.
 
     A length of null, of less than 1 or of more than capacity raises. Pieces are dealt
-    evenly, whatever their documents, to as many packers as packer_pieces asks for. Columns
-    of pieces named sequence_id or offset give way to the new ones.
+    evenly, whatever their documents, to as many packers as packer_pieces asks for. Pieces
+    with a column sequence_id or offset raise.
     """
-    pieces = shared.written(pieces.drop("sequence_id", "offset"), "pieces")
+    if taken := {"sequence_id", "offset"} & set(pieces.columns):
+        raise ValueError(f"pieces have columns of the new names {', '.join(sorted(taken))}")
+    pieces = shared.written(pieces, "pieces")
     packers = max(1, -(-pieces.count() // packer_pieces))
     dealt = pieces.repartition(packers).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "start", "ids_crc32")
     rows = dealt.select(F.struct(*[F.col(f"`{c}`") for c in pieces.columns]).alias("row"), "length")

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
+
+from quarryloom.llm import shared
 
 
 def put(folder: str, name: str, data: bytes) -> str:
@@ -27,6 +31,22 @@ def made(spark: SparkSession, folder: str) -> None:
 
 
 def finished(spark: SparkSession, folder: str, listed: DataFrame) -> DataFrame:
-    """The listed files with their bytes as content; listed has a column name."""
-    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return files.join(listed, "name")
+    """The listed files with their bytes as content; listed has a column name.
+
+    Names alone are dealt to tasks, each of which opens its files one after another: the
+    folder is never listed, and no file's bytes are shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                with system.open_input_file(f"{path}/{one.column('name')[0].as_py()}") as file:
+                    content = pa.array([file.read()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*one.columns, content], [*one.schema.names, "content"])
+
+    dealt = listed.repartition(shared.partitions(spark), "name")
+    return shared.map_arrow(dealt, run, StructType([*listed.schema.fields, StructField("content", BinaryType())]))

@@ -189,7 +189,8 @@ def write_ids(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
     """
     store.made(docs.sparkSession, folder)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    dealt = rows.repartitionByRange(shared.partitions(docs.sparkSession), "id").sortWithinPartitions("id", F.xxhash64("text"))
+    order = ("id", F.xxhash64("text"))  # also of rows that share an id, so that they can be dealt to several tasks
+    dealt = rows.repartitionByRange(shared.partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     listed = shared.written(shared.map_arrow(dealt, _write(folder, path or tokens.vocabulary(), end, mode), "name string, part int, file int, n_ids long, n_docs long"), "files")
     # a row for each file: small, and summed in one place
     before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
