@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryloom.functions import javasrc, text
-from quarryloom.operators import candidates, columns, joins, metrics, order, outcomes, spans, templates
-from quarryloom.sources import files, scratch, sinks
+from quarryloom.operators import candidates, columns, joins, masks, metrics, order, outcomes, spans, subwords, templates
+from quarryloom.sources import archives, files, scratch, sinks
 from quarryloom.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -269,6 +269,32 @@ def length_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", spans.lengths_fit(inputs, labels, 512).alias("fits"), spans.lengths_fit(inputs, labels, 512, 114).alias("exact"))
 
 
+@query(f"""WITH t AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {TOKENS} AS w FROM documents)), m AS (SELECT doc_id, i, length(w) > 5 AS noise FROM t),
+b AS (SELECT *, CASE WHEN lag(noise) OVER (PARTITION BY doc_id ORDER BY i) = noise THEN 0 ELSE 1 END AS begins FROM m), r AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM b),
+g AS (SELECT doc_id, run, min(i) - 1 AS first, count(*) AS n, bool_or(noise) AS noise FROM r GROUP BY ALL)
+SELECT doc_id, first, CAST(n AS BIGINT) AS length, noise FROM g""")
+def noise_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of long and of short words of each document, whose mask comes in pieces of 100."""
+    rows = _tokens(spark, sf_dir).select("doc_id", F.transform("tokens", lambda t: F.length(t) > 5).alias("mask"))
+    pieces = F.explode(F.sequence(F.lit(0), F.floor(F.size("mask") / 100).cast("int"))).alias("piece")
+    rows = rows.where(F.size("mask") > 0).select("doc_id", "mask", pieces).select("doc_id", "piece", F.slice("mask", F.col("piece") * 100 + 1, F.lit(100)).alias("mask"))
+    return masks.runs_of_pieces(rows, "doc_id", "piece", "mask")
+
+
+#: Where the public vocabularies are; a caller of subwords names any file.
+SUBWORDS = "piece_bpe_32k.model"
+
+
+@query()
+def span_corrupt_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as subword ids, cut at 1,024, and corrupted. Beyond SQL: tests hold it against the library."""
+    import public_tokenizers
+
+    rows = subwords.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", public_tokenizers.path(SUBWORDS)).drop("text")
+    rows = rows.withColumn("ids", F.col("ids").cast("array<string>"))
+    return spans.corrupt(rows, "doc_id", "ids", 32100).select("doc_id", "n", "n_noise", "n_spans", F.array_join("inputs", " ").alias("inputs"), F.array_join("labels", " ").alias("labels"))
+
+
 _PIECES = "['<pad>', '</s>', '<s>'] || (SELECT list('\u2581' || replace(n_name, '_', '\u2581') ORDER BY n_nationkey) FROM nation)"
 
 
@@ -710,6 +736,17 @@ def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.archive_members(spark, path).select("name", "member", F.md5("content").alias("text_md5"))
 
 
+@query("""SELECT 'P-' || doc_id % 41 || 'f-generated_test.' || doc_id % 41 || '.tar.bz2' AS name, 'src/T' || doc_id || '.java' AS member, octet_length(encode(coalesce(text, ''))) AS n_bytes, md5(coalesce(text, '')) AS text_md5 FROM documents""")
+def archives_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents into archives of very many members, written as they come and read as they are unpacked."""
+    key, part = F.col("doc_id").cast("string"), F.pmod("doc_id", F.lit(41)).cast("string")
+    name = F.concat(F.lit("P-"), part, F.lit("f-generated_test."), part, F.lit(".tar.bz2"))
+    rows = table(spark, sf_dir, "documents").select(name.alias("name"), F.concat(F.lit("src/T"), key, F.lit(".java")).alias("member"), F.col("text").cast("binary").alias("content"))
+    path = scratch.folder(spark, "archives")
+    archives.write_archives(rows, path)
+    return archives.read_archives(spark, path).select("name", "member", F.length("content").cast("long").alias("n_bytes"), F.md5("content").alias("text_md5"))
+
+
 @query("""WITH a AS (SELECT item_id, item_id % 40 AS v, item_id % 3 AS sid FROM benchmark)
 SELECT 'P-' || v || 'f-generated_test.' || item_id || '.' || sid || '.tar.bz2' AS name, 'P' AS pid, v || 'f' AS vid, v::INTEGER AS vid_num, 'generated_tests' AS src, item_id::INTEGER AS tid, sid::INTEGER AS sid,
  row_number() OVER (ORDER BY v, item_id, sid) - 1 AS place FROM a""")
