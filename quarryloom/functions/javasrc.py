@@ -1,13 +1,14 @@
 """Java method text: a lexer and what follows from it, as vectorised UDFs.
 
-A text is valid if its brackets close in order, its literals and comments end, and its
-last statement ends. The repair closes open brackets and adds the missing semicolon; it
-stands for a grammar's error recovery, which it does not reproduce.
+A text is valid here if its brackets close in order, its literals and comments end, and its
+last statement ends; the repair closes open brackets and adds the missing semicolon. It is the
+quick check. Errors and repairs by grammar are in ``javagrammar`` and ``operators/trees``.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -23,9 +24,10 @@ _CLOSES = {"(": ")", "{": "}", "[": "]"}
 MODIFIERS = ("public", "protected", "private", "static", "abstract", "final", "native", "synchronized", "transient", "volatile", "strictfp", "default")
 
 
-def tokens(code: str) -> list[tuple[str, str, int]]:
-    """(kind, text, place) of every token, spaces and comments included."""
-    return [(m.lastgroup, m.group(), m.start()) for m in _TOKEN.finditer(code)]
+@lru_cache(maxsize=4)
+def tokens(code: str) -> tuple[tuple[str, str, int], ...]:
+    """(kind, text, place) of every token, spaces and comments included. The functions below ask for one text several times, one after another."""
+    return tuple((m.lastgroup, m.group(), m.start()) for m in _TOKEN.finditer(code))
 
 
 def missing(code: str) -> list[tuple[int, str]] | None:

@@ -1,4 +1,7 @@
-"""Code-text functions as Column expressions: all stay in the JVM."""
+"""Code-text functions as Column expressions: all stay in the JVM.
+
+A null text gives null, an empty one the function's value for no text; method_id leaves null parts out.
+"""
 
 from __future__ import annotations
 

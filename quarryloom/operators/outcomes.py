@@ -37,8 +37,8 @@ def _right() -> dict[str, Column]:
 
 
 def single_funnel(df: DataFrame, by: list[str]) -> DataFrame:
-    """Each test ends in one bucket, so the error counts are disjoint."""
-    syntax, compiled, ran, passed = (F.col(c) for c in STAGES[:4])
+    """Each test ends in one bucket, so the error counts are disjoint. A null flag is a stage that was not reached."""
+    syntax, compiled, ran, passed = (F.coalesce(F.col(c), F.lit(False)) for c in STAGES[:4])
     errors = {"syntax_error": ~syntax, "compile_error": syntax & ~compiled, "execute_error": compiled & ~ran, "failing_tests": ran & ~passed}
     return _summary(df, by, errors, _right())
 
@@ -47,10 +47,10 @@ def any_of_k(df: DataFrame, by: list[str], method: list[str], order: str) -> Dat
     """Outcome of each method over its candidates up to the first passing one, then the funnel with nested error counts.
 
     Whether a stage was reached is that of any candidate; correctness is decided on the
-    first passing candidate alone.
+    first passing candidate alone. A null flag is a stage that was not reached.
     """
     first = F.min(F.when(F.col("passing_test"), F.struct(F.col(order).alias("at"), F.col("correct_test").alias("correct"))))
-    each = df.groupBy(*by, *method).agg(*[F.bool_or(c).alias(c) for c in STAGES[:4]], first.alias("first"))
+    each = df.groupBy(*by, *method).agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in STAGES[:4]], first.alias("first"))
     each = each.withColumn("correct_test", F.coalesce(F.col("first.correct"), F.lit(False)))
     errors = {"syntax_error": ~F.col("correct_syntax"), "compile_error": ~F.col("compilable"), "execute_error": ~F.col("executable"), "failing_tests": ~F.col("passing_test")}
     return _summary(each, by, errors, _right())

@@ -124,3 +124,30 @@ def test_new_columns_never_replace_the_callers(spark):
     for bad in (lambda: outcomes.coverage(own), lambda: candidates.judged(own, F.lit(True), F.lit(""), F.lit(True)), lambda: joins.enclosing(own, "k", F.col("name"), "k"), lambda: joins.with_archive(own, df, "k")):
         with pytest.raises(ValueError, match="columns of the new names"):
             bad()
+
+
+def test_null_texts_flags_and_keys_and_clashing_names(spark):
+    from quarryloom.functions import text
+    from quarryloom.operators import outcomes
+
+    one = spark.createDataFrame([(None, "a.B")], "x string, y string")
+    x = F.col("x")
+    got = one.select(text.format_code(x), text.simple_name(x), text.base_name(x), text.source_path(x), text.strip(x), text.remove_padding(x)).first()
+    assert all(v is None for v in got) and one.select(text.method_id(x, F.col("y"))).first()[0] == "a.B"
+    assert one.select(text.simple_name(F.lit("")), text.base_name(F.lit(""))).first()[:] == ("", "")
+    flags = spark.createDataFrame([("p", 1, True, None, None, None, None), ("p", 2, None, None, None, None, None)], "project string, at int, " + ", ".join(f"{c} boolean" for c in outcomes.STAGES))
+    single = outcomes.single_funnel(flags, ["project"]).first()
+    assert (single["n_syntax_error"], single["n_compile_error"], single["n_execute_error"], single["n_failing_tests"]) == (1, 1, 0, 0)
+    several = outcomes.any_of_k(flags.withColumn("first", F.lit("own")), ["project"], ["at"], "at").first()
+    assert (several["total_tests"], several["n_syntax_error"], several["n_compile_error"]) == (2, 1, 2)
+    names = ("pos", "best", "head", "_round", "key", "row", "found", "chosen")
+    turns = spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "k long, at int, code string").withColumns({c: F.lit("own") for c in names if c != "_round"})
+    judge = lambda df: candidates.judged(df, F.col("code") == "b", F.lit(""), F.lit(False))
+    assert candidates.first_valid(judge(turns), "k", "at", "code").first()[:] == (1, 1, "b", False, False)
+    assert candidates.first_valid_lazily(turns, "k", "at", "code", judge).first()[:] == (1, 1, "b", False, False)
+    classes = spark.createDataFrame([("1", "a.B"), (None, "a.C"), ("1", None)], "version string, modified_class string")
+    methods = spark.createDataFrame([("1", "x/B.java"), (None, "x/C.java"), ("1", None)], "version string, path_focal_class string")
+    assert joins.class_methods(classes, methods).count() == 1
+    with pytest.raises(ValueError, match="focal_name"):
+        joins.class_methods(classes.withColumn("focal_name", F.lit(1)), methods)
+    assert joins.existing(classes, classes, "version").count() == 2
