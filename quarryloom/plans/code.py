@@ -99,14 +99,18 @@ _PAIRED = r"""p AS (SELECT a.conv_id, a.turn AS position, list_transform(string_
  FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = 1 WHERE a.turn <> 1)"""
 
 
-def _pairs(spark: SparkSession, sf_dir: str, statement) -> tuple[DataFrame, DataFrame]:
-    """Nodes of the candidates and of the references: each word of a turn is a statement."""
+def _pairs(spark: SparkSession, sf_dir: str, statement, items) -> tuple[DataFrame, DataFrame]:
+    """Items of the candidates' trees and of their references': each word of a turn is a statement. A reference is parsed once for all its candidates."""
 
     def code(words: Column) -> Column:
         return F.concat(F.lit("void m() { "), F.array_join(F.transform(F.coalesce(words, F.array().cast("array<string>")), statement), " "), F.lit(" }"))
 
+    def nodes(rows: DataFrame, *keys: str) -> DataFrame:
+        return items(trees.node_table(trees.parsed(rows, "code"), *keys), *keys)
+
     pairs = _against_turn_1(spark, sf_dir).select("conv_id", "position", F.coalesce("c", F.array(F.lit(""))).alias("c"), "r")
-    return tuple(trees.node_table(trees.parsed(pairs.select("conv_id", "position", code(F.col(side)).alias("code")), "code"), "conv_id", "position") for side in "cr")
+    found = nodes(pairs.select("conv_id", code(F.col("r")).alias("code")).distinct(), "conv_id")
+    return nodes(pairs.select("conv_id", "position", code(F.col("c")).alias("code")), "conv_id", "position"), found.join(pairs.select("conv_id", "position"), "conv_id")
 
 
 def _by_length(w: Column, i: Column) -> Column:
@@ -115,8 +119,8 @@ def _by_length(w: Column, i: Column) -> Column:
 
 def _syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = ["conv_id", "position"]
-    c, r = _pairs(spark, sf_dir, _by_length)
-    return trees.clipped(trees.subtrees(c, *pair), trees.subtrees(r, *pair), pair, ["shape"], ["position"])
+    c, r = _pairs(spark, sf_dir, _by_length, trees.subtrees)
+    return trees.clipped(c, r, pair, ["shape"], ["position"])
 
 
 _SYNTAX = rf"""WITH {_PAIRED}, n AS (SELECT position, c, r, {", ".join(f"len(list_filter({s}, lambda w: w % 3 = {k})) AS {s}{k}" for s in "cr" for k in range(3))}, list_transform(c, lambda w: w % 3) = list_transform(r, lambda w: w % 3) AS same FROM p)
@@ -137,8 +141,8 @@ def _assigned(w: Column, i: Column) -> Column:
 
 def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = ["conv_id", "position"]
-    c, r = _pairs(spark, sf_dir, _assigned)
-    return trees.clipped(trees.data_flow(c, *pair), trees.data_flow(r, *pair), pair, ["relation", "target", "source"], ["position"])
+    c, r = _pairs(spark, sf_dir, _assigned, trees.data_flow)
+    return trees.clipped(c, r, pair, ["relation", "target", "source"], ["position"])
 
 
 _FLOW = rf"""WITH {_PAIRED}, s AS (SELECT conv_id, position, side, unnest(w) AS n, generate_subscripts(w, 1) - 1 AS i FROM (SELECT conv_id, position, 'c' AS side, c AS w FROM p UNION ALL SELECT conv_id, position, 'r', r FROM p)),
