@@ -29,11 +29,15 @@ COLUMNS = {
     "op8_lm_scoring": "doc_id held_out n_tokens n_known train_tokens base_score score",
     "op9_quality": "doc_id n_votes weak_score score keep toxic_score toxic",
     "op10_token_ids": "doc_id start n_tokens ids_crc32",
+    "op11_embedding_dedup": "vec_id n_links component_id kept",
+    "op12_price_band_join": "item_id rank gap u sale_id line_no line_item_id n_pairs gap_sum lines_crc",
+    "op13_filter_audit": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
 }
 
 
-def tables(spark, folder, docs, pages=(), bench=(), vectors=(), labels=()):
-    for name, rows, schema in (("documents", docs, SCHEMA), ("pages", pages, "page_id long, url string, html string"), ("benchmark", bench, "item_id long, text string"), ("embeddings", vectors, "vec_id long, embedding array<float>, label int"), ("labels", labels, "doc_id long, quality int, toxic int")):
+def tables(spark, folder, docs, pages=(), bench=(), vectors=(), labels=(), items=(), lines=()):
+    shop = (("items", items, "item_id long, name string, price double"), ("sale_lines", lines, "sale_id long, line_no int, item_id long, quantity int, amount double"))
+    for name, rows, schema in (*shop, ("documents", docs, SCHEMA), ("pages", pages, "page_id long, url string, html string"), ("benchmark", bench, "item_id long, text string"), ("embeddings", vectors, "vec_id long, embedding array<float>, label int"), ("labels", labels, "doc_id long, quality int, toxic int")):
         df = spark.createDataFrame(list(rows), schema)
         for own in OWN:  # names that operators use within
             df = df.selectExpr("*", f"'own' AS `{own}`")
@@ -68,11 +72,18 @@ def test_all_queries_on_odd_rows(spark, tmp_path):
     rows = odd()
     pages = [(1, "u", "x"), (1, "u", "x"), (2, None, None), (None, "v", "x"), (4, "w", ""), (5, "y", "z" * 2_000_000)]
     vectors = [(i, [1.0, float(i % 7), 2.0], 0) for i in range(60)] + [(50, None, 0), (None, [1.0, 1.0, 1.0], 0), (61, [0.0, 0.0, 0.0], None)]
-    sf = tables(spark, tmp_path, rows, pages, [(1, rows[3][1]), (None, "the of and"), (2, None), (1, rows[3][1])], vectors, [(7, 1, 1), (7, 1, 0), (None, 1, 1), (3, None, None), (900, 0, 1), (1, 1, 0)])
+    sf = tables(spark, tmp_path, rows, pages, [(1, rows[3][1]), (None, "the of and"), (2, None), (1, rows[3][1])], vectors, [(7, 1, 1), (7, 1, 0), (None, 1, 1), (3, None, None), (900, 0, 1), (1, 1, 0)],
+        [(1, "a", 2.0), (1, "a", 2.0), (None, "b", 2.0), (3, None, None), (4, "c", 3.0)], [(1, 1, 4, 2, 4.1), (1, 1, 4, 2, 4.1), (None, 1, 4, 1, 2.0), (2, None, 1, 1, 2.0), (3, 1, 1, 0, 2.0)])
     for name, query in queries.queries().items():
         found = query(spark, sf).collect()
         if name in PER_DOCUMENT:
             assert Counter(r["doc_id"] for r in found) == Counter(i for i, *_ in rows), name
+        if name == "op11_embedding_dedup":
+            assert Counter(r["vec_id"] for r in found) == Counter(i for i, *_ in vectors)
+        if name == "op12_price_band_join":
+            assert Counter((r["item_id"], r["rank"]) for r in found) == {(1, 1): 2, (1, 2): 2, (None, 0): 1, (3, 0): 1, (4, 0): 1}
+        if name == "op13_filter_audit":
+            assert len(found) == 600 * len({x[2] or "" for x in rows}) and all(r["kept"] + r["removed"] >= 0 for r in found)
     assert Counter(r["page_id"] for r in queries.op7_warc(spark, sf).collect()) == Counter(i for i, *_ in pages)
     packed = corpus_pipeline.run(spark, sf).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
     assert packed.where("n > 1024 or n <> end").count() == 0

@@ -124,11 +124,14 @@ def test_no_documents_give_no_files(spark):
     assert listed.count() == 0 and token_store.read_ids(spark, folder, listed).count() == 0
 
 
-def test_packing_replaces_columns_of_its_own_names(spark):
-    pieces = packing.token_pieces(frame(spark, documents(3, 10))).selectExpr("*", "7 AS offset", "'own' AS sequence_id", "'own' AS `a.b`")
+def test_packing_keeps_columns_and_raises_for_its_own_names(spark):
+    pieces = packing.token_pieces(frame(spark, documents(3, 10))).selectExpr("*", "'own' AS `a.b`")
     got = packing.pack(pieces)
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "a.b", "sequence_id", "offset"]
-    assert got.where("sequence_id is null or offset is null").count() == 0
+    assert got.where("sequence_id is null or offset is null or `a.b` <> 'own'").count() == 0
+    for taken in ("offset", "sequence_id"):
+        with pytest.raises(ValueError, match=taken):
+            packing.pack(pieces.withColumn(taken, pieces["piece"]))
 
 
 def test_id_files_null_and_repeated_ids(spark):
