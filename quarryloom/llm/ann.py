@@ -26,7 +26,7 @@ PIVOTS = 256
 #: Nearest pivots that are posted and searched: an eighth of all, so a query meets an eighth of the postings.
 LISTED = 32
 #: Share of a shard that is ranked again, and the least number.
-RERANK, RERANK_LEAST = 0.2, 256
+RERANK, RERANK_LEAST = 0.3, 1024
 #: Most vectors of a shard; fewer while there are fewer shards than shuffle partitions, but not less than SHARD_LEAST.
 SHARD_VECTORS, SHARD_LEAST = 32_768, 4096
 #: Rows among which pivots are sought.
