@@ -7,6 +7,7 @@ data-flow matches are joins and aggregations over their rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,11 +16,13 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from quarryloom.functions import javagrammar
+from quarryloom.operators import tasks
 from quarryloom.operators.columns import as_row, column, from_row
 
 NODE = "kind string, parent int, last int, depth int, start int, stop int, shape bigint, ends int, setter int, name string, role string"
 _ARROW = pa.list_(pa.struct([(c.split()[0], {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[c.split()[1]]) for c in NODE.split(", ")]))
-#: New columns of judged and of parsed.
+FIELDS = tuple(c.split()[0] for c in NODE.split(", "))
+#: New columns of judged.
 JUDGED = ("had_errors", "mended", "inserted", "has_errors")
 #: Texts of one Arrow batch that are parsed before their trees are sent on.
 HELD = 64
@@ -45,30 +48,45 @@ def judged(df: DataFrame, code: str) -> DataFrame:
     where none are needed or insertions don't help; inserted: how many, then 0 or null;
     has_errors: whether mended still has errors. A null text has nulls, an empty one no errors.
     """
+    tasks.small_batches(df.sparkSession)
     rows = df.select(as_row(df, *JUDGED), column(code).alias("code"))
     schema = StructType([rows.schema["row"], *StructType.fromDDL("had_errors boolean, mended string, inserted int, has_errors boolean")])
     return rows.mapInArrow(_judge, schema).select(*from_row(df.columns), *JUDGED)
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a in range(0, batch.num_rows, HELD):
-            part = batch.slice(a, HELD)
-            found = [None if code is None else javagrammar.nodes(code) for code in part.column("code").to_pylist()]
-            names = [x.name for x in _ARROW.value_type]
-            rows = [None if x is None else [dict(zip(names, node, strict=True)) for node in x] for x in found]
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(rows, _ARROW)], ["row", "nodes"])
+def _parse(fields: tuple[str, ...]):
+    at = [_ARROW.value_type.get_field_index(x) for x in fields]
+    types = [_ARROW.value_type.field(i) for i in at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, HELD):
+                part = batch.slice(a, HELD)
+                found = [None if code is None else javagrammar.nodes(code) for code in part.column("code").to_pylist()]
+                rows = [x for some in found for x in some or ()]
+                values = pa.StructArray.from_arrays([pa.array([x[i] for x in rows], t.type) for i, t in zip(at, types, strict=True)], fields=types)
+                ends = [0, *accumulate(len(x or ()) for x in found)]
+                starts = [None if x is None else e for x, e in zip(found, ends, strict=False)]  # a null start is a null list
+                nodes = pa.ListArray.from_arrays(pa.array([*starts, ends[-1]], pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([part.column("row"), nodes], ["row", "nodes"])
+
+    return run
 
 
-def parsed(df: DataFrame, code: str, name: str = "nodes") -> DataFrame:
-    """df with the nodes of each text's tree in preorder, as an array; null for a null text and for one with errors."""
+def parsed(df: DataFrame, code: str, name: str = "nodes", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """df with the nodes of each text's tree in preorder, as an array; null for a null text and for one with errors.
+
+    fields: those of a node that are needed; fewer are cheaper.
+    """
+    tasks.small_batches(df.sparkSession)
     rows = df.select(as_row(df, name), column(code).alias("code"))
-    schema = StructType([rows.schema["row"], *StructType.fromDDL(f"nodes array<struct<{NODE.replace(', ', ',').replace(' ', ':')}>>")])
-    return rows.mapInArrow(_parse, schema).select(*from_row(df.columns), F.col("nodes").alias(name))
+    types = dict(c.split() for c in NODE.split(", "))
+    schema = StructType([rows.schema["row"], *StructType.fromDDL(f"nodes array<struct<{','.join(f'{x}:{types[x]}' for x in fields)}>>")])
+    return rows.mapInArrow(_parse(fields), schema).select(*from_row(df.columns), F.col("nodes").alias(name))
 
 
 def node_table(df: DataFrame, *keys: str, nodes: str = "nodes") -> DataFrame:
-    """(keys, node, kind, parent, last, depth, start, stop, shape, ends, setter, name, role): a row for each node, the root with number 0."""
+    """(keys, node, kind, parent, last, depth, start, stop, shape, ends, setter, name, role), or those that were parsed: a row for each node, the root with number 0."""
     return df.select(*map(column, keys), F.posexplode(column(nodes)).alias("node", "_x")).select(*map(column, keys), "node", "_x.*")
 
 
@@ -89,18 +107,34 @@ def children(nodes: DataFrame, above: str, kinds: list[str], *keys: str) -> Data
     return nodes.where(F.col("kind").isin(kinds)).join(over, [*keys, "parent"], "left_semi")
 
 
+def places(nodes: Column, kind: str) -> Column:
+    """The numbers of the nodes of a kind in the array of a text's nodes, rising."""
+    return F.filter(F.transform(nodes, lambda x, i: F.when(x["kind"] == kind, i)), lambda i: i.isNotNull())
+
+
+def below(places_: Column, node: Column, last: Column) -> Column:
+    """How many of the places are under a node."""
+    return F.size(F.filter(places_, lambda i: (i > node) & (i <= last))).cast("long")
+
+
+def children_of(nodes: Column, above: str, kinds: list[str]) -> Column:
+    """Of the array of a text's nodes those of some kinds right under nodes of the kind above, in order."""
+    return F.filter(nodes, lambda x: x["kind"].isin(kinds) & (F.get(nodes, x["parent"])["kind"] == above))
+
+
 def span_text(code: Column) -> Column:
     """The text of a node's characters."""
     return F.substring(code, F.col("start") + 1, F.col("stop") - F.col("start"))
 
 
-def clipped(candidates: DataFrame, references: DataFrame, pair: list[str], item: list[str], by: list[str]) -> DataFrame:
+def clipped(candidates: DataFrame, references: DataFrame, pair: list[str], item: list[str], by: list[str], times: str | None = None) -> DataFrame:
     """(by, matched, total): items of the references that their candidates have too, each as often as both do, and all of them.
 
-    candidates and references: rows (pair, item); by: some of the pair's columns. A pair without reference items adds nothing.
+    candidates and references: rows (pair, item); by: some of the pair's columns; times: the references' column that counts an item, if a row is
+    not just one. A pair without reference items adds nothing.
     """
     have = candidates.groupBy(*pair, *item).agg(F.count("*").alias("_have"))
-    want = references.groupBy(*pair, *item).agg(F.count("*").alias("_want"))
+    want = references.groupBy(*pair, *item).agg((F.sum(times) if times else F.count("*")).alias("_want"))
     both = want.join(have, [*pair, *item], "left")
     return both.groupBy(*by).agg(F.sum(F.least("_want", F.coalesce("_have", F.lit(0)))).alias("matched"), F.sum("_want").alias("total"))
 
@@ -119,14 +153,16 @@ def data_flow(nodes: DataFrame, *keys: str) -> DataFrame:
     ``x++`` from itself; a use in no assignment comes from itself.
     """
     keys = list(keys)
-    rows = nodes.where("role is not null").select(*keys, "node", "name", "role", "ends", "setter", "parent")
+    rows = nodes.where("role is not null").select(*keys, "node", "name", "role", "ends", "setter", "parent").repartition(*keys)  # a text's rows meet once, for all that follows
     before = Window.partitionBy(*keys, "name").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("role") == "declared", F.struct("node", "ends")), ignorenulls=True).over(before)
     rows = rows.withColumn("_d", last).withColumn("_d", F.when(F.col("node") <= F.col("_d.ends"), F.col("_d.node")).otherwise(F.lit(-1)))
     rows = rows.withColumn("_first", F.min("node").over(Window.partitionBy(*keys, "name", "_d")))
     rows = rows.withColumn("variable", F.dense_rank().over(Window.partitionBy(*keys).orderBy("_first")) - 1)
-    targets = rows.where("role in ('declared', 'assigned')").select(*keys, F.col("parent").alias("setter"), F.col("variable").alias("target"))
-    used = rows.where("role = 'used'").join(targets, [*keys, "setter"], "left")
-    found = used.select(*keys, F.when(F.col("target").isNull(), "comes").otherwise("computed").alias("relation"), F.coalesce("target", "variable").alias("target"), F.col("variable").alias("source"))
-    updates = rows.where("role = 'updated'").select(*keys, F.lit("computed").alias("relation"), F.col("variable").alias("target"), F.col("variable").alias("source"))
-    return found.unionByName(updates)
+    sets = F.col("role").isin("declared", "assigned")  # right below an assignment or a declarator, of which it is the only one
+    rows = rows.withColumn("_setter", F.when(sets, F.col("parent")).otherwise(F.col("setter")))
+    rows = rows.withColumn("target", F.max(F.when(sets, F.col("variable"))).over(Window.partitionBy(*keys, "_setter")))
+    computed = (F.col("role") == "updated") | F.col("target").isNotNull()
+    target = F.when(F.col("role") == "updated", F.col("variable")).otherwise(F.coalesce("target", "variable"))
+    found = rows.where("role in ('used', 'updated')")
+    return found.select(*keys, F.when(computed, "computed").otherwise("comes").alias("relation"), target.alias("target"), F.col("variable").alias("source"))

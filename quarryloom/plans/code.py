@@ -7,9 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quarryloom.operators import metrics, trees
+from quarryloom.operators import metrics, tasks, trees
 from quarryloom.plans.queries import JAVA_KEYWORDS, SQL, _against_turn_1, query, table
 
 _TEXT = """replace(replace(translate(coalesce(text, ''), '"\\', ''), chr(10), ' '), chr(13), ' ')"""
@@ -44,12 +43,11 @@ def grammar_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- trees ------------------------------------------------------------------------------
 
 
-def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A method of p_size % 6 conditions in one another for each part."""
+def _nested(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    """A method of p_size % 6 conditions in one another for each part, with its nodes."""
     n = F.pmod("p_size", F.lit(6)).cast("int")
     code = F.concat(F.lit("void m() { "), F.repeat(F.lit("if (a) { "), n), F.lit("f(b);"), F.repeat(F.lit(" }"), n), F.lit(" }"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", code.alias("code"))
-    return trees.node_table(trees.parsed(rows, "code"), "p_partkey", "code")
+    return trees.parsed(tasks.spread(table(spark, sf_dir, "part").select("p_partkey", code.alias("code"))), "code", fields=fields)
 
 
 #: Nodes of a method of n nested conditions, by kind.
@@ -62,7 +60,7 @@ _KINDS = {
 @query(f"""WITH p AS (SELECT p_partkey, p_size % 6 AS n FROM part), k AS ({" UNION ALL ".join(f"SELECT p_partkey, '{k}' AS kind, {v} AS n_nodes FROM p" for k, v in _KINDS.items())})
 SELECT p_partkey, kind, CAST(n_nodes AS BIGINT) AS n_nodes FROM k WHERE n_nodes > 0""")
 def syntax_tree_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nested(spark, sf_dir).groupBy("p_partkey", "kind").agg(F.count("*").alias("n_nodes"))
+    return trees.node_table(_nested(spark, sf_dir, "kind"), "p_partkey").groupBy("p_partkey", "kind").agg(F.count("*").alias("n_nodes"))
 
 
 @query("""WITH RECURSIVE p AS (SELECT p_partkey, p_size % 6 AS n FROM part), node AS (SELECT p_partkey, n, 1 AS i FROM p WHERE n > 0 UNION ALL SELECT p_partkey, n, i + 1 FROM node WHERE i < n),
@@ -71,11 +69,12 @@ c AS (SELECT p_partkey, above, count(*) - 1 AS n_below FROM below GROUP BY ALL)
 SELECT p_partkey, CAST(11 + 9 * (above - 1) AS INTEGER) AS start, n_below, CAST(1 AS BIGINT) AS n_calls, repeat('if (a) { ', n_below + 1) || 'f(b);' || repeat(' }', n_below + 1) AS span FROM c""")
 def syntax_tree_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each condition: its text, and how many conditions and calls lie below it."""
-    nodes = _nested(spark, sf_dir)
-    count = lambda kind, name: trees.descendants(nodes, "if_statement", kind, "p_partkey").groupBy("p_partkey", F.col("above").alias("node")).agg(F.count("*").alias(name))
-    each = trees.of_kind(nodes, "if_statement").select("p_partkey", "node", "start", trees.span_text(F.col("code")).alias("span"))
-    found = each.join(count("if_statement", "n_below"), ["p_partkey", "node"], "left").join(count("call", "n_calls"), ["p_partkey", "node"], "left")
-    return found.na.fill(0, ["n_below", "n_calls"]).select("p_partkey", "start", "n_below", "n_calls", "span")
+    kinds = {"n_below": "if_statement", "n_calls": "call"}
+    rows = _nested(spark, sf_dir, "kind", "last", "start", "stop")
+    rows = rows.select("p_partkey", "code", "nodes", *[trees.places(F.col("nodes"), k).alias(name) for name, k in kinds.items()])
+    each = trees.of_kind(rows.select("*", F.posexplode("nodes").alias("node", "x")).select("*", "x.*"), "if_statement")
+    counts = [trees.below(F.col(name), F.col("node"), F.col("last")).alias(name) for name in kinds]
+    return each.select("p_partkey", "start", *counts, trees.span_text(F.col("code")).alias("span"))
 
 
 @query("""WITH w AS (SELECT p_partkey, string_split(p_name || ' ' || lower(p_type), ' ') AS w FROM part)
@@ -85,10 +84,9 @@ def syntax_tree_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.split(F.concat("p_name", F.lit(" "), F.lower("p_type")), " ")
     named = F.transform(words, lambda w, i: F.concat(F.lit("v"), (i + 1).cast("string"), F.lit("_"), w))
     rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("int m() { return g("), F.array_join(named, " , "), F.lit("); }")).alias("code"))
-    nodes = trees.node_table(trees.parsed(rows, "code"), "p_partkey", "code")
-    found = trees.children(nodes, "arguments", ["identifier"], "p_partkey")
-    place = F.row_number().over(Window.partitionBy("p_partkey").orderBy("node"))
-    return found.select("p_partkey", place.alias("place"), trees.span_text(F.col("code")).alias("argument"))
+    rows = trees.parsed(tasks.spread(rows), "code", fields=("kind", "parent", "start", "stop"))
+    found = rows.select("p_partkey", "code", F.posexplode(trees.children_of(F.col("nodes"), "arguments", ["identifier"])).alias("place", "x"))
+    return found.select("p_partkey", "code", (F.col("place") + 1).alias("place"), "x.*").select("p_partkey", "place", trees.span_text(F.col("code")).alias("argument"))
 
 
 # --- CodeBLEU ---------------------------------------------------------------------------
@@ -99,18 +97,19 @@ _PAIRED = r"""p AS (SELECT a.conv_id, a.turn AS position, list_transform(string_
  FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = 1 WHERE a.turn <> 1)"""
 
 
-def _pairs(spark: SparkSession, sf_dir: str, statement, items) -> tuple[DataFrame, DataFrame]:
-    """Items of the candidates' trees and of their references': each word of a turn is a statement. A reference is parsed once for all its candidates."""
+def _matches(spark: SparkSession, sf_dir: str, statement, items, names: list[str], fields: tuple[str, ...]) -> DataFrame:
+    """Matched items, named by names, of the trees: each word of a turn is a statement. A reference is parsed, and its items are counted, once for all its candidates."""
 
     def code(words: Column) -> Column:
         return F.concat(F.lit("void m() { "), F.array_join(F.transform(F.coalesce(words, F.array().cast("array<string>")), statement), " "), F.lit(" }"))
 
     def nodes(rows: DataFrame, *keys: str) -> DataFrame:
-        return items(trees.node_table(trees.parsed(rows, "code"), *keys), *keys)
+        return items(trees.node_table(trees.parsed(tasks.spread(rows), "code", fields=fields), *keys), *keys)
 
     pairs = _against_turn_1(spark, sf_dir).select("conv_id", "position", F.coalesce("c", F.array(F.lit(""))).alias("c"), "r")
-    found = nodes(pairs.select("conv_id", code(F.col("r")).alias("code")).distinct(), "conv_id")
-    return nodes(pairs.select("conv_id", "position", code(F.col("c")).alias("code")), "conv_id", "position"), found.join(pairs.select("conv_id", "position"), "conv_id")
+    found = nodes(pairs.select("conv_id", code(F.col("r")).alias("code")).distinct(), "conv_id").groupBy("conv_id", *names).agg(F.count("*").alias("times"))
+    references = found.join(pairs.select("conv_id", "position"), "conv_id")
+    return trees.clipped(nodes(pairs.select("conv_id", "position", code(F.col("c")).alias("code")), "conv_id", "position"), references, ["conv_id", "position"], names, ["position"], "times")
 
 
 def _by_length(w: Column, i: Column) -> Column:
@@ -118,9 +117,7 @@ def _by_length(w: Column, i: Column) -> Column:
 
 
 def _syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pair = ["conv_id", "position"]
-    c, r = _pairs(spark, sf_dir, _by_length, trees.subtrees)
-    return trees.clipped(c, r, pair, ["shape"], ["position"])
+    return _matches(spark, sf_dir, _by_length, trees.subtrees, ["shape"], ("last", "shape"))
 
 
 _SYNTAX = rf"""WITH {_PAIRED}, n AS (SELECT position, c, r, {", ".join(f"len(list_filter({s}, lambda w: w % 3 = {k})) AS {s}{k}" for s in "cr" for k in range(3))}, list_transform(c, lambda w: w % 3) = list_transform(r, lambda w: w % 3) AS same FROM p)
@@ -140,9 +137,7 @@ def _assigned(w: Column, i: Column) -> Column:
 
 
 def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pair = ["conv_id", "position"]
-    c, r = _pairs(spark, sf_dir, _assigned, trees.data_flow)
-    return trees.clipped(c, r, pair, ["relation", "target", "source"], ["position"])
+    return _matches(spark, sf_dir, _assigned, trees.data_flow, ["relation", "target", "source"], ("parent", "ends", "setter", "name", "role"))
 
 
 _FLOW = rf"""WITH {_PAIRED}, s AS (SELECT conv_id, position, side, unnest(w) AS n, generate_subscripts(w, 1) - 1 AS i FROM (SELECT conv_id, position, 'c' AS side, c AS w FROM p UNION ALL SELECT conv_id, position, 'r', r FROM p)),
