@@ -63,14 +63,21 @@ def with_sentinels(ids: Column, mask: Column, vocabulary: int) -> Column:
 def runs_of_pieces(df: DataFrame, key: str, piece: str, mask: str) -> DataFrame:
     """(key, first, length, noise): the runs of each key's pieces, one after another by their number; a run may cross pieces.
 
-    Only each piece's runs are shuffled. Places count over all pieces of a key; empty and null masks add nothing.
+    The pieces' masks are shuffled, which are shorter than their runs, and only pieces are sorted. Places count over
+    all pieces of a key; empty and null masks add nothing.
     """
-    rows = df.select(column(key).alias("key"), column(piece).alias("piece"), F.size(column(mask)).alias("n"), runs(column(mask)).alias("runs")).where("n > 0")
+    rows = df.select(column(key).alias("key"), column(piece).alias("piece"), F.size(column(mask)).alias("n"), F.transform(column(mask), lambda x: F.coalesce(x, F.lit(False))).alias("mask")).where("n > 0")
+    # the values at both ends, and where the last run begins, 0 if all is one run
+    other = F.array_position(F.reverse("mask"), ~F.element_at("mask", -1))
+    rows = rows.withColumns({"first": F.get("mask", 0), "last": F.element_at("mask", -1), "turn": F.when(other > 0, F.col("n") - other + 1).otherwise(0)})
     order = Window.partitionBy("key").orderBy("piece")
     rows = rows.withColumn("at", F.coalesce(F.sum(F.col("n").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    each = rows.select("key", "at", F.inline("runs")).select("key", (F.col("at") + F.col("first")).alias("first"), "length", "noise")
-    along = Window.partitionBy("key").orderBy("first")
-    begins = F.coalesce((F.lag("noise").over(along) != F.col("noise")).cast("int"), F.lit(1))
-    each = each.withColumn("begins", begins).withColumn("run", F.sum("begins").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    found = each.groupBy("key", "run").agg(F.min("first").alias("first"), F.sum("length").alias("length"), F.first("noise").alias("noise"))
-    return found.select(F.col("key").alias(key), "first", "length", "noise")
+    # a run goes on over pieces that are one run each: it begins where the last run before has another value, and ends with the last piece it reaches
+    rows = rows.withColumns({"head": F.coalesce(F.lag("last").over(order) != F.col("first"), F.lit(True)), "tail": F.coalesce(F.lead("first").over(order) != F.col("last"), F.lit(True))})
+    begin = F.last(F.when((F.col("turn") > 0) | F.col("head"), F.col("at") + F.col("turn")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("from", F.when(F.col("head"), F.col("at")).otherwise(begin))  # where the first run began
+    each = lambda found: F.transform(found, lambda r, i: F.struct(
+        F.when(i == 0, F.col("from")).otherwise(F.col("at") + r["first"]).alias("first"), (F.col("at") + r["first"] + r["length"]).alias("end"), r["noise"].alias("noise"), ((i < F.size(found) - 1) | F.col("tail")).alias("whole"),
+    ))
+    found = rows.select(F.col("key").alias(key), F.inline(_once(runs(F.col("mask")), each))).where("whole")
+    return found.select(column(key), "first", (F.col("end") - F.col("first")).alias("length"), "noise")
