@@ -5,12 +5,14 @@ The sentencepiece library does the work, a batch at a time; nothing is trained h
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from quarryloom.operators import tasks
 from quarryloom.operators.columns import as_row, column, from_row
 
 #: Most ids of a text, and the id before them.
@@ -29,10 +31,12 @@ def encoded(df: DataFrame, text: str, path: str, name: str = "ids", limit: int |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _processor(path).encode
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            found = [None if t is None else [*([] if bos is None else [bos]), *ids[:limit]] for t, ids in zip(texts, encode([t or "" for t in texts], num_threads=1) if texts else [], strict=True)]
+            first = [] if bos is None else [bos]
+            # one text's ids at a time, of which no more than limit stay
+            found = [None if t is None else array("i", first + encode(t)[:limit]) for t in (x.as_py() for x in batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.list_(pa.int32()))], ["row", "ids"])
 
+    tasks.small_batches(df.sparkSession)
     rows = df.select(as_row(df, name), column(text).cast("string").alias("text"))
     schema = StructType([rows.schema["row"], *StructType.fromDDL("ids array<int>")])
     return rows.mapInArrow(run, schema).select(*from_row(df.columns), column("ids").alias(name))
@@ -47,6 +51,7 @@ def decoded(df: DataFrame, ids: str, path: str, name: str = "text") -> DataFrame
             found = [None if x is None else decode([int(i) for i in x]) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.string())], ["row", "text"])
 
+    tasks.small_batches(df.sparkSession)
     rows = df.select(as_row(df, name), column(ids).cast("array<int>").alias("ids"))
     schema = StructType([rows.schema["row"], *StructType.fromDDL("text string")])
     return rows.mapInArrow(run, schema).select(*from_row(df.columns), column("text").alias(name))
