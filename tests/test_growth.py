@@ -2,10 +2,12 @@
 
 import random
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from quarryloom.functions import javagrammar as java
-from quarryloom.operators import tasks
+from quarryloom.operators import masks, metrics, spans, tasks
 from quarryloom.plans import queries
 
 
@@ -40,3 +42,34 @@ def test_a_tree_query_parses_once(spark):
     for name in ("syntax_tree_descendants", "syntax_tree_children"):
         plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+def test_words_of_a_batch_are_bounded():
+    rows = pa.RecordBatch.from_arrays([pa.array([["a"] * n for n in (5, 60_000, 60_000, 200_000)]), pa.array([["b"], None, [], ["c"]])], ["c", "r"])
+    assert [x.num_rows for x in metrics._slices(iter([rows, rows.slice(0, 0)]))] == [2, 1, 1]
+
+
+@pytest.mark.parametrize("name", ["bleu_corpus", "span_corrupt_subwords", "java_comments", "grammar_repair"])
+def test_arrow_batches_are_small(spark, name):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == tasks.BATCH_ROWS
+
+
+def test_classes_are_dealt_before_they_join(spark):
+    plan = queries.QUERIES["class_method_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
+def test_few_columns_pass_the_windows(spark):
+    plan = queries.QUERIES["noise_runs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    df = spark.createDataFrame([(1, 0, [True]), (1, 1, [True, True]), (1, 2, [True, False]), (1, 3, [False]), (2, 0, [False])], "k int, p int, m array<boolean>")
+    assert sorted(map(tuple, masks.runs_of_pieces(df, "k", "p", "m").collect())) == [(1, 0, 4, True), (1, 4, 2, False), (2, 0, 1, False)]
+
+
+def test_a_chunk_inside_a_row_is_not_grouped(spark):
+    df = spark.createDataFrame([(None, 1, ["a"] * 7), (None, 2, ["b"] * 2), (0, 1, ["c"] * 4), (0, 2, None)], "b int, o int, t array<string>")
+    done = spans.packed_chunks(df, "b", "o", "t", 3)
+    assert sorted((r["b"] is None, r["chunk"], "".join(r["tokens"])) for r in done.collect()) == [(False, 0, "ccc"), (True, 0, "aaa"), (True, 1, "aaa"), (True, 2, "abb")]
+    assert "Union" in done._jdf.queryExecution().executedPlan().toString()
