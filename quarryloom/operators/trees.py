@@ -13,15 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
 from quarryloom.functions import javagrammar
 from quarryloom.operators import tasks
 from quarryloom.operators.columns import as_row, column, from_row
 
-NODE = "kind string, parent int, last int, depth int, start int, stop int, shape bigint, ends int, setter int, name string, role string"
+NODE = "kind string, parent int, last int, depth int, start int, stop int, shape bigint, ends int, setter int, name string, role string, node int, variable int, target int"
 _ARROW = pa.list_(pa.struct([(c.split()[0], {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[c.split()[1]]) for c in NODE.split(", ")]))
-FIELDS = tuple(c.split()[0] for c in NODE.split(", "))
+FIELDS = tuple(x for x in javagrammar.FIELDS if x != "node")
 #: New columns of judged.
 JUDGED = ("had_errors", "mended", "inserted", "has_errors")
 #: Texts of one Arrow batch that are parsed before their trees are sent on.
@@ -54,40 +53,42 @@ def judged(df: DataFrame, code: str) -> DataFrame:
     return rows.mapInArrow(_judge, schema).select(*from_row(df.columns), *JUDGED)
 
 
-def _parse(fields: tuple[str, ...]):
-    at = [_ARROW.value_type.get_field_index(x) for x in fields]
-    types = [_ARROW.value_type.field(i) for i in at]
+def _parse(fields: tuple[str, ...], kept: str):
+    types = [_ARROW.value_type.field(_ARROW.value_type.get_field_index(x)) for x in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, HELD):
                 part = batch.slice(a, HELD)
-                found = [None if code is None else javagrammar.nodes(code) for code in part.column("code").to_pylist()]
-                rows = [x for some in found for x in some or ()]
-                values = pa.StructArray.from_arrays([pa.array([x[i] for x in rows], t.type) for i, t in zip(at, types, strict=True)], fields=types)
-                ends = [0, *accumulate(len(x or ()) for x in found)]
-                starts = [None if x is None else e for x, e in zip(found, ends, strict=False)]  # a null start is a null list
+                found: dict[str, list] = {x: [] for x in fields}
+                sizes = [None if code is None else javagrammar.add_nodes(code, found, kept) for code in part.column("code").to_pylist()]
+                values = pa.StructArray.from_arrays([pa.array(found[t.name], t.type) for t in types], fields=types)
+                ends = [0, *accumulate(n or 0 for n in sizes)]
+                starts = [None if n is None else e for n, e in zip(sizes, ends, strict=False)]  # a null start is a null list
                 nodes = pa.ListArray.from_arrays(pa.array([*starts, ends[-1]], pa.int32()), values)
                 yield pa.RecordBatch.from_arrays([part.column("row"), nodes], ["row", "nodes"])
 
     return run
 
 
-def parsed(df: DataFrame, code: str, name: str = "nodes", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+def parsed(df: DataFrame, code: str, name: str = "nodes", fields: tuple[str, ...] = FIELDS, kept: str = "all") -> DataFrame:
     """df with the nodes of each text's tree in preorder, as an array; null for a null text and for one with errors.
 
-    fields: those of a node that are needed; fewer are cheaper.
+    fields: those of a node that are needed; fewer are cheaper. kept: "all" nodes, those with others below ("inner"), the identifiers that stand for
+    "variables" or those of them that are "uses"; of some alone the field "node" has the number among all.
     """
     tasks.small_batches(df.sparkSession)
     rows = df.select(as_row(df, name), column(code).alias("code"))
     types = dict(c.split() for c in NODE.split(", "))
     schema = StructType([rows.schema["row"], *StructType.fromDDL(f"nodes array<struct<{','.join(f'{x}:{types[x]}' for x in fields)}>>")])
-    return rows.mapInArrow(_parse(fields), schema).select(*from_row(df.columns), F.col("nodes").alias(name))
+    return rows.mapInArrow(_parse(fields, kept), schema).select(*from_row(df.columns), F.col("nodes").alias(name))
 
 
 def node_table(df: DataFrame, *keys: str, nodes: str = "nodes") -> DataFrame:
-    """(keys, node, kind, parent, last, depth, start, stop, shape, ends, setter, name, role), or those that were parsed: a row for each node, the root with number 0."""
-    return df.select(*map(column, keys), F.posexplode(column(nodes)).alias("node", "_x")).select(*map(column, keys), "node", "_x.*")
+    """(keys, node, kind, parent, last, depth, start, stop, shape, ends, setter, name, role, variable, target), or those that were parsed: a row for each node, the root with number 0."""
+    numbered = "node" in df.schema[nodes].dataType.elementType.names
+    each = F.explode(column(nodes)).alias("_x") if numbered else F.posexplode(column(nodes)).alias("node", "_x")
+    return df.select(*map(column, keys), each).select(*map(column, keys), *[] if numbered else ["node"], "_x.*")
 
 
 def of_kind(nodes: DataFrame, kind: str) -> DataFrame:
@@ -140,8 +141,8 @@ def clipped(candidates: DataFrame, references: DataFrame, pair: list[str], item:
 
 
 def subtrees(nodes: DataFrame, *keys: str) -> DataFrame:
-    """(keys, shape) of every subtree of two nodes or more."""
-    return nodes.where("last > node").select(*keys, "shape")
+    """(keys, shape) of every subtree of two nodes or more. nodes: all, or the inner ones alone and without their numbers."""
+    return (nodes.where("last > node") if "last" in nodes.columns else nodes).select(*keys, "shape")
 
 
 def data_flow(nodes: DataFrame, *keys: str) -> DataFrame:
@@ -150,19 +151,9 @@ def data_flow(nodes: DataFrame, *keys: str) -> DataFrame:
     Variables are numbered by their first place in the text. A name means the last
     declaration of it before, if its scope hasn't ended, or else the same undeclared variable
     throughout the text. In ``x = e`` and ``T x = e`` x is computed from each variable of e, in
-    ``x++`` from itself; a use in no assignment comes from itself.
+    ``x++`` from itself; a use in no assignment comes from itself. nodes need role, variable and target.
     """
-    keys = list(keys)
-    rows = nodes.where("role is not null").select(*keys, "node", "name", "role", "ends", "setter", "parent").repartition(*keys)  # a text's rows meet once, for all that follows
-    before = Window.partitionBy(*keys, "name").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("role") == "declared", F.struct("node", "ends")), ignorenulls=True).over(before)
-    rows = rows.withColumn("_d", last).withColumn("_d", F.when(F.col("node") <= F.col("_d.ends"), F.col("_d.node")).otherwise(F.lit(-1)))
-    rows = rows.withColumn("_first", F.min("node").over(Window.partitionBy(*keys, "name", "_d")))
-    rows = rows.withColumn("variable", F.dense_rank().over(Window.partitionBy(*keys).orderBy("_first")) - 1)
-    sets = F.col("role").isin("declared", "assigned")  # right below an assignment or a declarator, of which it is the only one
-    rows = rows.withColumn("_setter", F.when(sets, F.col("parent")).otherwise(F.col("setter")))
-    rows = rows.withColumn("target", F.max(F.when(sets, F.col("variable"))).over(Window.partitionBy(*keys, "_setter")))
     computed = (F.col("role") == "updated") | F.col("target").isNotNull()
     target = F.when(F.col("role") == "updated", F.col("variable")).otherwise(F.coalesce("target", "variable"))
-    found = rows.where("role in ('used', 'updated')")
+    found = nodes.where("role in ('used', 'updated')")
     return found.select(*keys, F.when(computed, "computed").otherwise("comes").alias("relation"), target.alias("target"), F.col("variable").alias("source"))

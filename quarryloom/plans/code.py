@@ -97,14 +97,14 @@ _PAIRED = r"""p AS (SELECT a.conv_id, a.turn AS position, list_transform(string_
  FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = 1 WHERE a.turn <> 1)"""
 
 
-def _matches(spark: SparkSession, sf_dir: str, statement, items, names: list[str], fields: tuple[str, ...]) -> DataFrame:
+def _matches(spark: SparkSession, sf_dir: str, statement, items, names: list[str], fields: tuple[str, ...], kept: str) -> DataFrame:
     """Matched items, named by names, of the trees: each word of a turn is a statement. A reference is parsed, and its items are counted, once for all its candidates."""
 
     def code(words: Column) -> Column:
         return F.concat(F.lit("void m() { "), F.array_join(F.transform(F.coalesce(words, F.array().cast("array<string>")), statement), " "), F.lit(" }"))
 
     def nodes(rows: DataFrame, *keys: str) -> DataFrame:
-        return items(trees.node_table(trees.parsed(tasks.spread(rows), "code", fields=fields), *keys), *keys)
+        return items(trees.node_table(trees.parsed(tasks.spread(rows), "code", fields=fields, kept=kept), *keys), *keys)
 
     pairs = _against_turn_1(spark, sf_dir).select("conv_id", "position", F.coalesce("c", F.array(F.lit(""))).alias("c"), "r")
     found = nodes(pairs.select("conv_id", code(F.col("r")).alias("code")).distinct(), "conv_id").groupBy("conv_id", *names).agg(F.count("*").alias("times"))
@@ -117,7 +117,7 @@ def _by_length(w: Column, i: Column) -> Column:
 
 
 def _syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matches(spark, sf_dir, _by_length, trees.subtrees, ["shape"], ("last", "shape"))
+    return _matches(spark, sf_dir, _by_length, trees.subtrees, ["shape"], ("shape",), "inner")
 
 
 _SYNTAX = rf"""WITH {_PAIRED}, n AS (SELECT position, c, r, {", ".join(f"len(list_filter({s}, lambda w: w % 3 = {k})) AS {s}{k}" for s in "cr" for k in range(3))}, list_transform(c, lambda w: w % 3) = list_transform(r, lambda w: w % 3) AS same FROM p)
@@ -137,7 +137,7 @@ def _assigned(w: Column, i: Column) -> Column:
 
 
 def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matches(spark, sf_dir, _assigned, trees.data_flow, ["relation", "target", "source"], ("parent", "ends", "setter", "name", "role"))
+    return _matches(spark, sf_dir, _assigned, trees.data_flow, ["relation", "target", "source"], ("role", "variable", "target"), "uses")
 
 
 _FLOW = rf"""WITH {_PAIRED}, s AS (SELECT conv_id, position, side, unnest(w) AS n, generate_subscripts(w, 1) - 1 AS i FROM (SELECT conv_id, position, 'c' AS side, c AS w FROM p UNION ALL SELECT conv_id, position, 'r', r FROM p)),

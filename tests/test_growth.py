@@ -44,6 +44,54 @@ def test_a_tree_query_parses_once(spark):
         assert plan.count("MapInArrow") == 1 and "Join" not in plan
 
 
+_NESTED = [
+    "a(b);", "x = y + z;", "if (c) d();", "for (int i = 0; i < n; i++) {", "}", "int a = 1, b = a;", "{ int a = b; a++; x = (y = a) + b; }", "f = (p, q) -> { return p + x; };", "for (A a : b) { c += a; }",
+    'x = ";{";', "// x;\n", "/* { */ y /= 2;", "z = " + "1 + " * 70 + "x;",
+]
+
+
+def _texts(count):
+    draw = random.Random(4)
+    found = ("void m(int b) { " + " ".join(draw.choices(_NESTED, k=n % 9)) + " }" * draw.randrange(1, 3) for n in range(count))
+    return [code for code in found if java.nodes(code) is not None]
+
+
+def test_tokens_by_runs_are_those_of_the_whole_text():
+    for code in [*_texts(200), "a = 'b;' + \"{", "/* ; {", "#;$;été;", "x" * 100 + "; y", ";", ""]:
+        whole = [(m.group(), m.start(), m.end()) for m in java._TOKEN.finditer(code) if m.lastgroup != "skip"]
+        assert [(code[a:b], a, b) for _, a, b in java.lexed(code)] == whole
+
+
+def test_kept_nodes_are_some_of_all():
+    """Those kept, and their variables, against the definition applied to all nodes."""
+    for code in _texts(300):
+        rows = java.nodes(code)
+        named = [at for at, row in enumerate(rows) if row[10]]
+        meant = {}
+        for at in named:
+            last = max((b for b in named if b <= at and rows[b][9] == rows[at][9] and rows[b][10] == "declared"), default=-1)
+            meant[at] = rows[at][9], last if last >= 0 and at <= rows[last][7] else -1
+        order = list(dict.fromkeys(meant.values()))
+        sets = {rows[at][1]: order.index(meant[at]) for at in named if rows[at][10] in ("declared", "assigned")}
+        some = {"all": range(len(rows)), "inner": [at for at, row in enumerate(rows) if row[2] > at], "variables": named, "uses": [at for at in named if rows[at][10] in ("used", "updated")]}
+        for kept, those in some.items():
+            out = {x: [] for x in java.FIELDS}
+            assert java.add_nodes(code, out, kept) == len(those)
+            expected = [(*rows[at], at, None, None) for at in those]
+            for i, at in enumerate(those):
+                if at in meant:
+                    expected[i] = (*rows[at], at, order.index(meant[at]), sets.get(rows[at][8]))
+            assert [*zip(*out.values(), strict=True)] == expected
+
+
+def test_code_bleu_moves_counts_and_not_nodes(spark):
+    """A text's nodes are neither shuffled nor sorted: what is shuffled are counts of its edges and shapes."""
+    for name in ("codebleu_data_flow", "codebleu_syntax"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 2 and "Window" not in plan
+        assert not [x for x in plan.splitlines() if "MapInArrow" in x and ("parent" in x or "last" in x)]
+
+
 def test_words_of_a_batch_are_bounded():
     rows = pa.RecordBatch.from_arrays([pa.array([["a"] * n for n in (5, 60_000, 60_000, 200_000)]), pa.array([["b"], None, [], ["c"]])], ["c", "r"])
     assert [x.num_rows for x in metrics._slices(iter([rows, rows.slice(0, 0)]))] == [2, 1, 1]
