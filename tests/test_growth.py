@@ -62,6 +62,15 @@ def test_tokens_by_runs_are_those_of_the_whole_text():
         assert [(code[a:b], a, b) for _, a, b in java.lexed(code)] == whole
 
 
+def test_what_is_remembered_of_texts_is_bounded():
+    for n in range(9000):
+        java.lexed(f"void m{n}(int a) {{")
+    before = java._run_tokens.cache_info()
+    assert before.currsize <= before.maxsize == 1 << 13
+    java.lexed("a " * 100 + ";")
+    assert java._run_tokens.cache_info().misses == before.misses  # a long run is read, not kept
+
+
 def test_kept_nodes_are_some_of_all():
     """Those kept, and their variables, against the definition applied to all nodes."""
     for code in _texts(300):
