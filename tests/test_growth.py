@@ -1,6 +1,8 @@
 """What keeps a query's time and memory in proportion to its input."""
 
 import random
+import re
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -71,6 +73,29 @@ def test_what_is_remembered_of_texts_is_bounded():
     assert java._run_tokens.cache_info().misses == before.misses  # a long run is read, not kept
 
 
+@pytest.mark.parametrize(("code", "found"), [('f("' + "a b" * 300_000 + '");', (False, 0)), ("f('" + r"\n" * 300_000 + "');", (False, 0)), ('f("' + "abc" * 300_000, (True, None))])
+def test_literals_are_read_in_little_memory(code, found):
+    """Some copies of the text; places to return to in it would take over 100 times its size."""
+    java.repaired("f(1);")
+    tracemalloc.start()
+    try:
+        had, _, n = java.repaired(code)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (had, n) == found and peak < 10 * len(code)
+
+
+def test_literals_are_those_of_the_plain_pattern():
+    plain = re.compile(r'''"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])+''' + "'", re.DOTALL)
+    draw = random.Random(5)
+    for text in ("".join(draw.choices("a\"'\\\né", k=n % 14)) for n in range(30_000)):
+        for at, c in enumerate(text):
+            if c in "\"'":
+                found, m = java._TOKEN.match(text, at), plain.match(text, at)
+                assert found.group() == (m.group() if m else c), (text, at)
+
+
 def test_kept_nodes_are_some_of_all():
     """Those kept, and their variables, against the definition applied to all nodes."""
     for code in _texts(300):
