@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryloom.functions import javagrammar as java
-from quarryloom.operators import masks, metrics, spans, tasks
+from quarryloom.operators import joins, masks, metrics, spans, tasks
 from quarryloom.plans import queries
 
 
@@ -143,6 +143,34 @@ def test_classes_are_dealt_before_they_join(spark):
     assert "REPARTITION_BY_NUM" in plan
 
 
+def test_rows_of_few_keys_take_little_disk(spark, tmp_path):
+    """The joined rows of large keys come in an order that a file keeps small: in any order a pair takes over a byte."""
+    size = F.col("id") % 30
+    classes = spark.range(9000).select("id", size.alias("version"), F.lit("a.C").alias("modified_class"))
+    methods = spark.range(9000).select(F.col("id").alias("method"), size.alias("version"), F.lit("a/C.java").alias("path_focal_class"))
+    joins.class_methods(classes, methods).select("id", "method", "focal_name", "version").write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 300 * 300 * 30
+    assert sum(x.stat().st_size for x in (tmp_path / "out").glob("*.parquet")) < 0.5 * 300 * 300 * 30
+
+
+def test_pieces_join_as_rows_do(spark, monkeypatch):
+    """Keys of many pieces, by rows and by bytes, against the plain join; no generated code holds a pair's rows."""
+    for name, most in (("BLOCK_ROWS", 3), ("BLOCK_BYTES", 200), ("PIECE_ROWS", 6), ("PIECE_BYTES", 400)):
+        monkeypatch.setattr(joins, name, most)
+    x = F.col("id")
+    key = F.when(x % 7 < 6, x % 7 % 3)  # a key of a third, null for a seventh
+    left = spark.range(150).select(key.alias("k.1"), F.repeat(F.lit("a"), (x % 90 * 5).cast("int")).alias("row"), F.create_map(F.lit("m"), x % 5).alias("n"), F.when(x % 4 > 0, x % 4).alias("end"))
+    right = spark.range(100).select(key.alias("k.1"), (x % 10).alias("block"), F.array(x % 3).alias("key0"))
+    done = joins.paired(left, right, "k.1")
+    assert done.columns == ["k.1", "row", "n", "end", "block", "key0"]
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(done) == rows(left.join(right.withColumnRenamed("k.1", "k"), F.col("`k.1`") == F.col("k")).drop("k"))
+    steps = [x for x in done._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines() if "Generate explode(" in x]
+    assert [("transform" in x, "*(" in x) for x in steps] == [(False, True), (True, False), (True, False), (True, False)]
+    assert joins.paired(left.limit(0), right, "k.1").count() == 0
+    assert joins.paired(left.select("`k.1`"), right.select("`k.1`"), "k.1").count() == done.count()
+
+
 def test_few_columns_pass_the_windows(spark):
     plan = queries.QUERIES["noise_runs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
